@@ -55,18 +55,26 @@ def categories(df: DataFrame, column: str, limit: int = 1000) -> list:
 
 
 def narrow_categories(df: DataFrame, columns: Sequence[str], limit: int = 1000) -> dict[str, list[str]]:
-    """Category lists of the columns that stay within ``limit``; wider columns are left out.
+    """Category lists of the columns that stay within ``limit``; wider columns are left out."""
+    return category_lists(category_counts(df, columns), len(columns), limit) if columns else {}
 
-    A distinct count guards the collect, so at most ``limit`` values per column reach the driver.
+
+def category_lists(counts: DataFrame, n_columns: int, limit: int = 1000) -> dict[str, list[str]]:
+    """Sorted categories per ``column`` of a (column, value, n) table, columns wider than ``limit`` left out.
+
+    At most ``(limit + 1) * n_columns`` rows are read first; only if that cut something off are the
+    sizes counted on the cluster and the narrow columns read on their own.
     """
-    if not columns:
-        return {}
-    sizes = df.agg(*[F.count_distinct(c).alias(c) for c in columns]).first()
-    kept = [c for c in columns if sizes[c] <= limit]
-    if not kept:
-        return {}
-    rows = category_counts(df, kept).where(F.col("value").isNotNull()).collect()
-    return {c: sorted(r["value"] for r in rows if r["column"] == c) for c in kept}
+    filled = counts.where(F.col("value").isNotNull()).select("column", "value")
+    cap = (limit + 1) * n_columns
+    rows = filled.limit(cap).collect()
+    if len(rows) == cap:
+        narrow = filled.groupBy("column").count().where(F.col("count") <= limit).select("column")
+        rows = filled.join(narrow, "column", "left_semi").collect()
+    found: dict[str, list[str]] = {}
+    for r in rows:
+        found.setdefault(r["column"], []).append(r["value"])
+    return {c: sorted(values) for c, values in found.items() if len(values) <= limit}
 
 
 def one_hot(column: Column, values: Sequence, scale: float = 1.0) -> Column:

@@ -111,3 +111,19 @@ def with_rank(
 def dense_ids(df: DataFrame, order: Sequence[str | Column], name: str, start: int = 0) -> DataFrame:
     """Surrogate keys ``start, start+1, ...`` in the given order."""
     return with_position(df, order, position=name).withColumn(name, F.col(name) + F.lit(start))
+
+
+def exact_quantiles(df: DataFrame, column: str, levels: Sequence[float]) -> list[float]:
+    """Linearly interpolated quantiles from global positions; two rows per level reach the driver."""
+    placed = with_position(df.select(column).where(F.col(column).isNotNull()), [column])
+    n = placed.count()
+    if n == 0:
+        return [float("nan")] * len(levels)
+    at = [level * (n - 1) for level in levels]
+    wanted = sorted({p for h in at for p in (int(h), min(int(h) + 1, n - 1))})
+    values = {r["position"]: r[column] for r in placed.where(F.col("position").isin(wanted)).collect()}
+    out = []
+    for h in at:
+        low, high = values[int(h)], values[min(int(h) + 1, n - 1)]
+        out.append(low + (high - low) * (h - int(h)))
+    return out

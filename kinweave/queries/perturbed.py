@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions.hashing import hash_uniform, uniform_sql
-from kinweave.operators.encode import narrow_categories
+from kinweave.operators.encode import category_lists, narrow_categories
 from kinweave.operators.noise import randomised_response
+from kinweave.operators.profile import category_counts
 from kinweave.queries.star import LINE_KEY_SQL, SPECS, line_key, star
 from kinweave.specs import RelationalDataset
 
@@ -37,9 +40,14 @@ def _row_key_sql(table: str) -> str:
     return LINE_KEY_SQL if table == "lineitem" else SPECS[table].primary_key
 
 
-def perturbed_table(df: DataFrame, table: str) -> DataFrame:
+def _responses(table: str) -> list[str]:
+    return [c for c, kind in NOISE.get(table, {}).items() if kind == "response"]
+
+
+def perturbed_table(df: DataFrame, table: str, values: dict[str, list[str]] | None = None) -> DataFrame:
     noise, key = NOISE.get(table, {}), _row_key(table)
-    values = narrow_categories(df, [c for c, kind in noise.items() if kind == "response"])
+    if values is None:
+        values = narrow_categories(df, _responses(table))
     changes = {}
     for c, kind in noise.items():
         u = hash_uniform(key, salt=f"noise-{c}")
@@ -58,7 +66,11 @@ def perturbed_table(df: DataFrame, table: str) -> DataFrame:
 
 def perturbed(spark, sf_dir: str) -> tuple[RelationalDataset, RelationalDataset]:
     real = star(spark, sf_dir)
-    return real, real.replacing({t: perturbed_table(real.tables[t], t) for t in NOISE})
+    with_lists = [t for t in NOISE if _responses(t)]
+    # one job gives the category lists of all tables; the column names are distinct
+    counts = reduce(DataFrame.unionByName, [category_counts(real.tables[t], _responses(t)) for t in with_lists])
+    values = category_lists(counts, sum(len(_responses(t)) for t in with_lists))
+    return real, real.replacing({t: perturbed_table(real.tables[t], t, values) for t in NOISE})
 
 
 def perturbed_sql(table: str) -> str:

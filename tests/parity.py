@@ -43,9 +43,14 @@ def normalise(names, rows):
     return sorted(names), sorted(tuple(cell(r[i]) for i in order) for r in rows)
 
 
-def compare(spark, con, sf_dir, name, fn, sql):
+def compare(spark, con, sf_dir, name, fn, sql, clock=None):
+    start = time.time()
     df = fn(spark, sf_dir)
-    spark_names, spark_rows = normalise(df.columns, [tuple(r) for r in df.collect()])
+    built = time.time()
+    rows = df.collect()
+    if clock is not None:
+        clock.update(build=built - start, run=time.time() - built)
+    spark_names, spark_rows = normalise(df.columns, [tuple(r) for r in rows])
     if sql is None:
         return len(spark_rows), None
     got = con.sql(sql)
@@ -89,12 +94,14 @@ def main(argv):
             continue
         start = time.time()
         try:
-            n, problem = compare(spark, con, sf_dir, name, fn, oracles.get(name))
+            clock = {}
+            n, problem = compare(spark, con, sf_dir, name, fn, oracles.get(name), clock)
         except Exception as e:  # report and go on with the next query
             n, problem = -1, f"{type(e).__name__}: {str(e)[:600]}"
         took = time.time() - start
         mark = "FAIL" if problem else ("ok" if name in oracles else "rows")
-        print(f"{mark:5} {name:32} rows={n:<8} {took:6.2f}s {problem or ''}", flush=True)
+        parts = " ".join(f"{k}={v:.2f}" for k, v in clock.items())
+        print(f"{mark:5} {name:32} rows={n:<8} {took:6.2f}s {parts} {problem or ''}", flush=True)
         if problem:
             failed.append(name)
     print(f"{len(failed)} failed: {failed}")
