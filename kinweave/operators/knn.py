@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweave.session import cut
+
 BLOCK_ROWS = 20_000  # points or queries per task group
 MAX_PIVOTS = 512
 _CHUNK_CELLS = 4_000_000  # distances held at once inside a task
@@ -98,11 +100,18 @@ class _Cells:
         return (low <= (limit + slack)[:, None]) & (self.counts[None, :] > 0)
 
 
-def _choose_pivots(points: DataFrame, n_points: int) -> np.ndarray:
-    """A hash sample of distinct vectors; bounded by ``MAX_PIVOTS`` rows."""
+def _choose_pivots(points: DataFrame) -> np.ndarray:
+    """Distinct vectors of smallest hash, about sqrt(n) / 2 and at most ``MAX_PIVOTS`` of them.
+
+    The sample also tells n: with m values kept, the m-th smallest of n uniform hashes is near m / n.
+    Results do not depend on the pivots, only the amount of pruning does.
+    """
+    sample = 4 * MAX_PIVOTS
+    rows = points.select("__p", F.xxhash64("__p").alias("h")).orderBy("h", "__p").limit(sample).collect()
+    n_points = len(rows)
+    if n_points == sample:
+        n_points = sample / max((rows[-1]["h"] + 2**63) / 2**64, 1e-18)
     wanted = int(min(MAX_PIVOTS, max(1, round(math.sqrt(n_points) / 2))))
-    order = F.md5(F.concat_ws(",", F.transform("__p", lambda x: x.cast("string"))))
-    rows = points.select("__p").withColumn("__h", order).orderBy("__h").limit(4 * wanted).collect()
     seen: dict[tuple, None] = {}
     for r in rows:
         seen.setdefault(tuple(r["__p"]))
@@ -137,22 +146,23 @@ class _Layout:
 
 def _lay_out(points: DataFrame, metric: str) -> _Layout | None:
     """Cells of ``points`` (__bid, __p); None for an empty table."""
-    n_points = points.count()
-    if n_points == 0:
+    pivots = _choose_pivots(points)
+    if not len(pivots):
         return None
-    pivots = _choose_pivots(points, n_points)
-    assigned = _assign(points, pivots, metric)
+    assigned = cut(_assign(points, pivots, metric))  # read again by the cell statistics and the join
     counts, radii = np.zeros(len(pivots), dtype=int), np.zeros(len(pivots))
     for r in assigned.groupBy("__cell").agg(F.count(F.lit(1)).alias("n"), F.max("__gap").alias("r")).collect():
         counts[r["__cell"]], radii[r["__cell"]] = r["n"], r["r"]
     return _Layout(assigned, _Cells(pivots, counts, radii, metric))
 
 
-def _meet(asked: DataFrame, extra: str, layout: _Layout, reach: Callable, kernel: Callable, schema: str) -> DataFrame:
+def _meet(
+    asked: DataFrame, extra: str, layout: _Layout, reach: Callable, kernel: Callable, schema: str, most: int
+) -> DataFrame:
     """Bring queries (__q and the number ``extra``) and points together in bounded blocks.
 
     ``reach(vectors, extra)`` names the cells a query must visit; ``kernel(q, p)`` sees one chunk of
-    queries and one block of points.
+    queries and one block of points.  ``most`` bounds the number of queries from above.
     """
     cells, width = layout.cells, layout.cells.pivots.shape[1]
     blocks = cells.blocks()
@@ -182,7 +192,7 @@ def _meet(asked: DataFrame, extra: str, layout: _Layout, reach: Callable, kernel
         visit, f"__q array<double>, {extra} {kind}, __cell int, __block int"
     )
     chunks = np.ones(len(cells.pivots), dtype=int)
-    if asked.count() > BLOCK_ROWS:
+    if most > BLOCK_ROWS:
         for r in visits.where("__block = 0").groupBy("__cell").count().collect():
             chunks[r["__cell"]] = math.ceil(r["count"] / BLOCK_ROWS)
     # at most MAX_PIVOTS cells, so these lookup arrays stay small
@@ -203,7 +213,9 @@ def _meet(asked: DataFrame, extra: str, layout: _Layout, reach: Callable, kernel
 _NEAR_SCHEMA = "__q array<double>, __bid bigint, distance double"
 
 
-def nearest_rows(queries: DataFrame, points: DataFrame, k: int | None, metric: str = "l2") -> DataFrame:
+def nearest_rows(
+    queries: DataFrame, points: DataFrame, k: int | None, metric: str = "l2", most: int | None = None
+) -> DataFrame:
     """(__q, __bid, distance) rows holding at least every query's k nearest points.
 
     ``queries`` has distinct vectors ``__q`` (and a ``__k`` column when k varies), ``points`` has
@@ -217,7 +229,8 @@ def nearest_rows(queries: DataFrame, points: DataFrame, k: int | None, metric: s
 
     def kernel(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):
-            return pd.DataFrame({"__q": [], "__bid": np.array([], "int64"), "distance": np.array([], float)})
+            none = pd.Series([], dtype=object)
+            return pd.DataFrame({"__q": none, "__bid": np.array([], "int64"), "distance": np.array([], float)})
         found = list(
             nearest_in_block(
                 _as_matrix(q["__q"], width), _as_matrix(p["__p"], width), p["__bid"].to_numpy(), q["__k"].to_numpy(), metric
@@ -232,7 +245,8 @@ def nearest_rows(queries: DataFrame, points: DataFrame, k: int | None, metric: s
             }
         )
 
-    return _meet(asked, "__k", layout, layout.cells.reach, kernel, _NEAR_SCHEMA)
+    most = queries.count() if most is None else most
+    return _meet(asked, "__k", layout, layout.cells.reach, kernel, _NEAR_SCHEMA, most)
 
 
 def count_balls(balls: DataFrame, others: DataFrame, key: str) -> DataFrame:
@@ -274,7 +288,8 @@ def count_balls(balls: DataFrame, others: DataFrame, key: str) -> DataFrame:
         out = pd.DataFrame({"__bid": p["__bid"].to_numpy(), "hits": hits.astype("int64")})
         return out[out["hits"] > 0]
 
-    counted = _meet(asked, "__r", layout, reach, kernel, schema).groupBy("__bid").agg(F.sum("hits").alias("hits"))
+    met = _meet(asked, "__r", layout, reach, kernel, schema, balls.count())
+    counted = met.groupBy("__bid").agg(F.sum("hits").alias("hits"))
     by_vector = points.join(counted, "__bid").select("__p", "hits")
     return vectors.join(by_vector, "__p").select(F.col("__aid").alias(key), "hits")
 
@@ -304,7 +319,7 @@ def knn_join(
     asked = left.select(
         F.col(left_id).cast("bigint").alias("__aid"), F.col(left_vector).cast("array<double>").alias("__q")
     )
-    rows = nearest_rows(asked.select("__q").distinct(), points, need, metric)
+    rows = nearest_rows(asked.select("__q").distinct(), points, need, metric, most=left.count())
     best = rows.groupBy("__q").agg(
         F.slice(F.array_sort(F.collect_list(F.struct("distance", "__bid"))), 1, need).alias("near")
     )
