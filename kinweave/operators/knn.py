@@ -137,14 +137,14 @@ def _assign(points: DataFrame, pivots: np.ndarray, metric: str) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class _Layout:
+class Layout:
     """Points with their cell, and the cell table."""
 
     assigned: DataFrame
     cells: _Cells
 
 
-def _lay_out(points: DataFrame, metric: str) -> _Layout | None:
+def lay_out_points(points: DataFrame, metric: str) -> Layout | None:
     """Cells of ``points`` (__bid, __p); None for an empty table."""
     pivots = _choose_pivots(points)
     if not len(pivots):
@@ -153,11 +153,11 @@ def _lay_out(points: DataFrame, metric: str) -> _Layout | None:
     counts, radii = np.zeros(len(pivots), dtype=int), np.zeros(len(pivots))
     for r in assigned.groupBy("__cell").agg(F.count(F.lit(1)).alias("n"), F.max("__gap").alias("r")).collect():
         counts[r["__cell"]], radii[r["__cell"]] = r["n"], r["r"]
-    return _Layout(assigned, _Cells(pivots, counts, radii, metric))
+    return Layout(assigned, _Cells(pivots, counts, radii, metric))
 
 
 def _meet(
-    asked: DataFrame, extra: str, layout: _Layout, reach: Callable, kernel: Callable, schema: str, most: int
+    asked: DataFrame, extra: str, layout: Layout, reach: Callable, kernel: Callable, schema: str, most: int
 ) -> DataFrame:
     """Bring queries (__q and the number ``extra``) and points together in bounded blocks.
 
@@ -214,14 +214,19 @@ _NEAR_SCHEMA = "__q array<double>, __bid bigint, distance double"
 
 
 def nearest_rows(
-    queries: DataFrame, points: DataFrame, k: int | None, metric: str = "l2", most: int | None = None
+    queries: DataFrame,
+    points: DataFrame,
+    k: int | None,
+    metric: str = "l2",
+    most: int | None = None,
+    layout: Layout | None = None,
 ) -> DataFrame:
     """(__q, __bid, distance) rows holding at least every query's k nearest points.
 
     ``queries`` has distinct vectors ``__q`` (and a ``__k`` column when k varies), ``points`` has
     ``__bid`` and ``__p``.  The caller ranks the rows and cuts them to k.
     """
-    layout = _lay_out(points, metric)
+    layout = layout or lay_out_points(points, metric)
     if layout is None:
         return points.sparkSession.createDataFrame([], _NEAR_SCHEMA)
     asked = queries if k is None else queries.withColumn("__k", F.lit(k).cast("bigint"))
@@ -257,7 +262,7 @@ def count_balls(balls: DataFrame, others: DataFrame, key: str) -> DataFrame:
     """
     vectors = others.select(F.col(key).cast("bigint").alias("__aid"), F.col("vector").cast("array<double>").alias("__p"))
     points = vectors.groupBy("__p").agg(F.min("__aid").alias("__bid"))
-    layout = _lay_out(points.select("__bid", "__p"), "l2")
+    layout = lay_out_points(points.select("__bid", "__p"), "l2")
     schema = "__bid bigint, hits bigint"
     if layout is None:
         return others.sparkSession.createDataFrame([], f"{key} bigint, hits bigint")
