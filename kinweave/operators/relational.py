@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.hashing import hash_uniform
 from kinweave.operators.ordering import with_position
+from kinweave.session import cut
 from kinweave.specs import RelationalDataset
 
 
@@ -165,17 +166,36 @@ def draw_packed(uniform: Column) -> Column:
     return F.element_at("values", F.least(at + 1, F.size("values")))
 
 
+EXPLODE_ROWS = 100_000  # copies one task makes of one row
+
+
+def repeat_rows(df: DataFrame, count: str, out: str, largest: int) -> DataFrame:
+    """Every row ``count`` times, numbered 1..count in ``out``; rows with count 0 vanish.
+
+    A row with very many copies is first cut into pieces that are spread over the cluster.
+    """
+    rows = df.where(F.col(count) > 0)
+    n = F.col(count).cast("bigint")
+    if largest <= EXPLODE_ROWS:
+        return rows.withColumn(out, F.explode(F.sequence(F.lit(1).cast("bigint"), n)))
+    pieces = rows.withColumn("__from", F.explode(F.sequence(F.lit(1).cast("bigint"), n, F.lit(EXPLODE_ROWS).cast("bigint"))))
+    spread = pieces.repartition(*df.columns, "__from")
+    last = F.least(n, F.col("__from") + EXPLODE_ROWS - 1)
+    return spread.withColumn(out, F.explode(F.sequence(F.col("__from"), last))).drop("__from")
+
+
 def expand_children(
     parents: DataFrame, pk: str, label: str, dist: DataFrame, salt: str, seed: int = 0
 ) -> DataFrame:
     """(pk, label, slot): every parent draws a group size from its label; unknown labels get none."""
+    dist = cut(dist)  # labels x distinct sizes
+    largest = dist.agg(F.max("group_size")).first()[0] or 0
     packed = pack_distribution(dist, label, "group_size")
     sized = parents.select(pk, label).join(packed, label, "left")
     drawn = sized.select(
         pk, label, F.coalesce(draw_packed(hash_uniform(pk, salt=salt, seed=seed)), F.lit(0)).alias("size")
     )
-    slots = F.sequence(F.lit(1).cast("bigint"), F.col("size").cast("bigint"))
-    return drawn.where("size > 0").select(pk, label, F.explode(slots).alias("slot"))
+    return repeat_rows(drawn, "size", "slot", largest).select(pk, label, "slot")
 
 
 def synthetic_keys(dist: DataFrame, n: int, spark, salt: str, seed: int = 0) -> DataFrame:
@@ -201,9 +221,7 @@ def synthetic_keys(dist: DataFrame, n: int, spark, salt: str, seed: int = 0) ->
         candidates *= 2
     placed = with_position(sized(candidates), ["id"], sums=["size"])
     kept = placed.where(F.col("run_size") - F.col("size") < n).where("size > 0")
-    copies = kept.select(
-        F.col("id").alias("parent_key"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("size"))).alias("copy")
-    )
+    copies = repeat_rows(kept.select(F.col("id").alias("parent_key"), "size"), "size", "copy", max(values)).drop("size")
     keyed = copies.withColumn("__u", hash_uniform("parent_key", "copy", salt=f"{salt}-shuffle", seed=seed))
     shuffled = with_position(keyed, ["__u", "parent_key", "copy"], position="row_id")
     return shuffled.where(F.col("row_id") < n).select("row_id", "parent_key")
