@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.functions.literals import array_of
 from kinweave.specs import TableSpec
 
 # fixed values: sentinels of the data format
@@ -114,7 +115,7 @@ def clamp_to(df: DataFrame, limits: Mapping[str, tuple[float, float]]) -> DataFr
 def snap(column: Column, levels: Sequence[float]) -> Column:
     """Nearest observed level, the smaller one on ties (few levels: see ``integer_like``)."""
     pairs = F.transform(
-        F.array(*[F.lit(float(v)) for v in levels]),
+        array_of([float(v) for v in levels]),
         lambda v: F.struct(F.abs(v - column).alias("gap"), v.alias("level")),
     )
     return F.array_min(pairs)["level"]

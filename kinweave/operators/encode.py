@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweave.functions.literals import array_of
 from kinweave.operators import clean as C
 from kinweave.operators.ordering import dense_ids
 from kinweave.operators.profile import bounds, category_counts, moments
@@ -83,13 +84,13 @@ def one_hot(column: Column, values: Sequence, scale: float = 1.0) -> Column:
         return F.array().cast("array<double>")
     text = column.cast("string")
     return F.transform(
-        F.lit([str(v) for v in values]), lambda v: F.when(v == text, F.lit(scale)).otherwise(F.lit(0.0))
+        array_of([str(v) for v in values]), lambda v: F.when(v == text, F.lit(scale)).otherwise(F.lit(0.0))
     )
 
 
 def from_one_hot(vector: Column, values: Sequence) -> Column:
     """F8 inverse: category of the largest entry, the first one on ties."""
-    return F.element_at(F.lit(list(values)), F.array_position(vector, F.array_max(vector)).cast("int"))
+    return F.element_at(array_of(list(values)), F.array_position(vector, F.array_max(vector)).cast("int"))
 
 
 def minmax(column: Column, low: float, high: float, to: tuple[float, float] = (-1.0, 1.0)) -> Column:
@@ -168,11 +169,11 @@ def normal_cdf(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.interp(z, scores, odds)))
 
 
-def quantile_grid(df: DataFrame, columns: Sequence[str], n_quantiles: int, accuracy: int = 100_000) -> dict[str, list[float]]:
+def quantile_grid(df: DataFrame, columns: Sequence[str], n_quantiles: int, accuracy: int = 10_000) -> dict[str, list[float]]:
     """Reference quantiles per column (``n_quantiles`` numbers each reach the driver)."""
     if not columns:
         return {}
-    levels = [i / (n_quantiles - 1) for i in range(n_quantiles)]
+    levels = array_of([i / (n_quantiles - 1) for i in range(n_quantiles)])
     row = df.agg(
         *[F.percentile_approx(F.col(c).cast("double"), levels, accuracy).alias(c) for c in columns]
     ).first()

@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweave.functions.literals import array_of
 from kinweave.session import cut
 
 BLOCK_ROWS = 20_000  # points or queries per task group
@@ -196,8 +197,8 @@ def _meet(
         for r in visits.where("__block = 0").groupBy("__cell").count().collect():
             chunks[r["__cell"]] = math.ceil(r["count"] / BLOCK_ROWS)
     # at most MAX_PIVOTS cells, so these lookup arrays stay small
-    chunk_of = F.element_at(F.lit([int(c) for c in chunks]), F.col("__cell") + 1)
-    block_of = F.element_at(F.lit([int(b) for b in blocks]), F.col("__cell") + 1)
+    chunk_of = F.element_at(array_of([int(c) for c in chunks]), F.col("__cell") + 1)
+    block_of = F.element_at(array_of([int(b) for b in blocks]), F.col("__cell") + 1)
     left = visits.withColumn("__chunk", F.pmod(F.xxhash64("__q"), chunk_of).cast("int"))
     right = layout.assigned.select(
         "__bid",

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinweave.functions.literals import array_of
 from kinweave.functions.hashing import gumbel, hash_normal, hash_uniform
 
 
@@ -46,7 +47,7 @@ def category_probabilities(value: Column, categories: Sequence[str], alpha_bar:
     """alpha_bar on the own category plus an even share of the rest."""
     share = (1 - alpha_bar) / len(categories)
     return F.transform(
-        F.lit(list(categories)), lambda c: F.when(c == value, alpha_bar + share).otherwise(share)
+        array_of(list(categories)), lambda c: F.when(c == value, alpha_bar + share).otherwise(share)
     )
 
 
@@ -56,7 +57,7 @@ def randomised_response(
     """F18 as a draw: keep the category with probability alpha_bar, else an even one."""
     keep = hash_uniform(*keys, salt=f"{salt}-keep", seed=seed) < alpha_bar
     at = F.floor(hash_uniform(*keys, salt=f"{salt}-pick", seed=seed) * len(categories)).cast("int") + 1
-    return F.when(keep, value).otherwise(F.element_at(F.lit(list(categories)), at))
+    return F.when(keep, value).otherwise(F.element_at(array_of(list(categories)), at))
 
 
 def code_noise(code: Column, deviation: float, *keys: str, salt: str, seed: int = 0) -> Column:

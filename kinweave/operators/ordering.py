@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinweave.functions.literals import array_of
 from kinweave.session import cut
 
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
@@ -75,8 +76,7 @@ def with_position(
     slot = (part + 1).cast("int")
 
     def offset(name: str, kind: str) -> Column:
-        values = F.array(*[F.lit(v).cast(kind) for v in before[name]])
-        return F.element_at(values, slot)
+        return F.element_at(array_of(before[name]), slot).cast(kind)
 
     out = stored.withColumn(
         position, offset("n", "bigint") + F.col("__mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))

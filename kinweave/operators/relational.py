@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions.hashing import hash_uniform
+from kinweave.functions.literals import array_of
 from kinweave.operators.ordering import with_position
 from kinweave.session import cut
 from kinweave.specs import RelationalDataset
@@ -212,8 +213,8 @@ def synthetic_keys(dist: DataFrame, n: int, spark, salt: str, seed: int = 0) ->
 
     def sized(candidates: int) -> DataFrame:
         u = hash_uniform("id", salt=f"{salt}-size", seed=seed)
-        at = F.size(F.filter(F.array(*[F.lit(v) for v in upto]), lambda s: s < u))
-        pick = F.element_at(F.array(*[F.lit(v) for v in values]), F.least(at + 1, F.lit(len(values))))
+        at = F.size(F.filter(array_of(upto), lambda s: s < u))
+        pick = F.element_at(array_of(values), F.least(at + 1, F.lit(len(values))))
         return spark.range(candidates).select("id", pick.cast("bigint").alias("size"))
 
     candidates = int(1.2 * n / mean) + 64

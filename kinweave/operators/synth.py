@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions.hashing import hash_uniform
+from kinweave.functions.literals import array_of
 from kinweave.operators import clean as C
 from kinweave.operators.encode import (
     default_quantiles,
@@ -34,6 +35,7 @@ from kinweave.operators.knn import knn_join
 from kinweave.operators.ordering import exact_quantiles, with_position, with_rank
 from kinweave.operators.profile import bounds
 from kinweave.operators.relational import decode
+from kinweave.session import spread
 from kinweave.specs import Domain
 
 MAX_LABELS = 2000  # parameter tables (labels x columns^2) travel to the tasks
@@ -82,15 +84,19 @@ class CopulaSynthesizer:
         exclude = [label] if label else []
         numeric, categorical = domain.split(df.columns, exclude)
         columns = numeric + categorical
-        work = df.select(*columns, *exclude)
-        codes: dict[str, DataFrame] = {}
-        for c in categorical:
-            codes[c] = dictionary(work, c)
-            work = encode(work, c, codes[c])
-        n_rows = df.count()
+        work = spread(df.select(*columns, *exclude))
+        # short category lists become an expression; only wide ones need a dictionary join
+        lists = narrow_categories(work, categorical)
+        codes: dict[str, DataFrame] = {c: dictionary(work, c) for c in categorical if c not in lists}
+        for c, codebook in codes.items():
+            work = encode(work, c, codebook)
+        work = work.withColumns(
+            {c: F.nullif(F.array_position(array_of(v), F.col(c).cast("string")), F.lit(0)) - 1 for c, v in lists.items() if v}
+        )
+        n_rows = work.count()
         n_quantiles = max(2, default_quantiles(n_rows))
         grids = quantile_grid(work, columns, n_quantiles)
-        sizes = {c: int(codes[c].count()) for c in categorical}
+        sizes = {c: len(lists[c]) if c in lists else int(codes[c].count()) for c in categorical}
         fixed = {c: np.asarray(grids[c] or [0.0, 0.0], dtype=float) for c in columns}
         d = len(columns)
         upper = [(i, j) for i in range(d) for j in range(i, d)]
@@ -137,6 +143,7 @@ class CopulaSynthesizer:
             "categorical": categorical,
             "label": label,
             "codes": codes,
+            "lists": lists,
             "sizes": sizes,
             "grids": fixed,
             "levels": C.levels_of(df, numeric),
@@ -196,7 +203,13 @@ class CopulaSynthesizer:
         for c, levels in s["levels"].items():
             rows = rows.withColumn(c, C.snap(F.col(c), levels))
         for c in s["categorical"]:
-            rows = decode(rows.withColumn(c, F.col(c).cast("int")), c, s["codes"][c])
+            code = F.col(c).cast("int")
+            if c in s["codes"]:
+                rows = decode(rows.withColumn(c, code), c, s["codes"][c])
+            elif s["lists"][c]:
+                rows = rows.withColumn(c, F.element_at(array_of(s["lists"][c]), code + 1))
+            else:
+                rows = rows.withColumn(c, F.lit(None).cast("string"))
         kinds = s["kinds"]
         return rows.select(*carried, *[F.col(c).cast(kinds[c]).alias(c) for c in columns])
 
@@ -345,8 +358,8 @@ def _class_slots(spark, classes: Sequence[tuple[int, int, int]]) -> DataFrame:
     for _, n, _ in classes:
         starts.append(total)
         total += n
-    at = F.size(F.filter(F.lit(starts), lambda s: s <= F.col("id")))
-    pick = lambda values: F.element_at(F.lit(values), at)
+    at = F.size(F.filter(array_of(starts), lambda s: s <= F.col("id")))
+    pick = lambda values: F.element_at(array_of(values), at)
     return spark.range(total).select(
         pick([int(c) for c, _, _ in classes]).alias("__code"),
         pick([int(b) for _, _, b in classes]).alias("__bases"),

@@ -30,3 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and return the stored rows."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a small frame before heavy per-row work.
+
+    Frames that already have a partition per core - anything large - pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
