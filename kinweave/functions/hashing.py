@@ -8,6 +8,7 @@ recomputed by another SQL engine.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,29 +20,38 @@ def as_column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def hash_uniform(*keys: Column | str, salt: str, seed: int = 0) -> Column:
-    """Uniform number in [0, 1) from the first 32 bits of an md5 over key, salt and seed."""
+def hash_uniform(*keys: Column | str, salt: str, seed: int = 0, part: int = 0) -> Column:
+    """Uniform number in [0, 1) from 32 bits of an md5 over key, salt and seed.
+
+    One digest holds four independent numbers (``part`` 0 to 3); Spark computes a shared digest once.
+    """
     parts = [as_column(k).cast("string") for k in keys]
     text = F.concat_ws(":", *parts, F.lit(salt), F.lit(str(seed)))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(_RANGE)
+    return F.conv(F.substring(F.md5(text), 1 + 8 * part, 8), 16, 10).cast("double") / F.lit(_RANGE)
 
 
-def uniform_sql(*keys: str, salt: str, seed: int = 0) -> str:
+def uniform_sql(*keys: str, salt: str, seed: int = 0, part: int = 0) -> str:
     """DuckDB spelling of :func:`hash_uniform`."""
     parts = ", ".join(f"({k})::VARCHAR" for k in keys)
-    return f"(('0x' || substr(md5(concat_ws(':', {parts}, '{salt}', '{seed}')), 1, 8))::UBIGINT / {_RANGE}::DOUBLE)"
+    digest = f"md5(concat_ws(':', {parts}, '{salt}', '{seed}'))"
+    return f"(('0x' || substr({digest}, {1 + 8 * part}, 8))::UBIGINT / {_RANGE}::DOUBLE)"
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, even where ``use`` reads it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def hash_normal(*keys: Column | str, salt: str, seed: int = 0) -> Column:
     """Standard normal number (Box-Muller on two hash uniforms)."""
-    u1 = hash_uniform(*keys, salt=f"{salt}-r", seed=seed)
-    u2 = hash_uniform(*keys, salt=f"{salt}-a", seed=seed)
+    u1 = hash_uniform(*keys, salt=salt, seed=seed, part=0)
+    u2 = hash_uniform(*keys, salt=salt, seed=seed, part=1)
     return F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
 
 
 def normal_sql(*keys: str, salt: str, seed: int = 0) -> str:
-    u1 = uniform_sql(*keys, salt=f"{salt}-r", seed=seed)
-    u2 = uniform_sql(*keys, salt=f"{salt}-a", seed=seed)
+    u1 = uniform_sql(*keys, salt=salt, seed=seed, part=0)
+    u2 = uniform_sql(*keys, salt=salt, seed=seed, part=1)
     return f"(sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {u1})) * cos({2.0 * math.pi!r}::DOUBLE * {u2}))"
 
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.functions.hashing import bound
 from kinweave.functions.literals import array_of
 from kinweave.specs import TableSpec
 
@@ -114,11 +115,11 @@ def clamp_to(df: DataFrame, limits: Mapping[str, tuple[float, float]]) -> DataFr
 
 def snap(column: Column, levels: Sequence[float]) -> Column:
     """Nearest observed level, the smaller one on ties (few levels: see ``integer_like``)."""
-    pairs = F.transform(
-        array_of([float(v) for v in levels]),
-        lambda v: F.struct(F.abs(v - column).alias("gap"), v.alias("level")),
+    known = array_of([float(v) for v in levels])
+    near = lambda x: F.array_min(
+        F.transform(known, lambda v: F.struct(F.abs(v - x).alias("gap"), v.alias("level")))
     )
-    return F.array_min(pairs)["level"]
+    return bound(column, near)["level"]
 
 
 def levels_of(df: DataFrame, columns: Sequence[str], limit: int = 32) -> dict[str, list[float]]:

@@ -55,9 +55,13 @@ def randomised_response(
     value: Column, categories: Sequence, alpha_bar: Column | float, *keys: str, salt: str, seed: int = 0
 ) -> Column:
     """F18 as a draw: keep the category with probability alpha_bar, else an even one."""
-    keep = hash_uniform(*keys, salt=f"{salt}-keep", seed=seed) < alpha_bar
-    at = F.floor(hash_uniform(*keys, salt=f"{salt}-pick", seed=seed) * len(categories)).cast("int") + 1
-    return F.when(keep, value).otherwise(F.element_at(array_of(list(categories)), at))
+    keep = hash_uniform(*keys, salt=salt, seed=seed, part=0)
+    return respond(value, categories, alpha_bar, keep, hash_uniform(*keys, salt=salt, seed=seed, part=1))
+
+
+def respond(value: Column, categories: Sequence, alpha_bar: Column | float, keep: Column, pick: Column) -> Column:
+    at = F.floor(pick * len(categories)).cast("int") + 1
+    return F.when(keep < alpha_bar, value).otherwise(F.element_at(array_of(list(categories)), at))
 
 
 def code_noise(code: Column, deviation: float, *keys: str, salt: str, seed: int = 0) -> Column:

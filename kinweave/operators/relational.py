@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.functions.hashing import hash_uniform
+from kinweave.functions.hashing import bound, hash_uniform
 from kinweave.functions.literals import array_of
 from kinweave.operators.ordering import with_position
 from kinweave.session import cut
@@ -103,7 +103,7 @@ def draw_from_array(weights: Column, uniform: Column) -> Column:
         F.sequence(F.lit(1), F.size(weights)),
         lambda i: F.aggregate(F.slice(weights, 1, i), F.lit(0.0), lambda a, x: a + x),
     )
-    return F.least(F.size(F.filter(total, lambda s: s < uniform)), F.size(weights) - 1)
+    return bound(uniform, lambda u: F.least(F.size(F.filter(total, lambda s: s < u)), F.size(weights) - 1))
 
 
 def soft_vote(children: DataFrame, fk: str, probabilities: str, size: int, salt: str, seed: int = 0) -> DataFrame:
@@ -163,7 +163,7 @@ def pack_distribution(dist: DataFrame, label: str | None, value: str, prob: str
 
 def draw_packed(uniform: Column) -> Column:
     """Inverse CDF over ``values``/``upto``; the last bin reaches 1."""
-    at = F.size(F.filter("upto", lambda s: s < uniform))
+    at = bound(uniform, lambda u: F.size(F.filter("upto", lambda s: s < u)))
     return F.element_at("values", F.least(at + 1, F.size("values")))
 
 
@@ -213,7 +213,7 @@ def synthetic_keys(dist: DataFrame, n: int, spark, salt: str, seed: int = 0) ->
 
     def sized(candidates: int) -> DataFrame:
         u = hash_uniform("id", salt=f"{salt}-size", seed=seed)
-        at = F.size(F.filter(array_of(upto), lambda s: s < u))
+        at = bound(u, lambda v: F.size(F.filter(array_of(upto), lambda s: s < v)))
         pick = F.element_at(array_of(values), F.least(at + 1, F.lit(len(values))))
         return spark.range(candidates).select("id", pick.cast("bigint").alias("size"))
 

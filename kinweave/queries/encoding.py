@@ -345,8 +345,7 @@ _PRIORITY_LIST = "['" + "', '".join(PRIORITIES) + "']"
 
 
 def response_sql(value: str, values: str, n: int, alpha: str, *keys: str, salt: str) -> str:
-    keep = uniform_sql(*keys, salt=f"{salt}-keep")
-    pick = uniform_sql(*keys, salt=f"{salt}-pick")
+    keep, pick = uniform_sql(*keys, salt=salt), uniform_sql(*keys, salt=salt, part=1)
     return f"(case when {keep} < {alpha} then {value} else ({values})[floor({pick} * {n})::BIGINT + 1] end)"
 
 

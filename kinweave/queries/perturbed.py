@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.hashing import hash_uniform, uniform_sql
 from kinweave.operators.encode import category_lists, narrow_categories
-from kinweave.operators.noise import randomised_response
+from kinweave.operators.noise import respond
 from kinweave.operators.profile import category_counts
 from kinweave.queries.star import LINE_KEY_SQL, SPECS, line_key, star
+from kinweave.session import spread
 from kinweave.specs import RelationalDataset
 
 KEEP = 0.8
@@ -44,24 +45,42 @@ def _responses(table: str) -> list[str]:
     return [c for c, kind in NOISE.get(table, {}).items() if kind == "response"]
 
 
+def _number_of(table: str, wanted: str) -> tuple[str, int]:
+    """(salt, part) of a named random number; four numbers share one digest."""
+    names = []
+    for c, kind in NOISE.get(table, {}).items():
+        names += [f"{c}-keep", f"{c}-pick"] if kind == "response" else [c]
+    at = (["dropped"] + names).index(wanted)
+    return f"noise-{at // 4}", at % 4
+
+
+def _uniform(table: str, wanted: str):
+    salt, part = _number_of(table, wanted)
+    return hash_uniform(_row_key(table), salt=salt, part=part)
+
+
+def _uniform_sql(table: str, wanted: str) -> str:
+    salt, part = _number_of(table, wanted)
+    return uniform_sql(_row_key_sql(table), salt=salt, part=part)
+
+
 def perturbed_table(df: DataFrame, table: str, values: dict[str, list[str]] | None = None) -> DataFrame:
-    noise, key = NOISE.get(table, {}), _row_key(table)
+    noise = NOISE.get(table, {})
     if values is None:
         values = narrow_categories(df, _responses(table))
+    df = spread(df)  # the hashes below are the expensive part
     changes = {}
     for c, kind in noise.items():
-        u = hash_uniform(key, salt=f"noise-{c}")
         if kind == "scale":
-            changes[c] = F.col(c) * (0.8 + 0.4 * u)
+            changes[c] = F.col(c) * (0.8 + 0.4 * _uniform(table, c))
         elif kind == "whole":
-            changes[c] = F.col(c) + F.floor(5 * u).cast("double")
+            changes[c] = F.col(c) + F.floor(5 * _uniform(table, c)).cast("double")
         else:
-            changes[c] = randomised_response(F.col(c), values[c], KEEP, key, salt=f"noise-{c}")
-    out = df.withColumns(changes) if changes else df
+            keep, pick = _uniform(table, f"{c}-keep"), _uniform(table, f"{c}-pick")
+            changes[c] = respond(F.col(c), values[c], KEEP, keep, pick)
     if table in DROPPED:
-        kept = df.withColumn("__u", hash_uniform(key, salt="dropped")).where(F.col("__u") >= DROPPED[table]).drop("__u")
-        out = kept.withColumns(changes) if changes else kept
-    return out
+        df = df.where(_uniform(table, "dropped") >= DROPPED[table])
+    return df.withColumns(changes) if changes else df
 
 
 def perturbed(spark, sf_dir: str) -> tuple[RelationalDataset, RelationalDataset]:
@@ -75,21 +94,20 @@ def perturbed(spark, sf_dir: str) -> tuple[RelationalDataset, RelationalDataset]
 
 def perturbed_sql(table: str) -> str:
     """Parenthesised query giving the noisy copy of ``table``."""
-    noise, key = NOISE.get(table, {}), _row_key_sql(table)
+    noise = NOISE.get(table, {})
     if not noise:
         return table
     changes = []
     for c, kind in noise.items():
-        u = uniform_sql(key, salt=f"noise-{c}")
         if kind == "scale":
-            changes.append(f"{c} * (0.8::DOUBLE + 0.4::DOUBLE * {u}) as {c}")
+            changes.append(f"{c} * (0.8::DOUBLE + 0.4::DOUBLE * {_uniform_sql(table, c)}) as {c}")
         elif kind == "whole":
-            changes.append(f"{c} + floor(5 * {u}) as {c}")
+            changes.append(f"{c} + floor(5 * {_uniform_sql(table, c)}) as {c}")
         else:
-            keep, pick = uniform_sql(key, salt=f"noise-{c}-keep"), uniform_sql(key, salt=f"noise-{c}-pick")
+            keep, pick = _uniform_sql(table, f"{c}-keep"), _uniform_sql(table, f"{c}-pick")
             values = f"(select list(distinct {c} order by {c}) from {table})"
             changes.append(
                 f"case when {keep} < {KEEP} then {c} else {values}[floor({pick} * len({values}))::BIGINT + 1] end as {c}"
             )
-    kept = f" where {uniform_sql(key, salt='dropped')} >= {DROPPED[table]}" if table in DROPPED else ""
+    kept = f" where {_uniform_sql(table, 'dropped')} >= {DROPPED[table]}" if table in DROPPED else ""
     return f"(select * replace ({', '.join(changes)}) from {table}{kept})"

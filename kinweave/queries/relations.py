@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.functions.hashing import hash_uniform, uniform_sql
+from kinweave.functions.hashing import bound, hash_uniform, uniform_sql
 from kinweave.operators import relational as R
 from kinweave.queries.registry import query
 from kinweave.queries.star import CHILDREN, GRAPH, SPECS, star, table
+from kinweave.session import cut
 
 # deterministic stand-in for a fitted cluster of each line
 CLUSTERS = 5
@@ -293,10 +294,9 @@ upto as (select label, group_size, sum(n) over (partition by label order by grou
     select o_orderkey, label, unnest(range(1, size + 1)) as slot from drawn""",
 )
 def l9(spark, d) -> DataFrame:
-    parents = R.label_parents(
-        table(spark, d, "orders").select("o_orderkey"), "o_orderkey", order_labels(spark, d), "l_orderkey"
-    )
-    dist = R.size_distribution(labelled_sizes(spark, d), "label")
+    sized = cut(labelled_sizes(spark, d))  # gives both the labels and the distribution
+    parents = R.label_parents(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", sized, "l_orderkey")
+    dist = R.size_distribution(sized, "label")
     return R.expand_children(parents, "o_orderkey", "label", dist, salt="size")
 
 
@@ -391,6 +391,6 @@ def u4(spark, d) -> DataFrame:
 def w3(spark, d) -> DataFrame:
     dist = R.size_distribution(R.group_sizes(table(spark, d, "lineitem"), "l_orderkey"))
     row = R.pack_distribution(dist, None, "group_size").first()
-    at = F.size(F.filter(F.lit(row["upto"]), lambda s: s < hash_uniform("c_custkey", salt="w3")))
+    at = bound(hash_uniform("c_custkey", salt="w3"), lambda u: F.size(F.filter(F.lit(row["upto"]), lambda s: s < u)))
     pick = F.element_at(F.lit(row["values"]), F.least(at + 1, F.lit(len(row["values"]))))
     return table(spark, d, "customer").select("c_custkey", pick.alias("drawn"))
