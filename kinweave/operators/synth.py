@@ -29,7 +29,6 @@ from kinweave.operators.encode import (
     normal_quantile,
     one_hot,
     quantile_grid,
-    uniform_scores,
 )
 from kinweave.operators.knn import knn_join
 from kinweave.operators.ordering import exact_quantiles, with_position, with_rank
@@ -68,6 +67,29 @@ def counter_uniforms(keys: np.ndarray, width: int, seed: int) -> np.ndarray:
     return out
 
 
+def interval_scores(values: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and second moment of the normal score of each value.
+
+    A value holding a whole stretch of the grid stands for every score in it, so its moments are those of the
+    normal cut to that stretch.  Over the table the scores then have mean 0 and variance 1, ties or not.
+    """
+    levels = np.linspace(0.0, 1.0, len(grid))
+    half = 0.5 / (len(grid) - 1)
+    left = np.searchsorted(grid, values, side="left")
+    right = np.searchsorted(grid, values, side="right")
+    at = normal_quantile(np.interp(values, grid, levels))
+    first, second = at, at**2
+    tied = right - left > 1
+    if tied.any():
+        low = np.clip(levels[left[tied]] - half, 0.0, 1.0)
+        high = np.clip(levels[right[tied] - 1] + half, 0.0, 1.0)
+        a, b = normal_quantile(low), normal_quantile(high)
+        fa, fb = (np.exp(-(x**2) / 2) / np.sqrt(2 * np.pi) for x in (a, b))
+        first[tied] = (fa - fb) / (high - low)
+        second[tied] = 1 + (a * fa - b * fb) / (high - low)
+    return first, second
+
+
 @dataclass
 class CopulaSynthesizer:
     """Marginals by quantile grids, dependence by a normal copula per label.
@@ -94,7 +116,7 @@ class CopulaSynthesizer:
             {c: F.nullif(F.array_position(array_of(v), F.col(c).cast("string")), F.lit(0)) - 1 for c, v in lists.items() if v}
         )
         n_rows = work.count()
-        n_quantiles = max(2, default_quantiles(n_rows))
+        n_quantiles = max(201, default_quantiles(n_rows))
         grids = quantile_grid(work, columns, n_quantiles)
         sizes = {c: len(lists[c]) if c in lists else int(codes[c].count()) for c in categorical}
         fixed = {c: np.asarray(grids[c] or [0.0, 0.0], dtype=float) for c in columns}
@@ -106,16 +128,19 @@ class CopulaSynthesizer:
         def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held: dict[int, tuple[float, np.ndarray, np.ndarray]] = {}
             for pdf in batches:
-                z = np.zeros((len(pdf), d))
+                z, zz = np.zeros((len(pdf), d)), np.ones((len(pdf), d))
                 for j, c in enumerate(columns):
                     x = pdf[c].to_numpy(dtype=float)
-                    z[:, j] = np.nan_to_num(normal_quantile(uniform_scores(np.nan_to_num(x), fixed[c])))
-                    z[np.isnan(x), j] = 0.0
+                    known = ~np.isnan(x)
+                    z[known, j], zz[known, j] = interval_scores(x[known], fixed[c])
                 labels = pdf["__label"].to_numpy()
                 for value in np.unique(labels):
-                    part = z[labels == value]
+                    mine = labels == value
+                    part = z[mine]
+                    products = (part[:, first] * part[:, second]).sum(axis=0)
+                    products[first == second] = zz[mine].sum(axis=0)
                     n, s, p = held.get(int(value), (0.0, np.zeros(d), np.zeros(len(upper))))
-                    held[int(value)] = (n + len(part), s + part.sum(axis=0), p + (part[:, first] * part[:, second]).sum(axis=0))
+                    held[int(value)] = (n + len(part), s + part.sum(axis=0), p + products)
             for value, (n, s, p) in held.items():
                 yield pd.DataFrame(
                     {
@@ -192,9 +217,12 @@ class CopulaSynthesizer:
                     z[at] = mean + e[at] @ root.T
                 out = {c: pdf[c] for c in carried}
                 for j, c in enumerate(columns):
-                    levels = np.linspace(0.0, 1.0, len(grids[c]))
-                    x = np.interp(normal_cdf(z[:, j]), levels, grids[c])
-                    out[c] = np.clip(np.round(x), 0, max(sizes[c] - 1, 0)) if c in sizes else x
+                    p = normal_cdf(z[:, j])
+                    if c in sizes:  # codes are not interpolated: the nearest grid level decides
+                        x = grids[c][np.round(p * (len(grids[c]) - 1)).astype(int)]
+                        out[c] = np.clip(np.round(x), 0, max(sizes[c] - 1, 0))
+                    else:
+                        out[c] = np.interp(p, np.linspace(0.0, 1.0, len(grids[c])), grids[c])
                 yield pd.DataFrame(out)
 
         kept = [f"`{c}` {slots.schema[c].dataType.simpleString()}" for c in carried]
