@@ -16,8 +16,11 @@ _MASK = (1 << 64) - 1
 _BASE = 0xD6E8FEB86659FD93  # odd, hence invertible modulo 2**64
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
-_ARE_WORD = np.ones(256, dtype=bool)
-_ARE_WORD[[0x20, *range(0x09, 0x0E)]] = False
+ARE_WORD = np.ones(256, dtype=bool)
+ARE_WORD[[0x20, *range(0x09, 0x0E)]] = False
+#: Bytes of words without ASCII punctuation.
+ARE_PLAIN = ARE_WORD.copy()
+ARE_PLAIN[np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8)] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 BYTE_VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -87,12 +90,12 @@ def blocks(data: np.ndarray, offsets: np.ndarray, limit: int = BLOCK_BYTES) -> I
         row = min(stop, n)
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, are_word: np.ndarray = ARE_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and the first word of each row (with the total at the end)."""
     if not len(data):
         empty = np.zeros(0, np.int64)
         return empty, empty, np.zeros(len(offsets), np.int64)
-    inside = _ARE_WORD[data]
+    inside = are_word[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
@@ -104,9 +107,11 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, lower: bool, are_word: np.ndarray = ARE_WORD
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end of every word, and the first word of each row."""
-    starts, ends, bounds = word_spans(data, offsets)
+    starts, ends, bounds = word_spans(data, offsets, are_word)
     return range_hash(prefix_sums(_LOWER[data] if lower else data), starts, ends), starts, ends, bounds
 
 
