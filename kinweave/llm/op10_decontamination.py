@@ -308,6 +308,12 @@ def _search(known: DataFrame, targets: Targets, idf: np.ndarray, latent: Latent,
     return known.mapInArrow(run, shape)
 
 
+def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark item; columns and rows stay as they are otherwise."""
+    hit = leaks(docs, benchmark).select(F.col("doc_id").alias("__hit")).distinct()
+    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("__hit")), "left_anti")
+
+
 @query("op10_decontamination")
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

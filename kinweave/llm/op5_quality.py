@@ -172,16 +172,18 @@ def held_out(column: str):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def fit_quality(stats: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Trees:
-    """Fit on at most ``train_rows`` labelled documents outside the held-out fold, chosen by a hash of their id.
-
-    ``stats`` has ``__id, features``, ``labels`` has ``doc_id, quality``; null labels are left out.
-    """
+def training_labels(labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """At most ``train_rows`` rows ``doc_id, quality`` outside the held-out fold, those of the smallest id hashes; no nulls."""
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id", "quality")
     n = usable.count()
     if n > train_rows:  # a little more than needed by hash, then exactly the smallest hashes of these
         usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.2 * train_rows / n)))
-        usable = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    return usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+
+
+def fit_quality(stats: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Trees:
+    """Fit on the statistics (``__id, features``) of the rows of :func:`training_labels`."""
+    usable = training_labels(labels, train_rows)
     rows = stats.join(usable, stats["__id"] == usable["doc_id"]).select("doc_id", "features", "quality").limit(train_rows).toArrow()
     rows = rows.sort_by("doc_id")
     x = np.array(rows.column("features").to_pylist(), dtype=float).reshape(len(rows), len(FEATURES))
@@ -213,6 +215,21 @@ def quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, th
     )
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the documents that the classifier rejects; columns and rows stay as they are otherwise."""
+    usable = training_labels(labels, train_rows).withColumnRenamed("doc_id", "__wanted")
+    # at most train_rows ids, hence a bounded broadcast
+    known = docs.join(F.broadcast(usable.select("__wanted").distinct()), docs["doc_id"] == F.col("__wanted"), "left_semi")
+    model = fit_quality(document_statistics(known), labels, train_rows)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in over_batches(batches, "text"):
+            good = model.score(statistics(data, offsets).astype(np.float32).astype(float)) >= threshold
+            yield rows.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 @query("op5_quality")
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -268,7 +268,9 @@ def _tree_pairs(shared: DataFrame, points: DataFrame, of: DataFrame, percent: in
 
 
 def jaccard_components(docs: DataFrame, n: int, percent: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id, row, n_shingles, component_id`` per row of ``docs``.
+    """``doc_id, row, n_shingles, component_id, component`` per row of ``docs`` (a stored table).
+
+    ``component`` numbers the components; it is null for rows that are linked with nothing because their set is empty.
 
     Words are lower-cased (A-Z); a text with fewer than ``n`` words has its whole sequence as one shingle; null texts and
     texts without words have the empty set and are linked with nothing.  component_id is the smallest doc_id reachable by
@@ -293,11 +295,24 @@ def jaccard_components(docs: DataFrame, n: int, percent: int, id_column: str = "
     of = keep(components(of.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "jaccard-components")
     named = nodes.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("mark", "component_id")
+    named = named.join(least, "component").select("mark", "component_id", "component")
     out = described.select("doc_id", "row", "n_shingles", "mark").join(named, "mark", "left")
-    return out.select("doc_id", "row", "n_shingles", F.when(F.col("mark").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    nearest = F.when(F.col("mark").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "row", "n_shingles", nearest.alias("component_id"), "component")
+
+
+def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` (a stored table) with one row of each component, that of the smallest doc_id; null ids rank last.
+
+    Rows with empty sets all stay; columns stay as they are.
+    """
+    found = keep(jaccard_components(docs, n, percent).where("component is not null"), "jaccard-found")
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
+    stay = found.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.min(place).alias("first")).where("members > 1")
+    gone = found.join(stay, "component").where(F.col("row") != F.col("first")["row"]).select(F.col("row").alias("__row"))
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 @query("op8_jaccard")
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"), 3, 90).drop("row")
+    return jaccard_components(table(spark, sf_dir, "documents"), 3, 90).drop("row", "component")

@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.store import keep, partitions_for, text_bytes
-from kinweave.llm.words import mix, powers, sliding_min, text_block
+from kinweave.llm.words import blocks, mix, powers, sliding_min, text_block
 
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 RANGE_ANCHORS = 400_000
 HOT_CONTEXTS = 20_000  # contexts of one fingerprint that a task may hold
 GROUP_BYTES = 1 << 20  # contexts resolved together
@@ -163,12 +163,23 @@ def unpress(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return text_block(pa.array([press.decompress(t) for t in column.to_pylist()], pa.large_binary()))
 
 
+def _shard_anchors(corpus: Corpus, data: np.ndarray, offsets: np.ndarray) -> tuple[Anchors, np.ndarray]:
+    """Anchors of a shard, found block by block, and its row bounds in units."""
+    parts, all_bounds, units = [], [np.zeros(1, np.int64)], 0
+    for a, b in blocks(data, offsets):
+        values, bounds = corpus.units(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        found = find_anchors(unit_sums(values), bounds, corpus.window, corpus.gram)
+        parts.append((found.owner + a, found.lo + units, found.hi + units, found.fingerprint, found.context))
+        all_bounds.append(bounds[1:] + units)
+        units += int(bounds[-1])
+    return Anchors(*[np.concatenate(c) for c in zip(*parts)]), np.concatenate(all_bounds)
+
+
 def _shard_rows(corpus: Corpus, docs: pa.RecordBatch, ranges: int, turn: int) -> Iterator[tuple[int, bytes]]:
     """Sorted run of one shard, cut into the fingerprint ranges; locally resolved windows as spans behind them."""
     data, offsets = text_block(docs.column("text"))
     doc, row = docs.column("doc").to_numpy(), docs.column("row").to_numpy()
-    values, bounds = corpus.units(data, offsets)
-    a = find_anchors(unit_sums(values), bounds, corpus.window, corpus.gram)
+    a, bounds = _shard_anchors(corpus, data, offsets)
     if not len(a.lo):
         return
     if corpus.local:
