@@ -217,9 +217,9 @@ def quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, th
 
 def keep_good(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents that the classifier rejects; columns and rows stay as they are otherwise."""
-    usable = training_labels(labels, train_rows).withColumnRenamed("doc_id", "__wanted")
+    usable = training_labels(labels, train_rows).select("doc_id").distinct()
     # at most train_rows ids, hence a bounded broadcast
-    known = docs.join(F.broadcast(usable.select("__wanted").distinct()), docs["doc_id"] == F.col("__wanted"), "left_semi")
+    known = docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id", "left_semi")
     model = fit_quality(document_statistics(known), labels, train_rows)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

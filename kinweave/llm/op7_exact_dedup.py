@@ -201,12 +201,14 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` without superseded copies, by the rule of :func:`exact_dedup`; all other columns stay as they are."""
     lowered = F.translate(F.coalesce(text_column, F.lit("")), _UPPER, _UPPER.lower())
-    marked = docs.withColumns({"__row": F.monotonically_increasing_id(), "__digest": F.unhex(F.sha2(lowered.cast("binary"), 256))})
+    marked = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), F.col(id_column).cast("long").alias("doc_id"),
+        F.monotonically_increasing_id().alias("row"), F.unhex(F.sha2(lowered.cast("binary"), 256)).alias("digest"),
+    )
     marked = keep(marked, "exact-marked")  # one numbering of the rows for both uses
-    groups = merged_groups(marked.select(F.col(id_column).alias("doc_id"), F.col("__row").alias("row"), F.col("__digest").alias("digest")))
-    several = keep(groups.where("group_size > 1").select(F.col("digest").alias("__digest"), F.col("keep_row").alias("__keep")), "exact-groups")
-    out = marked.join(several, "__digest", "left")
-    return out.where(F.col("__keep").isNull() | (F.col("__keep") == F.col("__row"))).select(*docs.columns)
+    several = keep(merged_groups(marked.select("doc_id", "row", "digest")).where("group_size > 1").select("digest", "keep_row"), "exact-groups")
+    out = marked.join(several, "digest", "left")
+    return out.where(F.col("keep_row").isNull() | (F.col("keep_row") == F.col("row"))).select("record.*")
 
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -309,8 +309,9 @@ def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     found = keep(jaccard_components(docs, n, percent).where("component is not null"), "jaccard-found")
     place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
     stay = found.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.min(place).alias("first")).where("members > 1")
-    gone = found.join(stay, "component").where(F.col("row") != F.col("first")["row"]).select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").select(*docs.columns)
+    gone = found.join(stay, "component").where(F.col("row") != F.col("first")["row"]).select("row")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), F.monotonically_increasing_id().alias("row"))
+    return whole.join(gone, "row", "left_anti").select("record.*")
 
 
 @query("op8_jaccard")

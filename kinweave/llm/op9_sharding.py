@@ -39,36 +39,39 @@ def external_shuffle(
     docs: DataFrame, folder: str, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES,
     id_column: str = "doc_id", text_column: str = "text",
 ) -> DataFrame:
-    """Write ``docs`` to ``folder`` as shuffled shards (``shard=N`` folders) and return the written rows.
+    """Write ``docs`` to ``folder`` as shuffled shards (``shard_dir=N`` folders) and return the written rows.
 
-    Added columns: ``__size`` (UTF-8 bytes of the text plus 16; null text: 16), ``__crc32``, ``shard``, ``grown_shard``
-    (with one more shard) and ``slot`` (0, 1, ... in each shard).  A null doc_id is a key of its own; repeated rows are
-    all kept, share a shard and are spread over its buckets.  An empty table writes no rows.
+    Columns: ``record`` (all columns of the row), ``size`` (UTF-8 bytes of the text plus 16; null text: 16),
+    ``text_crc32``, ``shard``, ``grown_shard`` (with one more shard) and ``slot`` (0, 1, ... in each shard).  A null
+    doc_id is a key of its own; rows that repeat share a shard and are spread over its buckets.  An empty table writes
+    no rows.
     """
     text = F.coalesce(F.col(text_column), F.lit("")).cast("binary")
-    sized = docs.withColumns({"__size": (F.octet_length(text) + RECORD_OVERHEAD).cast("long"), "__crc32": F.crc32(text)})
-    total = sized.agg(F.sum("__size")).first()[0] or 0
+    sized = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), F.col(id_column).alias("id"), F.monotonically_increasing_id().alias("row"),
+        (F.octet_length(text) + RECORD_OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+    )
+    total = sized.agg(F.sum("size")).first()[0] or 0
     buckets = max(1, -(-total // (shards * bucket_bytes)))
-    placed = sized.withColumns(
-        {"__shard": shard_of(id_column, shards, seed), "__grown": shard_of(id_column, shards + 1, seed), "__row": F.monotonically_increasing_id()}
-    ).withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed), F.lit("bucket"), id_column, "__crc32", "__row"), F.lit(buckets)))
+    placed = sized.withColumns({"shard": shard_of("id", shards, seed), "grown_shard": shard_of("id", shards + 1, seed)})
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), F.lit("bucket"), "id", "text_crc32", "row"), F.lit(buckets)))
 
     def shuffled(group: pa.Table) -> pa.Table:
-        at, bucket = group.column("__shard")[0].as_py(), group.column("__bucket")[0].as_py()
-        group = group.sort_by([(id_column, "ascending"), ("__crc32", "ascending"), ("__row", "ascending")])
-        group = group.take(pa.array(fisher_yates(len(group), seed, at, bucket)))
-        return group.append_column("__place", pa.array(np.arange(len(group)), pa.int64()))
-
-    schema = T.StructType([*placed.schema.fields, T.StructField("__place", T.LongType())])
-    done = placed.groupBy("__shard", "__bucket").applyInArrow(shuffled, schema).drop("__row").withColumn("shard_dir", F.col("__shard"))
-    done = done.sortWithinPartitions("shard_dir", "__bucket", "__place")
+        shard, bucket = group.column("shard")[0].as_py(), group.column("bucket")[0].as_py()
+        order = np.lexsort([group.column(c).to_numpy() for c in ("row", "text_crc32")])
+        order = order[fisher_yates(len(group), seed, shard, bucket)]
+        return group.take(pa.array(order)).append_column("place", pa.array(np.arange(len(group)), pa.int64()))
+
+    schema = T.StructType([*placed.schema.fields, T.StructField("place", T.LongType())])
+    done = placed.groupBy("shard", "bucket").applyInArrow(shuffled, schema).drop("row", "id").withColumn("shard_dir", F.col("shard"))
+    done = done.sortWithinPartitions("shard_dir", "bucket", "place")
     done.write.option("compression", "zstd").partitionBy("shard_dir").parquet(folder)
     back = docs.sparkSession.read.schema(done.schema).parquet(folder).drop("shard_dir")
-    counts = back.groupBy("__shard", "__bucket").agg(F.count(F.lit(1)).alias("__n"))  # one row per bucket
-    before = Window.partitionBy("__shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    out = back.join(starts, ["__shard", "__bucket"]).withColumn("slot", F.col("__before") + F.col("__place"))
-    return out.withColumnsRenamed({"__shard": "shard", "__grown": "grown_shard"}).drop("__bucket", "__place", "__before")
+    counts = back.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("rows"))  # one row per bucket
+    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0))).drop("rows")
+    out = back.join(starts, ["shard", "bucket"])
+    return out.select("record", "size", "text_crc32", "shard", "grown_shard", (F.col("before") + F.col("place")).alias("slot"))
 
 
 @query("op9_sharding")
@@ -76,6 +79,6 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = external_shuffle(docs, new_folder(spark, "shards"))
     return out.select(
-        "doc_id", F.col("__size").alias("size"), F.col("__crc32").alias("text_crc32"), F.lit("key").alias("law"),
+        F.col("record.doc_id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"),
         F.col("shard").cast("int").alias("shard"), "slot", F.col("grown_shard").cast("int").alias("grown_shard"),
     )
