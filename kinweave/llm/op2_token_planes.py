@@ -49,7 +49,7 @@ def from_planes(planes: Iterable[tuple[int, bytes]], n: int, scheme: str) -> np.
         bits = np.zeros((32, n), np.uint8)
         for k, p in planes:
             bits[k] = np.unpackbits(np.frombuffer(press.decompress(p), np.uint8), count=n)
-        return np.packbits(bits.T, axis=1, bitorder="little").view("<u4").ravel()
+        return np.ascontiguousarray(np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")).view("<u4").ravel()
     raw = np.zeros((4, n), np.uint8)
     for k, p in planes:
         raw[k] = np.frombuffer(press.decompress(p), np.uint8)
