@@ -1,6 +1,7 @@
 """Operator 8: n-gram Jaccard join with an R-tree over count vectors.
 
-A document's shingles are hashed into ``GROUPS`` groups; the counts per group are its point.  Two sets share at most the
+A document's shingles are hashed into groups; the counts per group are its point (``GROUPS`` dimensions in the tree,
+more for large sets where pairs are compared).  Two sets share at most the
 sum over the groups of the smaller count, so an R-tree node whose upper corner cannot reach the required overlap holds no
 partner.  Count points of unrelated texts lie close together, so one tree over a corpus would visit most of its nodes;
 sets that link must share one of their first ``n - ceil(t * n) + 1`` shingles in any common order, and these keys deal
@@ -23,11 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm.components import components
+from kinweave.llm.passages import numbered, unpress
 from kinweave.llm.registry import query
 from kinweave.llm.store import keep, partitions_for, table, text_bytes
-from kinweave.llm.words import over_batches, ragged, shingles, text_block, word_hashes
+from kinweave.llm.words import over_batches, ragged, shingles, word_hashes
 
-GROUPS = 16
+GROUPS = 16  # dimensions of the R-tree
+COARSE = 32  # shingles per group in the vectors that travel with the blocks
+FINE = 2  # and in those that decide whether a pair's texts are compared
 SAMPLE_DOCS = 20_000  # documents whose shingle frequencies order the keys
 FREQUENT_SHARE = 0.001  # of the sample
 FREQUENT_MOST = 65_536  # shingles in the broadcast list; only the order of keys depends on it
@@ -40,10 +44,30 @@ def least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
+def counted(s: np.ndarray, per_group: int) -> np.ndarray:
+    """Count vector of a set, with a power of two of groups that have about ``per_group`` shingles each."""
+    groups = max(GROUPS, 1 << max(0, int(np.ceil(np.log2(max(len(s), 1) / per_group)))))
+    return np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+
+
+def folded(vector: np.ndarray, groups: int) -> np.ndarray:
+    """The same set counted in fewer groups (the group is the low bits of the hash)."""
+    return vector.reshape(-1, groups).sum(axis=0)
+
+
+def reachable(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether sets with these count vectors can link."""
+    n, m, groups = int(a.sum()), int(b.sum()), min(len(a), len(b))
+    if 100 * n < percent * m or 100 * m < percent * n:
+        return False
+    return int(np.minimum(folded(a, groups), folded(b, groups)).sum()) >= -(-percent * (n + m) // (100 + percent))
+
+
 class CountTree:
     """Static R-tree over count vectors, packed in the order of set size and then of the counts."""
 
     def __init__(self, points: np.ndarray) -> None:
+        self.given = points
         self.size = points.sum(axis=1)
         self.order = np.lexsort([*points.T[:3], self.size])
         self.points = points[self.order]
@@ -56,6 +80,9 @@ class CountTree:
             low, high = np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
             self.levels.append((upper, low, high))
 
+    def point(self, k: int) -> np.ndarray:
+        return self.given[k]
+
     def search(self, point: np.ndarray, percent: int) -> np.ndarray:
         """Indices of the points whose overlap with ``point`` may be large enough."""
         size = int(point.sum())
@@ -93,11 +120,12 @@ def _described(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> D
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in over_batches(batches, "text"):
             words, _, _, bounds = word_hashes(data, offsets, lower=True)
-            sizes, marks, vectors, keys, key_counts = [], [], [], [], []
+            sizes, marks, points, fines, keys, key_counts = [], [], [], [], [], []
             for s in shingles(words, bounds, n):
                 sizes.append(len(s))
                 marks.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                vectors.append(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS))
+                points.append(counted(s, COARSE).astype("<u4").tobytes())
+                fines.append(counted(s, FINE).astype("<u4").tobytes())
                 prefix = len(s) - (-(-percent * len(s) // 100)) + 1 if len(s) else 0
                 # by frequency class, then by hash; the low bits chose the group, so the order reads the high bits
                 late = np.zeros(len(s), bool)
@@ -107,16 +135,15 @@ def _described(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> D
                 keys.append(first)
                 key_counts.append(len(first))
             flat = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
-            points = np.array(vectors, np.int32).reshape(-1, GROUPS)
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column("doc_id"), rows.column("row"), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()),
-                    ragged(points.ravel(), np.full(len(points), GROUPS), pa.int32()), ragged(flat, np.array(key_counts, np.int64), pa.int64()),
+                    pa.array(points, pa.binary()), pa.array(fines, pa.binary()), ragged(flat, np.array(key_counts, np.int64), pa.int64()),
                 ],
-                names=["doc_id", "row", "n_shingles", "mark", "point", "keys"],
+                names=["doc_id", "row", "n_shingles", "mark", "point", "fine", "keys"],
             )
 
-    shape = "doc_id long, row long, n_shingles long, mark binary, point array<int>, keys array<long>"
+    shape = "doc_id long, row long, n_shingles long, mark binary, point binary, fine binary, keys array<long>"
     return docs.mapInArrow(run, shape)
 
 
@@ -160,18 +187,26 @@ def _shared_keys(nodes: DataFrame) -> DataFrame:
     return laid.mapInArrow(run, "key long, rep long, node long")
 
 
-def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+def _vector(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u4").astype(np.int64)
+
+
+def _bounded(pairs: DataFrame, sets: DataFrame, vector: str, percent: int) -> DataFrame:
     """Pairs (a, b) whose count vectors allow enough overlap."""
-    one = points.select(F.col("node").alias("a"), F.col("point").alias("p"), F.col("n_shingles").alias("n"))
-    two = points.select(F.col("node").alias("b"), F.col("point").alias("q"), F.col("n_shingles").alias("m"))
-    bound = F.expr("aggregate(zip_with(p, q, (x, y) -> least(x, y)), 0L, (s, x) -> s + x)")
-    small = F.col("m").between(F.ceil(F.col("n") * percent / 100), F.floor(F.col("n") * 100 / percent))
-    found = pairs.join(one, "a").join(two, "b").where(small)
-    return found.where((100 + percent) * bound >= percent * (F.col("n") + F.col("m"))).select("a", "b")
+    one = sets.select(F.col("node").alias("a"), F.col(vector).alias("p"), F.col("n_shingles").alias("n"))
+    two = sets.select(F.col("node").alias("b"), F.col(vector).alias("q"), F.col("n_shingles").alias("m"))
+    found = pairs.join(one, "a").join(two, "b").where((100 * F.col("n") >= percent * F.col("m")) & (100 * F.col("m") >= percent * F.col("n")))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fit = [reachable(_vector(p), _vector(q), percent) for p, q in zip(batch.column("p").to_pylist(), batch.column("q").to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(fit, pa.bool_()))
+
+    return found.select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs whose shingle sets link.  ``texts`` has ``node, text``."""
+    """Pairs whose shingle sets link.  ``texts`` has ``node, text``, the text compressed."""
     pairs = keep(pairs, "jaccard-pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     known = keep(texts.join(wanted, "node", "left_semi"), "jaccard-texts")
@@ -179,7 +214,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     both = both.join(known.select(F.col("node").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
 
     def sets(batch: pa.RecordBatch, column: str) -> Iterator[np.ndarray]:
-        data, offsets = text_block(batch.column(column))
+        data, offsets = unpress(batch.column(column))
         words, _, _, bounds = word_hashes(data, offsets, lower=True)
         return shingles(words, bounds, n)
 
@@ -196,7 +231,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return keep(both.mapInArrow(run, "a long, b long"), "jaccard-links")
 
 
-def _tree_pairs(shared: DataFrame, points: DataFrame, of: DataFrame, percent: int) -> DataFrame:
+def _tree_pairs(shared: DataFrame, sets: DataFrame, of: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that meet under a key and that the R-tree cannot rule out."""
     placed = shared.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = keep(placed.select("key", "node", "component"), "jaccard-placed")
@@ -211,7 +246,7 @@ def _tree_pairs(shared: DataFrame, points: DataFrame, of: DataFrame, percent: in
     mine = rows.withColumn("mine", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")))
     met = mine.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     met = met.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "node", "component")
-    full = met.join(points.select("node", "point"), "node")
+    full = met.join(sets.select("node", "point"), "node")
     order = ["key", "p", "q"]
     tasks = partitions_for(full, 1, 1)
     laid = full.repartition(tasks, *order).sortWithinPartitions(*order, "node")
@@ -220,17 +255,18 @@ def _tree_pairs(shared: DataFrame, points: DataFrame, of: DataFrame, percent: in
         node, component = rows.column("node").to_numpy(), rows.column("component").to_numpy()
         side = rows.column("mine").to_numpy()
         p, q = rows.column("p")[0].as_py(), rows.column("q")[0].as_py()
-        point = rows.column("point").combine_chunks().flatten().to_numpy().reshape(len(node), GROUPS)
+        vectors = [_vector(v) for v in rows.column("point").to_pylist()]
         left, right = [], []
-        tree = CountTree(point)
+        tree = CountTree(np.array([folded(v, GROUPS) for v in vectors]))
         for i in range(len(node)):
-            for j in tree.search(point[i], percent):
-                if node[i] < node[j] and component[i] != component[j] and (p == q or side[i] != side[j]):
-                    pair = (int(node[i]), int(node[j]))
-                    if pair not in seen:
-                        seen.add(pair)
-                        left.append(pair[0])
-                        right.append(pair[1])
+            found = tree.search(tree.point(i), percent)
+            found = found[(node[found] > node[i]) & (component[found] != component[i])]
+            for j in found if p == q else found[side[found] != side[i]]:
+                pair = (int(node[i]), int(node[j]))
+                if pair not in seen and reachable(vectors[i], vectors[j], percent):
+                    seen.add(pair)
+                    left.append(pair[0])
+                    right.append(pair[1])
         return left, right
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,15 +319,17 @@ def jaccard_components(docs: DataFrame, n: int, percent: int, id_column: str = "
     # one node per distinct set: its first row
     nodes = described.where("mark is not null").groupBy("mark").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"))
     nodes = keep(nodes, "jaccard-nodes")
-    firsts = described.select(F.col("row").alias("node"), "n_shingles", "point", "keys").join(nodes.select("node", "copies"), "node")
+    firsts = described.select(F.col("row").alias("node"), "keys").join(nodes.select("node", "copies"), "node")
     shared = keep(_shared_keys(firsts), "jaccard-shared")
-    points = described.select(F.col("row").alias("node"), "n_shingles", "point")
-    texts = known.select(F.col("row").alias("node"), "text")
+    sets = described.select(F.col("row").alias("node"), "n_shingles", "point", "fine")
+    texts = numbered(docs, id_column, text_column).select(F.col("row").alias("node"), F.col("packed").alias("text"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return _verified(_bounded(keep(pairs, "jaccard-candidates"), sets, "fine", percent), texts, n, percent)
+
     stars = shared.where("rep <> node").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
-    links = _verified(_bounded(stars, points, percent), texts, n, percent)
-    of = components(links)
-    rest = _tree_pairs(shared, points, of, percent)
-    more = _verified(rest, texts, n, percent)
+    of = components(linked(_bounded(stars, sets, "point", percent)))
+    more = linked(_tree_pairs(shared, sets, of, percent))
     of = keep(components(of.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "jaccard-components")
     named = nodes.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
