@@ -13,7 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_RANGE = 4294967296.0  # 2**32
+_DIGITS = 13  # hexadecimal digits of a digest in one number: 52 bits, all exact in a double
+_RANGE = 2.0 ** (4 * _DIGITS)
 
 
 def as_column(value: Column | str) -> Column:
@@ -21,20 +22,27 @@ def as_column(value: Column | str) -> Column:
 
 
 def hash_uniform(*keys: Column | str, salt: str, seed: int = 0, part: int = 0) -> Column:
-    """Uniform number in [0, 1) from 32 bits of an md5 over key, salt and seed.
+    """Uniform number in [0, 1) from 52 bits of an md5 over key, salt and seed.
 
-    One digest holds four independent numbers (``part`` 0 to 3); Spark computes a shared digest once.
+    One digest holds two independent numbers (``part`` 0 and 1); Spark computes a shared digest once.  Higher parts come
+    from further digests.
     """
     parts = [as_column(k).cast("string") for k in keys]
-    text = F.concat_ws(":", *parts, F.lit(salt), F.lit(str(seed)))
-    return F.conv(F.substring(F.md5(text), 1 + 8 * part, 8), 16, 10).cast("double") / F.lit(_RANGE)
+    text = F.concat_ws(":", *parts, *[F.lit(w) for w in _suffix(salt, seed, part)])
+    digits = F.substring(F.md5(text), 1 + _DIGITS * (part % 2), _DIGITS)
+    return F.conv(digits, 16, 10).cast("double") / F.lit(_RANGE)
+
+
+def _suffix(salt: str, seed: int, part: int) -> list[str]:
+    return [salt, str(seed), *([str(part // 2)] if part > 1 else [])]
 
 
 def uniform_sql(*keys: str, salt: str, seed: int = 0, part: int = 0) -> str:
     """DuckDB spelling of :func:`hash_uniform`."""
     parts = ", ".join(f"({k})::VARCHAR" for k in keys)
-    digest = f"md5(concat_ws(':', {parts}, '{salt}', '{seed}'))"
-    return f"(('0x' || substr({digest}, {1 + 8 * part}, 8))::UBIGINT / {_RANGE}::DOUBLE)"
+    rest = ", ".join(f"'{w}'" for w in _suffix(salt, seed, part))
+    digest = f"md5(concat_ws(':', {parts}, {rest}))"
+    return f"(('0x' || substr({digest}, {1 + _DIGITS * (part % 2)}, {_DIGITS}))::UBIGINT::DOUBLE / {_RANGE!r}::DOUBLE)"
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -119,7 +119,7 @@ def snap(column: Column, levels: Sequence[float]) -> Column:
     near = lambda x: F.array_min(
         F.transform(known, lambda v: F.struct(F.abs(v - x).alias("gap"), v.alias("level")))
     )
-    return bound(column, near)["level"]
+    return F.when(column.isNotNull(), bound(column, near)["level"])
 
 
 def levels_of(df: DataFrame, columns: Sequence[str], limit: int = 32) -> dict[str, list[float]]:

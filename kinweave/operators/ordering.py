@@ -47,15 +47,18 @@ def with_position(
     """Add the 0-based global ``position`` of each row in ``order``.
 
     For every column in ``sums`` (non-null integers or doubles) also add
-    ``run_<column>``, its inclusive running sum in that order.
+    ``run_<column>``, its inclusive running sum in that order.  Rows that tie in ``order`` are told apart by their
+    place in the input, so that a frequent value is dealt to several tasks.
     """
+    df = df.withColumn("__tie", F.monotonically_increasing_id())
+    order = [*order, "__tie"]
     for c in sums:
         wide = "double" if df.schema[c].dataType.typeName() in ("double", "float") else "bigint"
         df = df.withColumn(c, F.coalesce(F.col(c).cast(wide), F.lit(0).cast(wide)))
     laid = df.repartitionByRange(*order).sortWithinPartitions(*order)
     if sums:
         laid = _add_local_sums(laid, sums)
-    stored = cut(laid.withColumn("__mid", F.monotonically_increasing_id()))
+    stored = cut(laid.drop("__tie").withColumn("__mid", F.monotonically_increasing_id()))
     part = F.shiftright("__mid", _LOCAL_BITS)
     # one row per partition reaches the driver
     totals = (

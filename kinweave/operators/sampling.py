@@ -91,18 +91,31 @@ def covering_split(
     n_train: int,
     salt: str,
     first_seed: int = 1234,
-    max_seeds: int = 50,
     out: str = "split",
 ) -> tuple[DataFrame, int]:
-    """First seed whose train part holds every category; returns the split and that seed."""
+    """First seed whose train part holds every category; returns the split and that seed.
+
+    Seeds are tried until one fits.  A split that no seed can give - more rows with a value of their own than train has
+    room for - raises at once.
+    """
     wanted = {r["column"]: r["n"] for r in _distinct_values(df, categorical).collect()}
-    for seed in range(first_seed, first_seed + max_seeds):
-        placed = shuffled_order(df, key, salt, seed, position="__at")
-        parts = placed.withColumn(out, F.when(F.col("__at") < n_train, "train").otherwise("test")).drop("__at")
-        seen = {r["column"]: r["n"] for r in _distinct_values(parts.where(F.col(out) == "train"), categorical).collect()}
+    if max(wanted.values(), default=0) > n_train or _rows_alone(df, key, categorical) > n_train:
+        raise ValueError("the train part is too small for every category")
+    seed = first_seed
+    while True:
+        placed = shuffled_order(df.select(key, *categorical), key, salt, seed, position="__at")
+        train = placed.where(F.col("__at") < n_train)
+        seen = {r["column"]: r["n"] for r in _distinct_values(train, categorical).collect()}
         if seen == wanted:
-            return parts, seed
-    raise ValueError(f"no seed of {max_seeds} gives a train part with every category")
+            parts = placed.select(key, F.when(F.col("__at") < n_train, "train").otherwise("test").alias(out))
+            return df.join(parts, key), seed
+        seed += 1
+
+
+def _rows_alone(df: DataFrame, key: str, columns: Sequence[str]) -> int:
+    """Rows that hold the only occurrence of some value."""
+    alone = long_form(df, columns, [key]).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), F.first(key).alias("k"))
+    return alone.where((F.col("n") == 1) & F.col("value").isNotNull()).select("k").distinct().count()
 
 
 def _distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:

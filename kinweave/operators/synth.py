@@ -34,10 +34,12 @@ from kinweave.operators.knn import knn_join
 from kinweave.operators.ordering import exact_quantiles, with_position, with_rank
 from kinweave.operators.profile import bounds
 from kinweave.operators.relational import decode
-from kinweave.session import spread
+from kinweave.session import cut, spread
 from kinweave.specs import Domain
 
-MAX_LABELS = 2000  # parameter tables (labels x columns^2) travel to the tasks
+MAX_LABELS = 2000  # parameters of up to so many labels travel with the tasks; more are joined to the slots
+SHARE_TABLE = 100_000  # category shares of up to so many values travel with the tasks; more are joined by range
+SLOT_CHUNK = 100_000  # slots that one row expands to
 
 
 class Synthesizer(Protocol):
@@ -92,7 +94,8 @@ def interval_scores(values: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, n
 
 @dataclass
 class CopulaSynthesizer:
-    """Marginals by quantile grids, dependence by a normal copula per label.
+    """Numeric marginals by quantile grids, categories by their exact shares, dependence by a normal copula
+    per label.  Missing values come back at the rate of their column.
 
     ``guidance`` in [0, 1] moves the parameters of a label from the overall ones (0) to its own (1);
     labels with few rows are pulled back by ``pseudo_rows`` either way.
@@ -120,6 +123,16 @@ class CopulaSynthesizer:
         grids = quantile_grid(work, columns, n_quantiles)
         sizes = {c: len(lists[c]) if c in lists else int(codes[c].count()) for c in categorical}
         fixed = {c: np.asarray(grids[c] or [0.0, 0.0], dtype=float) for c in columns}
+        shares: dict[str, np.ndarray] = {}
+        spans: dict[str, DataFrame] = {}
+        for c in categorical:
+            counts = work.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("bigint").alias("code")).agg(F.count(F.lit(1)).alias("n"))
+            if sizes[c] <= SHARE_TABLE:
+                found = {r["code"]: r["n"] for r in counts.collect()}  # at most SHARE_TABLE rows
+                shares[c] = np.cumsum([found.get(k, 0) for k in range(sizes[c])], dtype=float)
+            else:
+                spans[c] = _share_spans(counts, sizes[c])
+        gaps = work.agg(F.lit(0).alias("__none"), *[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns]).first()
         d = len(columns)
         upper = [(i, j) for i in range(d) for j in range(i, d)]
         first = np.array([u[0] for u in upper], dtype=int)
@@ -151,18 +164,21 @@ class CopulaSynthesizer:
                 )
 
         labelled = work.withColumn("__label", F.col(label).cast("int") if label else F.lit(0)).where("__label is not null")
-        if label and labelled.select("__label").distinct().count() > MAX_LABELS:
-            raise ValueError(f"more than {MAX_LABELS} labels")
-        sums = (
-            labelled.select("__label", *columns)
-            .mapInPandas(partial, "__label int, entry int, value double")
-            .groupBy("__label", "entry")
-            .agg(F.sum("value").alias("value"))
-            .collect()  # labels x (1 + d + d (d + 1) / 2) numbers
-        )
+        entries = 1 + d + len(upper)
+        sums = labelled.select("__label", *columns).mapInPandas(partial, "__label int, entry int, value double")
+        sums = sums.groupBy("__label", "entry").agg(F.sum("value").alias("value"))
         stats: dict[int, np.ndarray] = {}
-        for r in sums:
-            stats.setdefault(r["__label"], np.zeros(1 + d + len(upper)))[r["entry"]] = r["value"]
+        many = None
+        if label and labelled.select("__label").distinct().count() > MAX_LABELS:
+            sums = cut(sums)
+            total = np.zeros(entries)
+            for r in sums.groupBy("entry").agg(F.sum("value").alias("value")).collect():
+                total[r["entry"]] = r["value"]
+            stats[-1] = total
+            many = self._label_parameters(sums, total, d, first, second)
+        else:
+            for r in sums.collect():  # labels x (1 + d + d (d + 1) / 2) numbers
+                stats.setdefault(r["__label"], np.zeros(entries))[r["entry"]] = r["value"]
         self.state = {
             "numeric": numeric,
             "categorical": categorical,
@@ -171,13 +187,32 @@ class CopulaSynthesizer:
             "lists": lists,
             "sizes": sizes,
             "grids": fixed,
+            "shares": shares,
+            "spans": spans,
+            "gaps": {c: float(gaps[c] or 0.0) for c in columns},
+            "many": many,
             "levels": C.levels_of(df, numeric),
             "params": self._parameters(stats, d, first, second),
             "kinds": {c: df.schema[c].dataType.simpleString() for c in columns},
         }
         return self
 
-    def _parameters(self, stats, d, first, second) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    def _label_parameters(self, sums: DataFrame, total: np.ndarray, d: int, first: np.ndarray, second: np.ndarray) -> DataFrame:
+        """``__label, __mean, __root`` of every label, for more labels than the driver should hold."""
+        lists = sums.groupBy("__label").agg(F.sort_array(F.collect_list(F.struct("entry", "value")))["value"].alias("entries"))
+
+        def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                means, roots = [], []
+                for entries in pdf["entries"]:
+                    mean, root = self._parameters({0: np.asarray(entries, dtype=float)}, d, first, second, total)[0]
+                    means.append(mean.tolist())
+                    roots.append(root.ravel().tolist())
+                yield pd.DataFrame({"__label": pdf["__label"], "__mean": means, "__root": roots})
+
+        return cut(lists.mapInPandas(solve, "__label int, __mean array<double>, __root array<double>"))
+
+    def _parameters(self, stats, d, first, second, total=None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         def moments(entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             n = max(entry[0], 1.0)
             mean = entry[1 : 1 + d] / n
@@ -186,7 +221,8 @@ class CopulaSynthesizer:
             cov[second, first] = cov[first, second]
             return mean, cov - np.outer(mean, mean)
 
-        total = sum(stats.values()) if stats else np.zeros(1 + d + len(first))
+        if total is None:
+            total = sum(stats.values()) if stats else np.zeros(1 + d + len(first))
         all_mean, all_cov = moments(total)
         out = {-1: (all_mean, _root(all_cov))}
         for value, entry in stats.items():
@@ -197,32 +233,46 @@ class CopulaSynthesizer:
 
     def sample(self, slots: DataFrame, seed: int = 0) -> DataFrame:
         s = self.state
-        columns, label, params, grids, sizes = s["numeric"] + s["categorical"], s["label"], s["params"], s["grids"], s["sizes"]
+        columns, label, params, grids = s["numeric"] + s["categorical"], s["label"], s["params"], s["grids"]
+        shares, spans, gaps, many = s["shares"], s["spans"], s["gaps"], s["many"]
         d = len(columns)
+        holed = [c for c in columns if gaps[c] > 0]
         keyed = slots.select(
             "*",
             F.xxhash64(F.col("slot_id").cast("string")).alias("__key"),
             (F.col(label).cast("int") if label else F.lit(0)).alias("__label"),
         )
         carried = slots.columns
+        if many is not None:
+            keyed = keyed.join(many, "__label", "left")
 
         def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                e = normal_quantile(counter_uniforms(pdf["__key"].to_numpy(), d, seed)) if d else np.zeros((len(pdf), 0))
+                u = counter_uniforms(pdf["__key"].to_numpy(), d + len(holed), seed)
+                e = normal_quantile(u[:, :d]) if d else np.zeros((len(pdf), 0))
                 z = np.zeros_like(e)
                 labels = pdf["__label"].to_numpy()
                 for value in np.unique(labels):
                     at = labels == value
                     mean, root = params.get(int(value), params[-1])
+                    if many is not None and pdf["__mean"].to_numpy()[at][0] is not None:
+                        mean = np.asarray(pdf["__mean"].to_numpy()[at][0], dtype=float)
+                        root = np.asarray(pdf["__root"].to_numpy()[at][0], dtype=float).reshape(d, d)
                     z[at] = mean + e[at] @ root.T
                 out = {c: pdf[c] for c in carried}
                 for j, c in enumerate(columns):
                     p = normal_cdf(z[:, j])
-                    if c in sizes:  # codes are not interpolated: the nearest grid level decides
-                        x = grids[c][np.round(p * (len(grids[c]) - 1)).astype(int)]
-                        out[c] = np.clip(np.round(x), 0, max(sizes[c] - 1, 0))
+                    if c in shares:
+                        upto = shares[c]
+                        last = int(np.searchsorted(upto, upto[-1])) if len(upto) else 0
+                        value = np.minimum(np.searchsorted(upto, p * upto[-1], side="right"), last).astype(float) if len(upto) else p * 0
+                    elif c in spans:
+                        value = p  # the range join below finds the category
                     else:
-                        out[c] = np.interp(p, np.linspace(0.0, 1.0, len(grids[c])), grids[c])
+                        value = np.interp(p, np.linspace(0.0, 1.0, len(grids[c])), grids[c])
+                    if c in holed:
+                        value = np.where(u[:, d + holed.index(c)] < gaps[c], np.nan, value)
+                    out[c] = value
                 yield pd.DataFrame(out)
 
         kept = [f"`{c}` {slots.schema[c].dataType.simpleString()}" for c in carried]
@@ -231,6 +281,8 @@ class CopulaSynthesizer:
         for c, levels in s["levels"].items():
             rows = rows.withColumn(c, C.snap(F.col(c), levels))
         for c in s["categorical"]:
+            if c in spans:
+                rows = _draw_code(rows, c, spans[c], s["sizes"][c])
             code = F.col(c).cast("int")
             if c in s["codes"]:
                 rows = decode(rows.withColumn(c, code), c, s["codes"][c])
@@ -242,6 +294,25 @@ class CopulaSynthesizer:
         return rows.select(*carried, *[F.col(c).cast(kinds[c]).alias(c) for c in columns])
 
 
+def _share_spans(counts: DataFrame, size: int) -> DataFrame:
+    """``code, low, high`` by cell: the part of [0, 1) that each category covers, cut into ``size`` cells."""
+    placed = with_position(counts, ["code"], sums=["n"])
+    total = placed.agg(F.sum("n")).first()[0]
+    spans = placed.select("code", ((F.col("run_n") - F.col("n")) / total).alias("__low"), (F.col("run_n") / total).alias("__high"))
+    spans = spans.withColumn("__high", F.when(F.col("__high") >= 1, F.lit(2.0)).otherwise(F.col("__high")))
+    top = F.lit(size - 1)
+    first, last = (F.least(F.floor(F.col(x) * size), top) for x in ("__low", "__high"))
+    return cut(spans.withColumn("__cell", F.explode(F.sequence(first, last))))
+
+
+def _draw_code(rows: DataFrame, column: str, spans: DataFrame, size: int) -> DataFrame:
+    """Replace the uniform number in ``column`` by the code of the category that covers it; null stays null."""
+    u = F.col(column)
+    asked = rows.withColumn("__at", F.least(F.floor(u * size), F.lit(size - 1)))
+    met = asked.join(spans, (F.col("__at") == F.col("__cell")) & (u >= F.col("__low")) & (u < F.col("__high")), "left")
+    return met.withColumn(column, F.col("code")).drop("__at", "__cell", "__low", "__high", "code")
+
+
 def _root(cov: np.ndarray) -> np.ndarray:
     """Square root of a covariance; tiny negative eigenvalues are cut off."""
     if not len(cov):
@@ -302,10 +373,12 @@ def smote(
     frac: float = 1.0,
     frac_lam_del: float = 0.0,
     seed: int = 0,
+    total: int | None = None,
 ) -> DataFrame:
     """floor(frac * class size) new rows per class: ``new_id``, the features and the target.
 
-    Numerics move towards a neighbour by a step in [del/2, 1 - del/2]; categoricals take the majority of the
+    With ``total`` the classes share exactly so many rows by largest remainder instead.  A row without a neighbour in
+    its class - a class of one row - is copied.  Numerics move towards a neighbour by a step in [del/2, 1 - del/2]; categoricals take the majority of the
     neighbours (smallest on ties).  For regression the classes are the halves at the target's median and the
     target is synthesised as one more numeric column.
     """
@@ -346,33 +419,31 @@ def smote(
         F.sort_array(F.collect_list(F.struct("neighbour_rank", "__row"))).alias("__near")
     )
     based = with_rank(
-        unit.join(lists, "__id").select("__id", "__code", target, *carried, "__near"), ["__code"], ["__id"], rank="__rank"
+        unit.join(lists, "__id", "left").select("__id", "__code", target, *carried, "__near"), ["__code"], ["__id"], rank="__rank"
     )
-    sizes = work.groupBy("__code").agg(F.count(F.lit(1)).alias("n")).join(
-        based.groupBy("__code").agg(F.count(F.lit(1)).alias("bases")), "__code"
-    )
-    classes = sizes.orderBy("__code").limit(MAX_LABELS + 1).collect()
-    if len(classes) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} classes")
-    slots = _class_slots(df.sparkSession, [(r["__code"], int(r["n"] * frac), r["bases"]) for r in classes])
+    sizes = work.groupBy("__code").agg(F.count(F.lit(1)).alias("__bases"))
+    slots = _class_slots(_quotas(sizes, frac, total))
     u = lambda salt: hash_uniform("__code", "__slot", salt=f"smote-{salt}", seed=seed)
     drawn = slots.select("__code", "__slot", (F.floor(u("base") * F.col("__bases")) + 1).alias("__rank"))
     rows = drawn.join(based, ["__code", "__rank"])
     low, high = frac_lam_del / 2, 1.0 - frac_lam_del / 2
     chosen = F.element_at("__near", (F.floor(u("neighbour") * F.size("__near")) + 1).cast("int"))["__row"]
+    chosen = F.when(F.col("__near").isNotNull(), chosen).otherwise(F.struct(*carried))
     rows = rows.withColumn("__pick", chosen).withColumn("__step", F.lit(low) + F.lit(high - low) * u("step"))
     levels = C.levels_of(df, moved)
 
     def number(i: int, c: str) -> Column:
         value = minmax_inverse(interpolate(F.col(xs[i]), F.col("__pick")[xs[i]], F.col("__step")), *limits[c], (0.0, 1.0))
-        return C.snap(value, levels[c]) if c in levels else value
+        value = C.snap(value, levels[c]) if c in levels else value
+        kind = df.schema[c].dataType
+        return (F.round(value) if kind.typeName() in ("byte", "short", "integer", "long") else value).cast(kind)
 
     def majority(c: str) -> Column:
         seen = F.transform("__near", lambda n: n["__row"][c])
         counted = F.transform(
             F.array_distinct(seen), lambda v: F.struct((-F.size(F.filter(seen, lambda w: w == v))).alias("n"), v.alias("v"))
         )
-        return F.array_min(counted)["v"]
+        return F.when(F.col("__near").isNotNull(), F.array_min(counted)["v"]).otherwise(F.col(c))
 
     out = [number(i, c).alias(c) for i, c in enumerate(moved)] + [majority(c).alias(c) for c in categorical]
     if not regression:
@@ -380,19 +451,24 @@ def smote(
     return rows.select(F.concat_ws("-", "__code", "__slot").alias("new_id"), *out)
 
 
-def _class_slots(spark, classes: Sequence[tuple[int, int, int]]) -> DataFrame:
-    """(__code, __bases, __slot) with the wanted number of slots per class, spread over all tasks."""
-    starts, total = [], 0
-    for _, n, _ in classes:
-        starts.append(total)
-        total += n
-    at = F.size(F.filter(array_of(starts), lambda s: s <= F.col("id")))
-    pick = lambda values: F.element_at(array_of(values), at)
-    return spark.range(total).select(
-        pick([int(c) for c, _, _ in classes]).alias("__code"),
-        pick([int(b) for _, _, b in classes]).alias("__bases"),
-        (F.col("id") - pick(starts) + 1).alias("__slot"),
-    )
+def _quotas(sizes: DataFrame, frac: float, total: int | None) -> DataFrame:
+    """``__code, __bases, __n``: new rows per class, by ``frac`` or as largest-remainder shares of ``total``."""
+    if total is None:
+        return sizes.withColumn("__n", F.floor(F.col("__bases") * F.lit(float(frac))).cast("bigint"))
+    real = sizes.agg(F.sum("__bases")).first()[0] or 1
+    parts = sizes.withColumn("__all", F.col("__bases") * F.lit(total))
+    parts = parts.withColumns({"__n": F.expr(f"__all div {real}"), "__rest": F.col("__all") % real})
+    missing = total - (parts.agg(F.sum("__n")).first()[0] or 0)
+    placed = with_position(parts, [F.desc("__rest"), F.asc("__code")], position="__turn")
+    return placed.select("__code", "__bases", (F.col("__n") + (F.col("__turn") < missing).cast("bigint")).alias("__n"))
+
+
+def _class_slots(classes: DataFrame) -> DataFrame:
+    """(__code, __bases, __slot) with ``__n`` slots per class; large classes are spread over all tasks in chunks."""
+    chunks = classes.where("__n > 0").withColumn("__chunk", F.explode(F.expr(f"sequence(0L, (__n - 1) div {SLOT_CHUNK})")))
+    chunks = chunks.repartition("__code", "__chunk")
+    last = F.least(F.col("__n"), (F.col("__chunk") + 1) * SLOT_CHUNK)
+    return chunks.select("__code", "__bases", F.explode(F.sequence(F.col("__chunk") * SLOT_CHUNK + 1, last)).alias("__slot"))
 
 
 @dataclass
@@ -412,10 +488,10 @@ class SmoteSynthesizer:
 
     def sample(self, slots: DataFrame, seed: int = 0) -> DataFrame:
         s = self.state
-        n, real = slots.count(), s["df"].count()
-        keyed = with_position(s["df"], [*s["numeric"], *s["categorical"], self.target], position="__row_id")
+        n = slots.count()
+        keyed = cut(s["df"].withColumn("__row_id", F.monotonically_increasing_id()))  # stored, so the ids hold
         made = smote(
-            keyed, "__row_id", s["numeric"], s["categorical"], self.target, s["regression"], self.k, frac=1.1 * n / real + 0.1, seed=seed
+            keyed, "__row_id", s["numeric"], s["categorical"], self.target, s["regression"], self.k, seed=seed, total=n
         )
         numbered = with_position(made, ["new_id"], position="__at").drop("new_id")
         order = with_position(slots, ["slot_id"], position="__at")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinweave.operators import fidelity as Q
 from kinweave.operators.clean import codes_to_int
-from kinweave.operators.learn import SHORT_GRID, all_efficacies, detection_score
+from kinweave.operators.learn import FULL_GRID, all_efficacies, detection_score
 from kinweave.operators.predict import efficacy_summary
 from kinweave.operators.privacy import alpha_beta, mixed_features
 from kinweave.operators.profile import infer_domain
@@ -54,13 +54,13 @@ def single_table_report(
     fake: RelationalDataset,
     table: str,
     test: DataFrame | None = None,
-    sample_size: int = 200_000,
-    grid: Sequence[dict] = tuple(SHORT_GRID),
+    sample_size: int | None = None,
+    grid: Sequence[dict] = tuple(FULL_GRID),
     store: StageStore | None = None,
 ) -> DataFrame:
     """(table_name, metric, value); single-column tables get the detection score only.
 
-    ``sample_size`` is the report's own limit for the neighbour-based scores.
+    The neighbour-based scores compare equally many rows of both tables, at most ``sample_size`` where it is given.
     """
     spark = real.tables[table].sparkSession
 
@@ -71,7 +71,7 @@ def single_table_report(
         rows: list[tuple[str, str, float]] = []
         if len(columns) > 1:
             keyed = [with_position(df, columns, position="row_id") for df in (r.dropna(), f)]
-            left, right, _ = equalise(keyed[0], keyed[1], "row_id", sample_size, salt="alpha-beta")
+            left, right, _ = equalise(keyed[0], keyed[1], "row_id", sample_size if sample_size is not None else 1 << 62, salt="alpha-beta")
             numeric, categorical = spec.domain.split(columns)
             vectors = mixed_features([left, right], "row_id", numeric, categorical, None)
             rows += [(table, name, float(v)) for name, v in alpha_beta(*vectors, "row_id").items()]

@@ -280,7 +280,7 @@ def j9(spark, d) -> DataFrame:
 
 @query("j10_iterative_match")
 def j10(spark, d) -> DataFrame:
-    return M.iterative_match(*match_sides(spark, d), max_rounds=3)
+    return M.iterative_match(*match_sides(spark, d))
 
 
 @query(
