@@ -207,44 +207,44 @@ def _targets(rows: list, idf: np.ndarray, latent: Latent) -> Targets:
     return out
 
 
-def _windows(bounds: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first word, end) of the windows of ``scale`` blocks at half-window hops in every non-empty row."""
-    hop = scale * BLOCK_WORDS // 2
-    count = np.diff(bounds)
-    n = np.where(count > 0, 1 + np.maximum(0, -(-(count - scale * BLOCK_WORDS) // hop)), 0)
-    row = np.repeat(np.arange(len(count)), n)
-    step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    first = bounds[row] + step * hop
-    return row, first, np.minimum(first + scale * BLOCK_WORDS, bounds[row + 1])
-
-
-def _sums(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Sums of rows [first, end) for many ranges."""
-    padded = np.concatenate([values, np.zeros((1, *values.shape[1:]), values.dtype)])
-    return np.add.reduceat(padded, np.column_stack([first, end]).ravel(), axis=0)[::2]
-
-
 def candidates(words: np.ndarray, bounds: np.ndarray, idf: np.ndarray, weighted: np.ndarray, row_of: np.ndarray, targets: Targets) -> Iterator[tuple]:
-    """(scale, row, first word, end, passage, cosine) of every window and passage with enough cosine."""
+    """(scale, row, first word, end, passage, cosine) of every window and passage with enough cosine.
+
+    Rows are laid out in blocks of ``BLOCK_WORDS`` words, padded to whole half-windows of the largest scale and one more,
+    so that the sums over windows are sums of neighbouring array lines.
+    """
     if not len(words):
         return
-    f = features_of(words)
     count = np.diff(bounds)
-    blocks = -(-count // BLOCK_WORDS)
-    first_block = np.concatenate([[0], np.cumsum(blocks)])
-    owner = np.repeat(np.arange(len(count)), blocks)
-    starts = bounds[owner] + (np.arange(len(owner)) - first_block[owner]) * BLOCK_WORDS
-    lines = np.add.reduceat(weighted[row_of[f]], starts, axis=0)
-    squares = np.add.reduceat(idf[f] ** 2, starts)
+    most = SCALES[-1] // 2
+    padded = np.where(count > 0, -(-count // (most * BLOCK_WORDS)) * most + most, 0)
+    base = np.cumsum(padded) - padded
+    owner = np.repeat(np.arange(len(count)), count)
+    place = base[owner] * BLOCK_WORDS + np.arange(len(words)) - bounds[owner]
+    f = features_of(words)
+    at = np.full((int(padded.sum()), BLOCK_WORDS), len(weighted) - 1, np.int32)  # the zero line
+    at.ravel()[place] = row_of[f]
+    half = weighted[at[:, 0]]
+    for k in range(1, BLOCK_WORDS):
+        half += weighted[at[:, k]]
+    squares = np.zeros(at.size, np.float32)
+    squares[place] = idf[f] ** 2
+    squares = squares.reshape(-1, BLOCK_WORDS).sum(axis=1)
     for k, scale in enumerate(SCALES):
+        if k:  # two half-windows of the scale before are one of this
+            half, squares = half[0::2] + half[1::2], squares[0::2] + squares[1::2]
         if not targets.items[k]:
             continue
-        row, first, end = _windows(bounds, scale)
-        a = first_block[row] + (first - bounds[row]) // BLOCK_WORDS
-        b = first_block[row] + -(-(end - bounds[row]) // BLOCK_WORDS)
-        cosine = (_sums(lines, a, b) @ targets.unit[k].T) / np.sqrt(np.maximum(_sums(squares, a, b), 1e-12))[:, None]
+        hop = scale * BLOCK_WORDS // 2
+        n = np.where(count > 0, np.maximum(-(-count // hop) - 1, 1), 0)
+        row = np.repeat(np.arange(len(count)), n)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        q = base[row] // (scale // 2) + step
+        length = np.sqrt(np.maximum(squares[q] + squares[q + 1], 1e-12))
+        cosine = ((half[q] + half[q + 1]) @ targets.unit[k].T) / length[:, None]
         for w, p in np.argwhere(cosine >= COSINE):
-            yield k, int(row[w]), int(first[w]), int(end[w]), int(p), float(cosine[w, p])
+            first = int(bounds[row[w]] + step[w] * hop)
+            yield k, int(row[w]), first, min(first + 2 * hop, int(bounds[row[w] + 1])), int(p), float(cosine[w, p])
 
 
 def judged(passage: list[int], answer: list[int], around: list[int]) -> tuple[bool, float, float]:

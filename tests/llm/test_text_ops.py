@@ -18,7 +18,7 @@ from kinweave.llm.op2_token_planes import PieceEncoder, from_planes, joined_crc3
 from kinweave.llm.op5_quality import FEATURES, document_statistics, fit_trees, held_out, keep_good, quality, statistics
 from kinweave.llm.op6_phrases import remove_phrases
 from kinweave.llm.op8_jaccard import CountTree, drop_near_copies, jaccard_components, least_overlap
-from kinweave.llm.op10_decontamination import candidates, common_subsequence, drop_leaks, inverse_frequencies, latent_space, leaks, passages_of
+from kinweave.llm.op10_decontamination import common_subsequence, drop_leaks, leaks
 from kinweave.llm.passages import merge_by_search
 from kinweave.llm.store import new_folder, table
 from kinweave.llm.suffixes import common_prefixes, repeated_windows, suffix_array
