@@ -30,7 +30,7 @@ from kinweave.llm.store import keep, partitions_for, table, text_bytes
 from kinweave.llm.words import over_batches, ragged, shingles, word_hashes
 
 GROUPS = 16  # dimensions of the R-tree
-COARSE = 32  # shingles per group in the vectors that travel with the blocks
+COARSE = 32  # shingles per group in the vectors that pairs are first tried with
 FINE = 2  # and in those that decide whether a pair's texts are compared
 SAMPLE_DOCS = 20_000  # documents whose shingle frequencies order the keys
 FREQUENT_SHARE = 0.001  # of the sample
@@ -80,9 +80,6 @@ class CountTree:
             low, high = np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
             self.levels.append((upper, low, high))
 
-    def point(self, k: int) -> np.ndarray:
-        return self.given[k]
-
     def search(self, point: np.ndarray, percent: int) -> np.ndarray:
         """Indices of the points whose overlap with ``point`` may be large enough."""
         size = int(point.sum())
@@ -98,6 +95,38 @@ class CountTree:
         return self.order[found]
 
 
+class VectorBlock:
+    """Fine count vectors of a block's members, compared one against many."""
+
+    def __init__(self, vectors: list[np.ndarray]) -> None:
+        self.vectors = vectors
+        self.groups = np.array([len(v) for v in vectors])
+        self.sizes = np.array([int(v.sum()) for v in vectors])
+        self._folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _at(self, groups: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each member, lines) of the members that have at least ``groups`` groups, folded to these."""
+        if groups not in self._folded:
+            have = self.groups >= groups
+            lines = np.array([folded(v, groups) for v in self.vectors if len(v) >= groups], np.int32)
+            self._folded[groups] = np.cumsum(have) - 1, lines
+        return self._folded[groups]
+
+    def reachable(self, i: int, others: np.ndarray, percent: int) -> np.ndarray:
+        """Those of ``others`` whose sets can link with that of member ``i``."""
+        fit = []
+        least = np.minimum(self.groups[others], self.groups[i])
+        for groups in np.unique(least):
+            mine = folded(self.vectors[i], int(groups)).astype(np.int32)
+            place, lines = self._at(int(groups))
+            some = others[least == groups]
+            for k in range(0, len(some), 512):
+                part = some[k : k + 512]
+                bound = np.minimum(lines[place[part]], mine).sum(axis=1)
+                fit.append(part[bound >= least_overlap(self.sizes[i], self.sizes[part], percent)])
+        return np.concatenate(fit) if fit else others[:0]
+
+
 def _frequent(docs: DataFrame, n: int, sample_docs: int) -> np.ndarray:
     """Sorted hashes of the shingles that many sampled documents hold (at most ``FREQUENT_MOST``)."""
     total = docs.count()
@@ -124,8 +153,8 @@ def _described(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> D
             for s in shingles(words, bounds, n):
                 sizes.append(len(s))
                 marks.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                points.append(counted(s, COARSE).astype("<u4").tobytes())
-                fines.append(counted(s, FINE).astype("<u4").tobytes())
+                points.append(_stored(counted(s, COARSE)))
+                fines.append(_stored(counted(s, FINE)))
                 prefix = len(s) - (-(-percent * len(s) // 100)) + 1 if len(s) else 0
                 # by frequency class, then by hash; the low bits chose the group, so the order reads the high bits
                 late = np.zeros(len(s), bool)
@@ -187,8 +216,14 @@ def _shared_keys(nodes: DataFrame) -> DataFrame:
     return laid.mapInArrow(run, "key long, rep long, node long")
 
 
+def _stored(vector: np.ndarray) -> bytes:
+    """Counts in as few bytes as they need; the first byte says how many."""
+    width = 1 if vector.max() < 256 else 4
+    return bytes([width]) + vector.astype(f"<u{width}").tobytes()
+
+
 def _vector(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, "<u4").astype(np.int64)
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame, vector: str, percent: int) -> DataFrame:
@@ -246,7 +281,7 @@ def _tree_pairs(shared: DataFrame, sets: DataFrame, of: DataFrame, percent: int)
     mine = rows.withColumn("mine", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")))
     met = mine.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     met = met.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "node", "component")
-    full = met.join(sets.select("node", "point"), "node")
+    full = met.join(sets.select("node", "fine"), "node")
     order = ["key", "p", "q"]
     tasks = partitions_for(full, 1, 1)
     laid = full.repartition(tasks, *order).sortWithinPartitions(*order, "node")
@@ -255,15 +290,17 @@ def _tree_pairs(shared: DataFrame, sets: DataFrame, of: DataFrame, percent: int)
         node, component = rows.column("node").to_numpy(), rows.column("component").to_numpy()
         side = rows.column("mine").to_numpy()
         p, q = rows.column("p")[0].as_py(), rows.column("q")[0].as_py()
-        vectors = [_vector(v) for v in rows.column("point").to_pylist()]
+        block = VectorBlock([_vector(v) for v in rows.column("fine").to_pylist()])
         left, right = [], []
-        tree = CountTree(np.array([folded(v, GROUPS) for v in vectors]))
+        tree = CountTree(np.array([folded(v, GROUPS) for v in block.vectors]))
         for i in range(len(node)):
-            found = tree.search(tree.point(i), percent)
+            found = tree.search(tree.given[i], percent)
             found = found[(node[found] > node[i]) & (component[found] != component[i])]
-            for j in found if p == q else found[side[found] != side[i]]:
+            if p != q:
+                found = found[side[found] != side[i]]
+            for j in block.reachable(i, found, percent):
                 pair = (int(node[i]), int(node[j]))
-                if pair not in seen and reachable(vectors[i], vectors[j], percent):
+                if pair not in seen:
                     seen.add(pair)
                     left.append(pair[0])
                     right.append(pair[1])
@@ -324,12 +361,10 @@ def jaccard_components(docs: DataFrame, n: int, percent: int, id_column: str = "
     sets = described.select(F.col("row").alias("node"), "n_shingles", "point", "fine")
     texts = numbered(docs, id_column, text_column).select(F.col("row").alias("node"), F.col("packed").alias("text"))
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        return _verified(_bounded(keep(pairs, "jaccard-candidates"), sets, "fine", percent), texts, n, percent)
-
     stars = shared.where("rep <> node").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
-    of = components(linked(_bounded(stars, sets, "point", percent)))
-    more = linked(_tree_pairs(shared, sets, of, percent))
+    near = keep(_bounded(stars, sets, "point", percent), "jaccard-candidates")
+    of = components(_verified(_bounded(near, sets, "fine", percent), texts, n, percent))
+    more = _verified(_tree_pairs(shared, sets, of, percent), texts, n, percent)
     of = keep(components(of.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "jaccard-components")
     named = nodes.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
