@@ -28,7 +28,7 @@ from kinweave.llm.store import keep, partitions_for, text_bytes
 from kinweave.llm.words import blocks, mix, powers, sliding_min, text_block
 
 SHARD_BYTES = 2 << 20
-RANGE_ANCHORS = 400_000
+RANGE_ANCHORS = 100_000
 HOT_CONTEXTS = 20_000  # contexts of one fingerprint that a task may hold
 GROUP_BYTES = 1 << 20  # contexts resolved together
 NO_ID = (1 << 63) - 1
@@ -43,7 +43,7 @@ def packed(columns: dict[str, np.ndarray], fields: list[tuple[str, str]]) -> byt
     return b"".join(p.tobytes() for p in planes)
 
 
-def unpacked(payload: bytes, fields: list[tuple[str, str]]) -> dict[str, np.ndarray]:
+def unpacked(payload: bytes | pa.Buffer, fields: list[tuple[str, str]]) -> dict[str, np.ndarray]:
     kinds = [np.dtype(t) for _, t in fields]
     data = np.frombuffer(payload, np.uint8)
     n, at, out = len(data) // sum(k.itemsize for k in kinds), 0, {}
@@ -232,7 +232,7 @@ _SETTLED = "kind tinyint, fingerprint long, doc long, row long, lo int, stop int
 SPAN, OPEN, HOT = 0, 1, 2
 
 
-def _settle(payloads: list[bytes], hot: int) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+def _settle(payloads: list[pa.Buffer], hot: int) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
     """Merge the runs of one range: spans of repeats, and contexts that stay open."""
     runs = [unpacked(p, _FIELDS) for p in payloads]
     order = merge_by_search([r["fingerprint"] for r in runs])
@@ -257,7 +257,7 @@ def _settle(payloads: list[bytes], hot: int) -> Iterator[tuple[int, dict[str, np
 
 
 def _settled(runs: DataFrame, ranges: int, hot: int) -> DataFrame:
-    laid = runs.repartition(partitions_for(runs, ranges, 4), "range").sortWithinPartitions("range")
+    laid = runs.repartition(partitions_for(runs, ranges, 2), "range").sortWithinPartitions("range")
 
     def batch_of(kind: int, c: dict[str, np.ndarray]) -> pa.RecordBatch:
         n = len(c["lo"])
@@ -268,7 +268,9 @@ def _settled(runs: DataFrame, ranges: int, hot: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            for k, payload in zip(batch.column("range").to_pylist(), batch.column("payload").to_pylist()):
+            payloads = batch.column("payload")
+            for at, k in enumerate(batch.column("range").to_pylist()):
+                payload = payloads[at].as_buffer()  # a view; the run is copied once, when it is merged
                 if k >= ranges:
                     yield batch_of(SPAN, unpacked(payload, _SPAN_FIELDS))
                     continue
@@ -415,7 +417,7 @@ def repeated_spans(docs: DataFrame, corpus: Corpus, id_column: str = "doc_id", t
     )
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     per_anchor = (corpus.window - corpus.gram + 2) / 2  # units per anchor; a unit has a byte at least
-    ranges = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total / per_anchor / RANGE_ANCHORS))
+    ranges = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total / per_anchor / RANGE_ANCHORS))
     settled = keep(_settled(_runs(plain, corpus, ranges), ranges, hot), "settled")
     spans = settled.where(F.col("kind") == SPAN).select("row", "lo", "stop")
     spans = spans.unionByName(_resolved(_contexts(settled.where(F.col("kind") == OPEN), texts, corpus), corpus))
