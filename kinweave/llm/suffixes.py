@@ -16,11 +16,12 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     n = len(text)
     if not n:
         return np.zeros(0, np.int64)
-    b = np.concatenate([text, np.zeros(4, np.uint8)]).astype(np.uint64)
-    key = (b[:n] << np.uint64(24)) | (b[1 : n + 1] << np.uint64(16)) | (b[2 : n + 2] << np.uint64(8)) | b[3 : n + 3]
-    packed = np.sort((key << np.uint64(32)) | np.arange(n, dtype=np.uint64))
-    order = (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    key = packed >> np.uint64(32)
+    # four bytes of nine bits each, 0 being the end of the text, in front of a 28-bit position
+    b = np.concatenate([text.astype(np.uint64) + np.uint64(1), np.zeros(4, np.uint64)])
+    key = (b[:n] << np.uint64(27)) | (b[1 : n + 1] << np.uint64(18)) | (b[2 : n + 2] << np.uint64(9)) | b[3 : n + 3]
+    packed = np.sort((key << np.uint64(28)) | np.arange(n, dtype=np.uint64))
+    order = (packed & np.uint64((1 << 28) - 1)).astype(np.int64)
+    key = packed >> np.uint64(28)
     head = np.ones(n, bool)
     head[1:] = key[1:] != key[:-1]
     rank = np.empty(n, np.int64)
