@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinweave.llm.registry import query
-from kinweave.llm.store import new_folder, table, text_bytes
+from kinweave.llm.store import new_folder, small_batches, table, text_bytes
 from kinweave.llm.words import over_batches, prefix_sums, ragged, range_hash
 
 END_ID = 2
@@ -299,7 +299,8 @@ def write_token_files(
         if filled:
             yield block()
 
-    laid.mapInArrow(run, _CHUNK).write.option("compression", "uncompressed").parquet(folder)
+    with small_batches(docs.sparkSession):
+        laid.mapInArrow(run, _CHUNK).write.option("compression", "uncompressed").parquet(folder)
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:

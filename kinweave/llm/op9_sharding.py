@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinweave.llm.registry import query
-from kinweave.llm.store import new_folder, table
+from kinweave.llm.store import new_folder, small_batches, table
 
 SHARDS = 40
 SEED = 20240607
@@ -65,7 +65,8 @@ def external_shuffle(
     schema = T.StructType([*placed.schema.fields, T.StructField("place", T.LongType())])
     done = placed.groupBy("shard", "bucket").applyInArrow(shuffled, schema).drop("row", "id").withColumn("shard_dir", F.col("shard"))
     done = done.sortWithinPartitions("shard_dir", "bucket", "place")
-    done.write.option("compression", "zstd").partitionBy("shard_dir").parquet(folder)
+    with small_batches(docs.sparkSession):
+        done.write.option("compression", "zstd").partitionBy("shard_dir").parquet(folder)
     back = docs.sparkSession.read.schema(done.schema).parquet(folder).drop("shard_dir")
     counts = back.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("rows"))  # one row per bucket
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

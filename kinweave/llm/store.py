@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.session import ensure_checkpoint_dir
 
+BATCH_BYTES = str(8 << 20)
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,10 +24,25 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of ``BATCH_BYTES`` for the jobs inside: buffers outside the heap are several times a batch."""
+    before = spark.conf.get(_BATCH_KEY, None)
+    spark.conf.set(_BATCH_KEY, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH_KEY)
+        else:
+            spark.conf.set(_BATCH_KEY, before)
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and read it back: later plans start from files, so a lost executor costs no recomputation."""
     folder = new_folder(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(folder)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
