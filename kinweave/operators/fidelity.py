@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from kinweave.operators.ordering import with_position
 from kinweave.operators.profile import bounds, long_form
 from kinweave.operators.relational import chain_join, children_per_parent
+from kinweave.session import cut
 from kinweave.specs import RelationalDataset
 
 N_BINS = 10
@@ -45,12 +46,13 @@ def ks_scores(counts: DataFrame, few_values: bool = False) -> DataFrame:
     Running counts follow the range-ordered layout, so a column with billions of distinct values is
     never windowed in one task.  ``few_values`` is for counts known to be short, such as group sizes.
     """
-    totals = counts.groupBy("column").agg(F.sum("n_real").alias("t_real"), F.sum("n_fake").alias("t_fake"))
     if few_values:
+        counts = cut(counts)  # few rows, read twice
         run = Window.partitionBy("column").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
         placed = counts.withColumns({"run_n_real": F.sum("n_real").over(run), "run_n_fake": F.sum("n_fake").over(run)})
     else:
         placed = with_position(counts, ["column", "value"], sums=["n_real", "n_fake"])
+        counts = placed  # stored; the totals need not count the tables again
         starts = placed.groupBy("column").agg(
             F.min(F.col("run_n_real") - F.col("n_real")).alias("s_real"),
             F.min(F.col("run_n_fake") - F.col("n_fake")).alias("s_fake"),
@@ -58,6 +60,7 @@ def ks_scores(counts: DataFrame, few_values: bool = False) -> DataFrame:
         placed = placed.join(starts, "column").withColumns(
             {"run_n_real": F.col("run_n_real") - F.col("s_real"), "run_n_fake": F.col("run_n_fake") - F.col("s_fake")}
         )
+    totals = counts.groupBy("column").agg(F.sum("n_real").alias("t_real"), F.sum("n_fake").alias("t_fake"))
     gap = F.abs(F.col("run_n_real") / F.col("t_real") - F.col("run_n_fake") / F.col("t_fake"))
     return placed.join(totals, "column").groupBy("column").agg((1 - F.max(gap)).alias("score"))
 
@@ -65,6 +68,7 @@ def ks_scores(counts: DataFrame, few_values: bool = False) -> DataFrame:
 def tv_scores(counts: DataFrame, keys: Sequence[str] = ("column",)) -> DataFrame:
     """(keys, score = 1 - total variation) from value counts."""
     keys = list(keys)
+    counts = cut(counts)
     totals = counts.groupBy(*keys).agg(F.sum("n_real").alias("t_real"), F.sum("n_fake").alias("t_fake"))
     gap = F.abs(F.col("n_real") / F.col("t_real") - F.col("n_fake") / F.col("t_fake"))
     return counts.join(totals, keys).groupBy(*keys).agg((1 - F.sum(gap) / 2).alias("score"))
@@ -77,18 +81,18 @@ def column_shapes(real: RelationalDataset, fake: RelationalDataset) -> DataFrame
         spec = real.specs[t]
         both = stacked(real.tables[t], fake.tables[t], list(spec.domain.columns))
         if spec.domain.continuous:
-            numeric.append(value_counts(both, spec.domain.continuous, "double", f"{t}."))
+            numeric.append(value_counts(both, spec.domain.continuous, "double", f"{len(t)}.{t}."))
         if spec.domain.discrete:
-            categorical.append(value_counts(both, spec.domain.discrete, "string", f"{t}."))
+            categorical.append(value_counts(both, spec.domain.discrete, "string", f"{len(t)}.{t}."))
     parts = []
     if numeric:
         parts.append(ks_scores(reduce(DataFrame.unionByName, numeric)).withColumn("metric", F.lit("ks")))
     if categorical:
         parts.append(tv_scores(reduce(DataFrame.unionByName, categorical)).withColumn("metric", F.lit("tv")))
-    name = F.split_part("column", F.lit("."), F.lit(1))
-    return reduce(DataFrame.unionByName, parts).select(
-        name.alias("table_name"), F.split_part("column", F.lit("."), F.lit(2)).alias("column"), "metric", "score"
-    )
+    # "<length of the table's name>.<table>.<column>" holds whatever characters the names have
+    table = F.expr("substr(column, length(substring_index(column, '.', 1)) + 2, int(substring_index(column, '.', 1)))")
+    column = F.expr("substr(column, length(substring_index(column, '.', 1)) + 3 + int(substring_index(column, '.', 1)))")
+    return reduce(DataFrame.unionByName, parts).select(table.alias("table_name"), column.alias("column"), "metric", "score")
 
 
 def equal_width_bin(value: Column, low: float | None, high: float | None, n: int = N_BINS) -> Column:

@@ -30,16 +30,25 @@ _CHUNK_CELLS = 4_000_000  # distances held at once inside a task
 
 
 def distances(queries: np.ndarray, points: np.ndarray, metric: str) -> np.ndarray:
-    """Dense (queries x points) distances, summed dimension by dimension."""
+    """Dense (queries x points) distances, summed dimension by dimension.
+
+    ``l1+3`` or ``l2+3`` says that the last three coordinates are category codes.  Different codes cost 2, as their
+    one-hot vectors would, and a code against a missing one (negative) costs 1.
+    """
+    kind, _, codes = metric.partition("+")
+    numbers = queries.shape[1] - int(codes or 0)
     out = np.zeros((len(queries), len(points)))
-    for j in range(queries.shape[1]):
+    for j in range(numbers):
         gap = queries[:, j, None] - points[None, :, j]
-        out += np.abs(gap) if metric == "l1" else gap * gap
+        out += np.abs(gap) if kind == "l1" else gap * gap
+    for j in range(numbers, queries.shape[1]):
+        q, p = queries[:, j, None], points[None, :, j]
+        out += (q != p) * (2.0 - (q < 0) - (p < 0))
     return out
 
 
 def _true_metric(values: np.ndarray, metric: str) -> np.ndarray:
-    return values if metric == "l1" else np.sqrt(values)
+    return values if metric.startswith("l1") else np.sqrt(values)
 
 
 def _as_matrix(column: pd.Series, width: int) -> np.ndarray:
@@ -108,7 +117,15 @@ def _choose_pivots(points: DataFrame) -> np.ndarray:
     Results do not depend on the pivots, only the amount of pruning does.
     """
     sample = 4 * MAX_PIVOTS
-    rows = points.select("__p", F.xxhash64("__p").alias("h")).orderBy("h", "__p").limit(sample).collect()
+    hashed = points.select("__p", F.xxhash64("__p").alias("h"))
+    total = points.count()
+    if total > 4 * sample:  # few vectors per partition beyond the smallest hashes reach the merge
+        near = hashed.where(F.col("h") < int(-(2**63) + 2**64 * (2 * sample / total)))
+        rows = near.orderBy("h", "__p").limit(sample).collect()
+        if len(rows) < sample:
+            rows = hashed.orderBy("h", "__p").limit(sample).collect()
+    else:
+        rows = hashed.orderBy("h", "__p").limit(sample).collect()
     n_points = len(rows)
     if n_points == sample:
         n_points = sample / max((rows[-1]["h"] + 2**63) / 2**64, 1e-18)
@@ -255,7 +272,7 @@ def nearest_rows(
     return _meet(asked, "__k", layout, layout.cells.reach, kernel, _NEAR_SCHEMA, most)
 
 
-def count_balls(balls: DataFrame, others: DataFrame, key: str) -> DataFrame:
+def count_balls(balls: DataFrame, others: DataFrame, key: str, metric: str = "l2") -> DataFrame:
     """(key, hits): how many Euclidean balls (``vector``, ``radius``) strictly contain each row of ``others``.
 
     Exact; a task returns counts per point, so pairs never leave it.  Rows in no ball are left out.
@@ -263,7 +280,7 @@ def count_balls(balls: DataFrame, others: DataFrame, key: str) -> DataFrame:
     """
     vectors = others.select(F.col(key).cast("bigint").alias("__aid"), F.col("vector").cast("array<double>").alias("__p"))
     points = vectors.groupBy("__p").agg(F.min("__aid").alias("__bid"))
-    layout = lay_out_points(points.select("__bid", "__p"), "l2")
+    layout = lay_out_points(points.select("__bid", "__p"), metric)
     schema = "__bid bigint, hits bigint"
     if layout is None:
         return others.sparkSession.createDataFrame([], f"{key} bigint, hits bigint")
@@ -277,7 +294,7 @@ def count_balls(balls: DataFrame, others: DataFrame, key: str) -> DataFrame:
     )
 
     def reach(q: np.ndarray, radius: np.ndarray) -> np.ndarray:
-        d = np.sqrt(distances(q[:, :width], cells.pivots, "l2"))
+        d = np.sqrt(distances(q[:, :width], cells.pivots, metric))
         return (d - cells.radii[None, :] <= (radius * (1 + 1e-9) + 1e-9)[:, None]) & (cells.counts[None, :] > 0)
 
     def kernel(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
@@ -289,7 +306,7 @@ def count_balls(balls: DataFrame, others: DataFrame, key: str) -> DataFrame:
         step = max(1, _CHUNK_CELLS // len(points))
         for start in range(0, len(x), step):
             part = x[start : start + step]
-            inside = np.sqrt(distances(part[:, :width], points, "l2")) < radius[start : start + step, None]
+            inside = np.sqrt(distances(part[:, :width], points, metric)) < radius[start : start + step, None]
             hits += part[:, width] @ inside
         out = pd.DataFrame({"__bid": p["__bid"].to_numpy(), "hits": hits.astype("int64")})
         return out[out["hits"] > 0]

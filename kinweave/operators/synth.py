@@ -200,12 +200,13 @@ class CopulaSynthesizer:
     def _label_parameters(self, sums: DataFrame, total: np.ndarray, d: int, first: np.ndarray, second: np.ndarray) -> DataFrame:
         """``__label, __mean, __root`` of every label, for more labels than the driver should hold."""
         lists = sums.groupBy("__label").agg(F.sort_array(F.collect_list(F.struct("entry", "value")))["value"].alias("entries"))
+        solver = CopulaSynthesizer(self.guidance, self.pseudo_rows)  # without fitted tables
 
         def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 means, roots = [], []
                 for entries in pdf["entries"]:
-                    mean, root = self._parameters({0: np.asarray(entries, dtype=float)}, d, first, second, total)[0]
+                    mean, root = solver._parameters({0: np.asarray(entries, dtype=float)}, d, first, second, total)[0]
                     means.append(mean.tolist())
                     roots.append(root.ravel().tolist())
                 yield pd.DataFrame({"__label": pdf["__label"], "__mean": means, "__root": roots})
@@ -235,6 +236,7 @@ class CopulaSynthesizer:
         s = self.state
         columns, label, params, grids = s["numeric"] + s["categorical"], s["label"], s["params"], s["grids"]
         shares, spans, gaps, many = s["shares"], s["spans"], s["gaps"], s["many"]
+        wide, joined = set(spans), many is not None  # tables stay out of the function that travels
         d = len(columns)
         holed = [c for c in columns if gaps[c] > 0]
         keyed = slots.select(
@@ -255,7 +257,7 @@ class CopulaSynthesizer:
                 for value in np.unique(labels):
                     at = labels == value
                     mean, root = params.get(int(value), params[-1])
-                    if many is not None and pdf["__mean"].to_numpy()[at][0] is not None:
+                    if joined and pdf["__mean"].to_numpy()[at][0] is not None:
                         mean = np.asarray(pdf["__mean"].to_numpy()[at][0], dtype=float)
                         root = np.asarray(pdf["__root"].to_numpy()[at][0], dtype=float).reshape(d, d)
                     z[at] = mean + e[at] @ root.T
@@ -266,7 +268,7 @@ class CopulaSynthesizer:
                         upto = shares[c]
                         last = int(np.searchsorted(upto, upto[-1])) if len(upto) else 0
                         value = np.minimum(np.searchsorted(upto, p * upto[-1], side="right"), last).astype(float) if len(upto) else p * 0
-                    elif c in spans:
+                    elif c in wide:
                         value = p  # the range join below finds the category
                     else:
                         value = np.interp(p, np.linspace(0.0, 1.0, len(grids[c])), grids[c])
@@ -278,6 +280,7 @@ class CopulaSynthesizer:
         kept = [f"`{c}` {slots.schema[c].dataType.simpleString()}" for c in carried]
         schema = ", ".join([*kept, *[f"`{c}` double" for c in columns]])
         rows = keyed.mapInPandas(draw, schema)
+        rows = rows.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in holed})
         for c, levels in s["levels"].items():
             rows = rows.withColumn(c, C.snap(F.col(c), levels))
         for c in s["categorical"]:
@@ -287,7 +290,8 @@ class CopulaSynthesizer:
             if c in s["codes"]:
                 rows = decode(rows.withColumn(c, code), c, s["codes"][c])
             elif s["lists"][c]:
-                rows = rows.withColumn(c, F.element_at(array_of(s["lists"][c]), code + 1))
+                # element_at does not pass on a null index that comes from a case expression
+                rows = rows.withColumn(c, F.when(F.col(c).isNotNull(), F.element_at(array_of(s["lists"][c]), F.coalesce(code, F.lit(0)) + 1)))
             else:
                 rows = rows.withColumn(c, F.lit(None).cast("string"))
         kinds = s["kinds"]

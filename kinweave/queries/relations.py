@@ -268,14 +268,19 @@ def j14(spark, d) -> DataFrame:
     return R.add_columns(orders, sizes, "o_orderkey")
 
 
-@query("j15_decode", "select p_partkey, p_brand, p_type from part")
+@query(
+    "j15_decode",
+    """select p_partkey, p_brand, p_type, (dense_rank() over (order by p_brand) - 1)::INTEGER as p_brand_code,
+    (dense_rank() over (order by p_type) - 1)::INTEGER as p_type_code from part""",
+)
 def j15(spark, d) -> DataFrame:
     from kinweave.operators.encode import dictionary, encode
 
     parts = table(spark, d, "part").select("p_partkey", "p_brand", "p_type")
     for column in ("p_brand", "p_type"):
         codes = dictionary(parts, column)
-        parts = R.decode(encode(parts, column, codes), column, codes)
+        coded = encode(parts, column, codes).withColumn(f"{column}_code", F.col(column).cast("int"))
+        parts = R.decode(coded, column, codes)
     return parts
 
 
@@ -321,13 +326,27 @@ def l14(spark, d) -> DataFrame:
     return R.synthetic_keys(dist, lines.count(), spark, salt="fk")
 
 
+_EDGE_VALUES = ", ".join(f"('{p}', '{c}', {o})" for p, cs in CHILDREN.items() for o, c in enumerate(cs))
+_TABLE_VALUES = ", ".join(f"('{t}', {o})" for o, t in enumerate(CHILDREN))
+_ROW_COUNTS = " union all ".join(f"select '{t}' as t, count(*) as n from {t}" for t in CHILDREN)
+
+
 @query(
     "m8_relation_order",
-    " union all ".join(
-        f"select {i}::BIGINT as position, {repr(p) if p else 'NULL::VARCHAR'} as parent, '{c}' as child, "
-        f"(select count(*) from {c}) as n_rows"
-        for i, (p, c) in enumerate(GRAPH.edges)
-    ),
+    f"""with recursive e(p, c, o) as (values {_EDGE_VALUES}), t(name, o) as (values {_TABLE_VALUES}),
+    roots as (select name, o from t where name not in (select c from e)),
+    walk(step, ready) as (
+        select 0, (select list(name order by o) from roots)
+        union all
+        select step + 1, list_concat(ready, coalesce((select list(e.c order by e.o) from e where e.p = ready[step + 1]
+            and list_has_all(ready[1:step + 1], (select list(f.p) from e f where f.c = e.c))), []::VARCHAR[]))
+        from walk where step < len(ready)),
+    done as (select ready from walk order by step desc limit 1),
+    turn as (select unnest(ready) as name, unnest(range(len(ready))) as k from done),
+    n as ({_ROW_COUNTS})
+    select (row_number() over (order by a.k nulls first, a.o) - 1)::BIGINT as position, a.parent, a.child, n.n as n_rows
+    from (select null::VARCHAR as parent, name as child, -1 as k, o from roots
+          union all select e.p, e.c, turn.k, e.o from e join turn on turn.name = e.p) a join n on n.t = a.child""",
 )
 def m8(spark, d) -> DataFrame:
     """Topological order of the relations next to the rows each step has to produce."""

@@ -33,10 +33,10 @@ def _scaled_sql(x: str) -> str:
           from j, (select distinct o_orderstatus as v from orders)
     union all select o_orderkey, 'c__o_orderpriority=' || v, (v = o_orderpriority)::INTEGER::DOUBLE from j, (select distinct o_orderpriority as v from orders)
     union all select o_orderkey, 'p__c_mktsegment=' || v, 0.5 * (v = c_mktsegment)::INTEGER from j, (select distinct c_mktsegment as v from customer))
-    select feature, count(*) as n, round(sum(value), 5) as total, round(sum(value * value), 5) as squares from (select * from n union all select * from h) group by 1""",
+    select o_custkey, feature, round(value, 7) as value from (select * from n union all select * from h) join orders using (o_orderkey)""",
 )
 def l1(spark, d) -> DataFrame:
-    """The joint feature matrix in long form, summed per feature."""
+    """The joint feature matrix in long form."""
     data = star(spark, d)
     rows = L.joint_features(
         data.tables["orders"], SPECS["orders"], data.tables["customer"], SPECS["customer"], "o_custkey", parent_scale=0.5
@@ -46,12 +46,8 @@ def l1(spark, d) -> DataFrame:
     names = ["c__o_totalprice", "p__c_acctbal"]
     names += [f"c__{c}={v}" for c in ("o_orderstatus", "o_orderpriority") for v in values[c]]
     names += [f"p__c_mktsegment={v}" for v in values["c_mktsegment"]] + ["key"]
-    long = rows.select(F.posexplode("features").alias("at", "value"))
-    return long.groupBy(F.element_at(F.lit(names), F.col("at") + 1).alias("feature")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.sum("value"), 5).alias("total"),
-        F.round(F.sum(F.col("value") * F.col("value")), 5).alias("squares"),
-    )
+    long = rows.select(F.col("fk").alias("o_custkey"), F.posexplode("features").alias("at", "value"))
+    return long.select("o_custkey", F.element_at(F.lit(names), F.col("at") + 1).alias("feature"), F.round("value", 7).alias("value"))
 
 
 @query(
@@ -218,6 +214,92 @@ def l13(spark, d) -> DataFrame:
     return smote(table(spark, d, "part"), "p_partkey", ["p_size", "p_retailprice"], ["p_brand"], "p_type")
 
 
+_DRAWS_PER_ROW = 20
+_COVERED = {"part": ["p_brand", "p_type", "p_name"], "customer": ["c_name", "c_mktsegment"]}
+
+
+@query(
+    "l7_category_coverage",
+    " union all ".join(
+        f"select '{c}' as column_name, count(distinct {c}) as n_real, count(distinct {c}) as n_synthetic, 0::BIGINT as n_invented from {t}"
+        for t, cs in _COVERED.items()
+        for c in cs
+    ),
+)
+def l7_coverage(spark, d) -> DataFrame:
+    """Every real category is drawn and none is invented, however many values a column has."""
+    from kinweave.operators.synth import CopulaSynthesizer
+    from kinweave.specs import Domain
+
+    out = None
+    for t, columns in _COVERED.items():
+        real = table(spark, d, t).select(*columns)
+        slots = spark.range(_DRAWS_PER_ROW * real.count()).withColumnRenamed("id", "slot_id")
+        made = CopulaSynthesizer().fit(real, Domain.of(columns)).sample(slots)
+        for c in columns:
+            known = real.select(c).distinct().withColumn("__real", F.lit(1))
+            drawn = made.select(c).distinct().withColumn("__made", F.lit(1))
+            part = known.join(drawn, c, "full").agg(
+                F.lit(c).alias("column_name"), F.count("__real").alias("n_real"), F.count("__made").alias("n_synthetic"),
+                F.count_if(F.col("__real").isNull()).alias("n_invented"),
+            )
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    "l13_class_counts",
+    "select p_type, floor(count(*) * 0.37::DOUBLE)::BIGINT as n from part group by 1 having floor(count(*) * 0.37::DOUBLE) > 0",
+)
+def l13_counts(spark, d) -> DataFrame:
+    """Rows per class of an oversampled table."""
+    from kinweave.operators.synth import smote
+
+    made = smote(table(spark, d, "part"), "p_partkey", ["p_size", "p_retailprice"], ["p_brand"], "p_type", frac=0.37)
+    return made.groupBy("p_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "x1_smote_rows",
+    """with c as (select p_type, count(*) as k from part group by 1),
+    w as (select (select count(*) from part) as real, (select count(*) from supplier) + 777 as want),
+    q as (select p_type, k * want // real as n, k * want % real as rest, want from c, w),
+    r as (select *, row_number() over (order by rest desc, p_type) as turn, want - sum(n) over () as missing from q)
+    select p_type, (n + (turn <= missing)::INTEGER)::BIGINT as n from r where n + (turn <= missing)::INTEGER > 0""",
+)
+def x1_rows(spark, d) -> DataFrame:
+    """SMOTE as a synthesiser: exactly the wanted rows, shared among the classes by largest remainder."""
+    from kinweave.operators.synth import SmoteSynthesizer
+    from kinweave.specs import Domain
+
+    real = table(spark, d, "part").select("p_type", "p_brand", "p_size", "p_retailprice")
+    domain = Domain.of(["p_type", "p_brand"], ["p_size", "p_retailprice"])
+    slots = spark.range(table(spark, d, "supplier").count() + 777).withColumnRenamed("id", "slot_id")
+    made = SmoteSynthesizer("p_type").fit(real, domain).sample(slots)
+    return made.groupBy("p_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+_WIDE = """(select c_custkey as id, c_acctbal, c_mktsegment, c_name, c_custkey % 3 as part from customer)"""
+
+
+@query(
+    "l25_distances_wide",
+    f"""with c as {_WIDE}, s as (select max(c_acctbal) - min(c_acctbal) as span from c where part = 1),
+    d as (select f.id, o.part, min(abs(f.c_acctbal / span - o.c_acctbal / span) + 2 * (f.c_mktsegment <> o.c_mktsegment)::INTEGER
+              + 2 * (f.c_name <> o.c_name)::INTEGER) as gap
+          from c f join c o on o.part > 0, s where f.part = 0 group by 1, 2)
+    select id, round(min(gap) filter (where part = 1), 6) as to_train, round(min(gap) filter (where part = 2), 6) as to_test from d group by 1""",
+)
+def l25_wide(spark, d) -> DataFrame:
+    """Distances over a column with a value per row: codes instead of one-hot vectors."""
+    from kinweave.operators.privacy import closest_distances
+
+    people = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal", "c_mktsegment", "c_name")
+    fake, train, test = (people.where(F.col("id") % 3 == k) for k in range(3))
+    found = closest_distances(fake, train, test, "id", ["c_acctbal"], ["c_mktsegment", "c_name"])
+    return found.select("id", F.round("to_train", 6).alias("to_train"), F.round("to_test", 6).alias("to_test"))
+
+
 @query("l13_smote_regression")
 def l13_regression(spark, d) -> DataFrame:
     from kinweave.operators.synth import smote
