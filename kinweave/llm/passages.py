@@ -99,7 +99,9 @@ def find_anchors(sums: np.ndarray, bounds: np.ndarray, window: int, gram: int) -
     heads = np.flatnonzero(new)
     lo, hi, at, owner = starts[heads], starts[np.append(heads[1:] - 1, len(starts) - 1)], at[heads], owner[heads]
     place = ((at - lo) << 16 | (hi - lo)).astype(np.uint64)
-    return Anchors(owner, lo, hi, grams[at], (range_hashes(sums, lo, hi + window) ^ mix(place)) & _CONTEXT_BITS)
+    # smallest hashes crowd the lower end; hashed once more they spread evenly over the ranges
+    fingerprint = mix(grams[at] + np.uint64(1))
+    return Anchors(owner, lo, hi, fingerprint, (range_hashes(sums, lo, hi + window) ^ mix(place)) & _CONTEXT_BITS)
 
 
 def merge_by_search(runs: list[np.ndarray]) -> np.ndarray:
