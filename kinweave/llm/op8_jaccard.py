@@ -16,7 +16,8 @@ pairs are verified on the shingle sets of the whole texts, and components are cl
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -280,31 +281,66 @@ def _tree_pairs(shared: DataFrame, sets: DataFrame, of: DataFrame, percent: int)
     rows = placed.join(blocks.select("key", parts.alias("parts")), "key")
     mine = rows.withColumn("mine", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")))
     met = mine.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    met = met.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "node", "component")
-    full = met.join(sets.select("node", "fine"), "node")
-    order = ["key", "p", "q"]
-    tasks = partitions_for(full, 1, 1)
-    laid = full.repartition(tasks, *order).sortWithinPartitions(*order, "node")
-
-    def block_pairs(rows: pa.Table, seen: set) -> tuple[list[int], list[int]]:
-        node, component = rows.column("node").to_numpy(), rows.column("component").to_numpy()
-        side = rows.column("mine").to_numpy()
-        p, q = rows.column("p")[0].as_py(), rows.column("q")[0].as_py()
-        block = VectorBlock([_vector(v) for v in rows.column("fine").to_pylist()])
-        left, right = [], []
-        tree = CountTree(np.array([folded(v, GROUPS) for v in block.vectors]))
-        for i in range(len(node)):
-            found = tree.search(tree.given[i], percent)
-            found = found[(node[found] > node[i]) & (component[found] != component[i])]
-            if p != q:
-                found = found[side[found] != side[i]]
-            for j in block.reachable(i, found, percent):
-                pair = (int(node[i]), int(node[j]))
-                if pair not in seen:
-                    seen.add(pair)
-                    left.append(pair[0])
-                    right.append(pair[1])
-        return left, right
+    part = lambda c, name: c.cast("int").alias(name)
+    met = met.select(
+        "key", part(F.least("mine", "other"), "p"), part(F.greatest("mine", "other"), "q"), part(F.col("mine"), "mine"), "node", "component"
+    )
+    # members without a possible partner leave before the larger vectors are attached
+    held = keep(_per_block(met.join(sets.select("node", F.col("point").alias("vector")), "node"), partial(_partnered, percent), _MEMBER), "jaccard-members")
+    full = held.join(sets.select("node", F.col("fine").alias("vector")), "node")
+    return _per_block(full, partial(_block_pairs, percent), "a long, b long").distinct()
+
+
+_MEMBER = "key long, p int, q int, mine int, node long, component long"
+_BLOCK = ["key", "p", "q"]
+
+
+def _block(rows: pa.Table) -> tuple[VectorBlock, CountTree, Callable[[int, np.ndarray], np.ndarray]]:
+    """Vectors and tree of a block, and which of some members are in another component (and part) than a member."""
+    component, side = rows.column("component").to_numpy(), rows.column("mine").to_numpy()
+    halves = rows.column("p")[0].as_py() != rows.column("q")[0].as_py()
+    block = VectorBlock([_vector(v) for v in rows.column("vector").to_pylist()])
+
+    def apart(i: int, others: np.ndarray) -> np.ndarray:
+        others = others[(others > i) & (component[others] != component[i])]
+        return others[side[others] != side[i]] if halves else others
+
+    return block, CountTree(np.array([folded(v, GROUPS) for v in block.vectors])), apart
+
+
+def _partnered(percent: int, rows: pa.Table, seen: set) -> pa.RecordBatch:
+    """Members of a block that may link with some other member."""
+    block, tree, apart = _block(rows)
+    near = np.zeros(len(rows), bool)
+    for i in range(len(rows)):
+        found = apart(i, tree.search(tree.given[i], percent))
+        fit = block.reachable(i, found[~near[found]] if near[i] else found, percent)
+        near[fit] = True
+        near[i] |= len(fit) > 0
+    names = ["key", "p", "q", "mine", "node", "component"]
+    return rows.select(names).filter(pa.array(near)).combine_chunks().to_batches(max_chunksize=len(rows))[0] if near.any() else None
+
+
+def _block_pairs(percent: int, rows: pa.Table, seen: set) -> pa.RecordBatch:
+    """Pairs of a block that the fine vectors allow; ``seen`` has those of the task's earlier blocks."""
+    node = rows.column("node").to_numpy()
+    block, tree, apart = _block(rows)
+    left, right = [], []
+    for i in range(len(node)):
+        for j in block.reachable(i, apart(i, tree.search(tree.given[i], percent)), percent):
+            pair = (int(node[i]), int(node[j]))  # rows are sorted by node
+            if pair not in seen:
+                seen.add(pair)
+                left.append(pair[0])
+                right.append(pair[1])
+    return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+
+def _per_block(rows: DataFrame, work: Callable[[pa.Table, set], pa.RecordBatch | None], shape: str) -> DataFrame:
+    """Run ``work`` on every block (key, p, q) of ``rows``, sorted by node; a task streams its blocks."""
+    order = _BLOCK
+    tasks = partitions_for(rows, 1, 1)
+    laid = rows.select(*order, "mine", "node", "component", "vector").repartition(tasks, *order).sortWithinPartitions(*order, "node")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -319,16 +355,14 @@ def _tree_pairs(shared: DataFrame, sets: DataFrame, of: DataFrame, percent: int)
                 values = rows.column(c).to_numpy()
                 mark |= values[1:] != values[:-1]
             cuts = np.concatenate([[0], np.flatnonzero(mark) + 1, [len(rows)]])
-            left, right = [], []
-            for a, b in zip(cuts[:-1], cuts[1:] if last else cuts[1:-1]):
-                some = block_pairs(rows.slice(a, b - a), seen)
-                left += some[0]
-                right += some[1]
+            done = [work(rows.slice(a, b - a), seen) for a, b in zip(cuts[:-1], cuts[1:] if last else cuts[1:-1])]
+            done = [x for x in done if x is not None and x.num_rows]
+            if done:
+                yield from pa.Table.from_batches(done).combine_chunks().to_batches()
             if len(seen) > 1_000_000:
                 seen.clear()
             if not last:
                 held.append(rows.slice(cuts[-2]))
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
         for batch in batches:
             if batch.num_rows:
@@ -337,7 +371,7 @@ def _tree_pairs(shared: DataFrame, sets: DataFrame, of: DataFrame, percent: int)
         if held:
             yield from flush(True)
 
-    return laid.mapInArrow(run, "a long, b long").distinct()
+    return laid.mapInArrow(run, shape)
 
 
 def jaccard_components(docs: DataFrame, n: int, percent: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
