@@ -8,7 +8,7 @@ the text of all its windows.
    ranges.  2. The runs of a range are merged by binary search.  Of equal contexts the earliest stays open and all
    windows of the others are repeats.  3. Fingerprints with several contexts (the borders of passages) send these, one
    of each kind, to the operator's own resolver.  4. Fingerprints with more contexts than one task should hold send one
-   hash per window instead, which Spark aggregates.
+   hash per window instead, which Spark sorts.
 
 Positions are ordered by (doc_id, row, offset); ``row`` tells rows apart that repeat a doc_id, null ids come last.
 """
@@ -29,8 +29,8 @@ from kinweave.llm.words import blocks, mix, powers, sliding_min, text_block
 
 SHARD_BYTES = 2 << 20
 RANGE_ANCHORS = 100_000
-HOT_CONTEXTS = 20_000  # contexts of one fingerprint that a task may hold
-GROUP_BYTES = 1 << 20  # contexts resolved together
+HOT_CONTEXTS = 10_000  # contexts of one fingerprint that a task may hold
+GROUP_BYTES = 1 << 18  # contexts resolved together
 NO_ID = (1 << 63) - 1
 _CONTEXT_BITS = np.uint64((1 << 48) - 1)
 _FIELDS = [("fingerprint", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("lo", "<i4"), ("stop", "<i4")]
@@ -297,33 +297,50 @@ def _struct(lists: pa.ListArray, name: str) -> np.ndarray:
     return lists.flatten().field(name).to_numpy(zero_copy_only=False)
 
 
-def _contexts(open_: DataFrame, texts: DataFrame, corpus: Corpus) -> DataFrame:
-    """``fingerprint, doc, row, lo, context`` of the open contexts."""
-    met = texts.join(_per_row(open_, "fingerprint", "lo", "stop"), "row").select("doc", "row", "packed", "ranges")
+def _contexts(settled: DataFrame, texts: DataFrame, corpus: Corpus) -> DataFrame:
+    """``kind, fingerprint, doc, row, lo, context, second``: texts of the open contexts, and the windows of the hot ones.
+
+    A hot window has two hashes of its units, in ``fingerprint`` and ``second``, instead of a text.
+    """
+    open_ = settled.where(F.col("kind") != SPAN)
+    met = texts.join(_per_row(open_, "kind", "fingerprint", "lo", "stop"), "row").select("doc", "row", "packed", "ranges")
+    names = ["kind", "fingerprint", "doc", "row", "lo", "context", "second"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
                 data, offsets = unpress(batch.column("packed"))
-                _, bounds = corpus.units(data, offsets)
+                values, bounds = corpus.units(data, offsets)
                 cut = corpus.text(data, offsets, bounds)
                 lists = batch.column("ranges")
                 owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-                lo, stop = _struct(lists, "lo"), _struct(lists, "stop")
-                pieces = [cut(int(bounds[o] + a), int(bounds[o] + b)) for o, a, b in zip(owner, lo, stop)]
+                kind, fingerprint, lo, stop = (_struct(lists, c) for c in ("kind", "fingerprint", "lo", "stop"))
                 doc, row = batch.column("doc").to_numpy(), batch.column("row").to_numpy()
+                hot = kind == HOT
+                o = owner[~hot]
+                pieces = [cut(int(x), int(y)) for x, y in zip(bounds[o] + lo[~hot], bounds[o] + stop[~hot])]
+                columns = [kind[~hot], fingerprint[~hot], doc[o], row[o], lo[~hot]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_struct(lists, "fingerprint")), pa.array(doc[owner]), pa.array(row[owner]), pa.array(lo), pa.array(pieces, pa.binary())],
-                    names=["fingerprint", "doc", "row", "lo", "context"],
+                    [*map(pa.array, columns), pa.array(pieces, pa.binary()), pa.array(np.zeros(len(pieces), np.int64))], names=names
                 )
+                if not hot.any():
+                    continue
+                n = stop[hot] - lo[hot] - corpus.window + 1
+                at = (np.repeat(lo[hot] - (np.cumsum(n) - n), n) + np.arange(n.sum())).astype(np.int32)
+                o = np.repeat(owner[hot], n)
+                first = bounds[o] + at
+                one = range_hashes(unit_sums(values), first, first + corpus.window).view(np.int64)
+                two = range_hashes(unit_sums(mix(values)), first, first + corpus.window).view(np.int64)
+                columns = [np.full(len(at), HOT, np.int8), one, doc[o], row[o], at]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(at), pa.binary()), pa.array(two)], names=names)
 
-    return met.mapInArrow(run, "fingerprint long, doc long, row long, lo int, context binary")
+    return met.mapInArrow(run, "kind tinyint, fingerprint long, doc long, row long, lo int, context binary, second long")
 
 
 def _resolved(contexts: DataFrame, corpus: Corpus) -> DataFrame:
     """``row, lo, stop``: repeated windows among the contexts of each fingerprint."""
-    laid = contexts.repartition("fingerprint").sortWithinPartitions("fingerprint", "doc", "row", "lo")
+    laid = contexts.select("fingerprint", "doc", "row", "lo", "context").repartition("fingerprint").sortWithinPartitions("fingerprint", "doc", "row", "lo")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -380,34 +397,27 @@ def _portions(rows: pa.Table) -> Iterator[pa.Table]:
         at = stop
 
 
-def _hot_windows(hot: DataFrame, texts: DataFrame, corpus: Corpus) -> DataFrame:
-    """``row, lo, stop``: repeated windows of hot fingerprints, by a hash of each window that Spark aggregates."""
-    met = texts.join(_per_row(hot, "lo", "stop"), "row").select("doc", "row", "packed", "ranges")
+def _hot_windows(windows: DataFrame, corpus: Corpus) -> DataFrame:
+    """``row, lo, stop``: all but the first of equal windows, streamed in the order of hash and position."""
+    order = ["fingerprint", "second", "doc", "row", "lo"]
+    laid = windows.select(*order).repartition("fingerprint", "second").sortWithinPartitions(*order)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 64):
-                batch = whole.slice(k, 64)
-                data, offsets = unpress(batch.column("packed"))
-                values, bounds = corpus.units(data, offsets)
-                lists = batch.column("ranges")
-                owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-                lo, n = _struct(lists, "lo"), _struct(lists, "stop") - _struct(lists, "lo") - corpus.window + 1
-                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                owner = np.repeat(owner, n)
-                first = bounds[owner] + at
-                one = range_hashes(unit_sums(values), first, first + corpus.window)
-                two = range_hashes(unit_sums(mix(values)), first, first + corpus.window)
-                doc, row = batch.column("doc").to_numpy(), batch.column("row").to_numpy()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(doc[owner]), pa.array(row[owner]), pa.array(at.astype(np.int32))],
-                    names=["one", "two", "doc", "row", "lo"],
-                )
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            one, two = batch.column("fingerprint").to_numpy(), batch.column("second").to_numpy()
+            again = np.zeros(len(one), bool)
+            again[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+            again[0] = last == (one[0], two[0])
+            last = (one[-1], two[-1])
+            lo = batch.column("lo").to_numpy()[again]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(batch.column("row").to_numpy()[again]), pa.array(lo), pa.array((lo + corpus.window).astype(np.int32))], names=["row", "lo", "stop"]
+            )
 
-    windows = keep(met.mapInArrow(run, "one long, two long, doc long, row long, lo int"), "hot-windows")
-    first = windows.groupBy("one", "two").agg(F.min(F.struct("doc", "row", "lo")).alias("first"))
-    again = windows.join(first, ["one", "two"]).where(F.struct("doc", "row", "lo") != F.col("first"))
-    return again.select("row", "lo", (F.col("lo") + corpus.window).alias("stop"))
+    return laid.mapInArrow(run, "row long, lo int, stop int")
 
 
 def repeated_spans(docs: DataFrame, corpus: Corpus, id_column: str = "doc_id", text_column: str = "text", hot: int = HOT_CONTEXTS) -> tuple[DataFrame, DataFrame]:
@@ -421,10 +431,10 @@ def repeated_spans(docs: DataFrame, corpus: Corpus, id_column: str = "doc_id", t
     per_anchor = (corpus.window - corpus.gram + 2) / 2  # units per anchor; a unit has a byte at least
     ranges = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total / per_anchor / RANGE_ANCHORS))
     settled = keep(_settled(_runs(plain, corpus, ranges), ranges, hot), "settled")
+    contexts = keep(_contexts(settled, texts, corpus), "contexts")
     spans = settled.where(F.col("kind") == SPAN).select("row", "lo", "stop")
-    spans = spans.unionByName(_resolved(_contexts(settled.where(F.col("kind") == OPEN), texts, corpus), corpus))
-    if not settled.where(F.col("kind") == HOT).isEmpty():
-        spans = spans.unionByName(_hot_windows(settled.where(F.col("kind") == HOT), texts, corpus))
+    spans = spans.unionByName(_resolved(contexts.where(F.col("kind") == OPEN), corpus))
+    spans = spans.unionByName(_hot_windows(contexts.where(F.col("kind") == HOT), corpus))
     return texts, _per_row(spans, "lo", "stop")
 
 
