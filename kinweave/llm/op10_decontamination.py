@@ -310,7 +310,7 @@ def _search(known: DataFrame, targets: Targets, idf: np.ndarray, latent: Latent,
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; columns and rows stay as they are otherwise."""
-    hit = leaks(docs, benchmark).select(F.col("doc_id").alias("hit")).distinct()
+    hit = keep(leaks(docs, benchmark).select(F.col("doc_id").alias("hit")).distinct(), "leaks")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"))
     return whole.join(hit, F.col("record.doc_id").eqNullSafe(F.col("hit")), "left_anti").select("record.*")
 

@@ -178,6 +178,12 @@ def merged_groups(rows: DataFrame) -> DataFrame:
     return single.mapInArrow(_merge_bounded, shape).repartition(parts, "digest").mapInArrow(_merge, shape)
 
 
+def digested(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """``doc_id, row, digest`` of every row, stored."""
+    seen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_bytes(text_column).alias("__text"))
+    return keep(seen.mapInArrow(_digests, "doc_id long, row long, digest binary"), "exact-rows")
+
+
 def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
@@ -185,8 +191,7 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     doc_id stays; null doc_id ranks lowest, and of rows with the same doc_id and text the last of the input stays.  An
     empty table gives no rows; other columns are not read.
     """
-    seen = docs.select(F.col(id_column).alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_bytes(text_column).alias("__text"))
-    rows = keep(seen.mapInArrow(_digests, "doc_id long, row long, digest binary"), "exact-rows")
+    rows = digested(docs, id_column, text_column)
     several = keep(merged_groups(rows).where("group_size > 1"), "exact-groups")
     found = rows.join(several, "digest", "left")
     return found.select(
@@ -199,19 +204,12 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 
 def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` without superseded copies, by the rule of :func:`exact_dedup`; all other columns stay as they are."""
-    lowered = F.translate(F.coalesce(text_column, F.lit("")), _UPPER, _UPPER.lower())
-    marked = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), F.col(id_column).cast("long").alias("doc_id"),
-        F.monotonically_increasing_id().alias("row"), F.unhex(F.sha2(lowered.cast("binary"), 256)).alias("digest"),
-    )
-    marked = keep(marked, "exact-marked")  # one numbering of the rows for both uses
-    several = keep(merged_groups(marked.select("doc_id", "row", "digest")).where("group_size > 1").select("digest", "keep_row"), "exact-groups")
-    out = marked.join(several, "digest", "left")
-    return out.where(F.col("keep_row").isNull() | (F.col("keep_row") == F.col("row"))).select("record.*")
-
-
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    """``docs`` (a stored table) without superseded copies, by the rule of :func:`exact_dedup`; columns stay as they are."""
+    rows = digested(docs, id_column, text_column)
+    several = merged_groups(rows).where("group_size > 1").select("digest", "keep_row")
+    gone = keep(rows.join(several, "digest").where(F.col("row") != F.col("keep_row")).select("row"), "exact-gone")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), F.monotonically_increasing_id().alias("row"))
+    return whole.join(gone, "row", "left_anti").select("record.*")
 
 
 @query("op7_exact_dedup", SQL)
