@@ -1,11 +1,11 @@
 """Operator 10: benchmark decontamination by latent semantic retrieval.
 
-1. Document frequencies of hashed words over the whole corpus give the inverse document frequencies.  2. A distributed
-randomised SVD of the TF-IDF benchmark passages gives the latent space: tasks hold rows, exchange local QR factors and
-sum their share of the projected matrix.  3. Every document is cut into overlapping windows of words at the scales of
-the passages; windows whose cosine with a passage reaches ``COSINE`` are candidates.  4. The longest common subsequence
-of passage and surrounding words decides: nearly verbatim passages are leaks, looser ones only if the passage's answer
-(its last sentence) is found there too.
+1. Document frequencies of hashed words over the whole corpus give the inverse document frequencies.  2. The TF-IDF
+passages are dealt by hash into spaces of some ``SPACE_PASSAGES`` passages; a randomised SVD of each space's own rows
+keeps every direction they span, so that no passage loses a part of its norm, whatever the size of the benchmark.
+3. Every document is cut into overlapping windows of words at the scales of the passages; windows whose cosine with a
+passage reaches ``COSINE`` are candidates.  4. The longest common subsequence of passage and surrounding words decides:
+nearly verbatim passages are leaks, looser ones only if the passage's answer (its last sentence) is found there too.
 
 Words are lower-cased (A-Z) runs of bytes without white space and ASCII punctuation.
 """
@@ -26,17 +26,16 @@ from kinweave.llm.store import keep, table, text_bytes
 from kinweave.llm.words import ARE_PLAIN, over_batches, text_block, word_hashes
 
 FEATURES = 1 << 16  # hashed words
-RANK = 128
+SPACE_PASSAGES = 96  # passages that share a latent space, on average
 OVERSAMPLE = 10
 PASSAGE_WORDS = 64
-BLOCK_WORDS = 8  # windows are made of whole blocks
-SCALES = (2, 4, 8)  # blocks in a window; the hop is half a window
+MARGIN_WORDS = 8  # words beside a window that are compared too, besides half a passage
+WINDOWS = (16, 32, 64)  # words in a window, by scale; the hop is half a window
 COSINE = 0.35
 VERBATIM = 0.8  # share of a passage's words in the common subsequence
 PARAPHRASE = 0.6
 ANSWER = 0.8
-FIT_PASSAGES = 4_096  # bound of the passages that span the latent space; all passages are searched for
-SEARCH_PASSAGES = 4_096  # passages looked for in one pass over the corpus
+SEARCH_PASSAGES = 2_048  # passages looked for in one pass over the corpus
 
 
 def features_of(words: np.ndarray) -> np.ndarray:
@@ -84,7 +83,7 @@ def inverse_frequencies(docs: DataFrame, text_column: str = "text") -> np.ndarra
 
 
 def passages_of(benchmark: DataFrame, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
-    """``item_id, words, answer``: items in passages of up to ``PASSAGE_WORDS`` words, half overlapping."""
+    """``item_id, scale, words, answer``: items in passages of up to ``PASSAGE_WORDS`` words, half overlapping."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, passages, answers = [], [], []
@@ -99,10 +98,13 @@ def passages_of(benchmark: DataFrame, id_column: str = "item_id", text_column: s
                         passages.append(part)
                         answers.append(sentences[-1] if start + PASSAGE_WORDS >= len(words) else part[-8:])
         long = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(passages, long), pa.array(answers, long)], names=["item_id", "words", "answer"])
+        scales = np.searchsorted(WINDOWS[:-1], [len(p) for p in passages])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(items, pa.int64()), pa.array(scales, pa.int32()), pa.array(passages, long), pa.array(answers, long)], names=["item_id", "scale", "words", "answer"]
+        )
 
     rows = benchmark.select(F.col(id_column).cast("long").alias("item_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "item_id long, words array<long>, answer array<long>")
+    return rows.mapInArrow(run, "item_id long, scale int, words array<long>, answer array<long>")
 
 
 def _plain_words(text: str) -> list[int]:
@@ -119,132 +121,120 @@ def _weighted(words: pa.Array, idf: np.ndarray) -> list[tuple[np.ndarray, np.nda
     return out
 
 
-@dataclass
-class Latent:
-    """Basis of the latent space: ``row[f]`` is the line of feature f in ``basis`` (the last line is zero)."""
+def dealt(passages: DataFrame) -> DataFrame:
+    """``passages`` with their ``space``: a hash of the passage deals those of a scale into spaces of one size."""
+    counts = {r["scale"]: r["count"] for r in passages.groupBy("scale").count().collect()}
+    at, space = 0, F.lit(None).cast("int")
+    for scale, n in sorted(counts.items()):
+        spaces = -(-n // SPACE_PASSAGES)
+        place = F.pmod(F.xxhash64("item_id", "words", "answer"), F.lit(spaces)).cast("int") + F.lit(at)
+        space = F.when(F.col("scale") == scale, place).otherwise(space)
+        at += spaces
+    return passages.withColumn("space", space)
 
-    row: np.ndarray
-    basis: np.ndarray
 
+def latent_basis(weighted: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(features, basis lines) of the right singular vectors of TF-IDF rows, by randomised projection.
 
-def latent_space(passages: DataFrame, idf: np.ndarray, rank: int = RANK, fit_passages: int = FIT_PASSAGES) -> Latent:
-    """Right singular vectors of the passages' TF-IDF matrix by randomised projection over distributed rows."""
-    n = passages.count()
-    if n > fit_passages:
-        share = int((1 << 30) * fit_passages / n)
-        passages = passages.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(1 << 30)) < share)
-    wide = max(1, min(rank + OVERSAMPLE, n))
-    rows = passages.select("words")
+    The projection is wider than the number of rows, so all directions of the rows are kept.
+    """
+    features = np.unique(np.concatenate([f for f, _ in weighted]))
+    rows = np.zeros((len(weighted), len(features)))
+    for k, (f, w) in enumerate(weighted):
+        rows[k, np.searchsorted(features, f)] = w
+    q = np.linalg.qr(rows @ _gaussian(features, len(rows) + OVERSAMPLE))[0]
+    _, sigma, vectors = np.linalg.svd(q.T @ rows, full_matrices=False)
+    return features, vectors[sigma > 1e-9 * sigma[0]].T
 
-    def sketch(words: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-        weighted = _weighted(words, idf)
-        return weighted, np.array([w @ _gaussian(f, wide) for f, w in weighted]).reshape(-1, wide)
 
-    def factors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = np.zeros((0, wide))
-        for batch in batches:
-            r = np.linalg.qr(np.vstack([r, sketch(batch.column("words"))[1]]), mode="r")
-        yield pa.RecordBatch.from_arrays([pa.array(r.tolist(), pa.list_(pa.float64()))], names=["r"])
+def _gaussian(features: np.ndarray, wide: int) -> np.ndarray:
+    """Rows of the random test matrix, the same in every task."""
+    return np.array([np.random.default_rng(int(f)).standard_normal(wide) for f in features]).reshape(-1, wide)
 
-    local = rows.mapInArrow(factors, "r array<double>").toArrow().column("r").to_pylist()
-    if not local:
-        return Latent(np.zeros(FEATURES, np.int32), np.zeros((1, 1), np.float32))
-    r = np.linalg.qr(np.array(local), mode="r")
-    inverse = np.linalg.pinv(r)
 
-    def projected(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            weighted, y = sketch(batch.column("words"))
-            q = y @ inverse
-            for (features, weights), line in zip(weighted, q):
-                for f, w in zip(features.tolist(), weights):
-                    total[f] = total.get(f, 0) + w * line
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(total), pa.int64()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], names=["feature", "line"]
-        )
+_SPACE = "space int, scale int, items array<long>, words array<array<long>>, answers array<array<long>>, features array<int>, basis binary, unit binary"
 
-    sums = [F.sum(F.col("line")[k]).alias(f"s{k}") for k in range(wide)]
-    found = rows.mapInArrow(projected, "feature long, line array<double>").groupBy("feature").agg(*sums).toArrow()
-    b = np.column_stack([found.column(f"s{k}").to_numpy() for k in range(wide)])  # features x wide: at most FEATURES rows
-    _, sigma, vectors = np.linalg.svd(b.T @ b)
-    sigma = np.sqrt(sigma)
-    used = (sigma > 1e-9 * sigma[0])[:rank]
-    basis = b @ vectors[:rank].T[:, used] / sigma[:rank][used]
-    at = found.column("feature").to_numpy()
-    row = np.full(FEATURES, len(at), np.int32)
-    row[at] = np.arange(len(at))
-    return Latent(row, np.vstack([basis, np.zeros((1, basis.shape[1]))]).astype(np.float32))
 
+def latent_spaces(passages: DataFrame, idf: np.ndarray) -> DataFrame:
+    """One row per space: its passages, the features they use, a basis line of each and the unit vectors of the passages."""
 
-def _gaussian(features: np.ndarray, wide: int) -> np.ndarray:
-    """Rows of the random test matrix, the same in every task."""
-    return np.array([np.random.default_rng(int(f)).standard_normal(wide) for f in features]).reshape(-1, wide)
+    def fit(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        weighted = _weighted(group.column("words"), idf)
+        features, basis = latent_basis(weighted)
+        v = np.array([w @ basis[np.searchsorted(features, f)] for f, w in weighted])
+        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+        row = {"space": group.column("space")[0].as_py(), "scale": group.column("scale")[0].as_py()}
+        row |= {"items": group.column("item_id").to_pylist(), "words": group.column("words").to_pylist(), "answers": group.column("answer").to_pylist()}
+        row |= {"features": features.tolist(), "basis": basis.astype(np.float32).tobytes(), "unit": unit.astype(np.float32).tobytes()}
+        return pa.Table.from_pylist([row], shape)
+
+    long = pa.list_(pa.int64())
+    kinds = [pa.int32(), pa.int32(), long, pa.list_(long), pa.list_(long), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+    shape = pa.schema(list(zip(["space", "scale", "items", "words", "answers", "features", "basis", "unit"], kinds)))
+    return passages.groupBy("space").applyInArrow(fit, _SPACE)
 
 
 @dataclass
-class Targets:
-    """Passages looked for in one pass, by scale."""
-
-    items: list[list[int]]
-    words: list[list[list[int]]]
-    answers: list[list[list[int]]]
-    unit: list[np.ndarray]
-
-
-def _targets(rows: list, idf: np.ndarray, latent: Latent) -> Targets:
-    out = Targets([], [], [], [])
-    for k, scale in enumerate(SCALES):
-        low = SCALES[k - 1] * BLOCK_WORDS if k else 0
-        high = scale * BLOCK_WORDS if k + 1 < len(SCALES) else 1 << 30
-        mine = [r for r in rows if low < len(r["words"]) <= high]
-        vectors = [w @ latent.basis[latent.row[f]] for f, w in _weighted(pa.array([r["words"] for r in mine], pa.list_(pa.int64())), idf)]
-        v = np.array(vectors, np.float32).reshape(-1, latent.basis.shape[1])
-        out.unit.append(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12))
-        out.items.append([r["item_id"] for r in mine])
-        out.words.append([r["words"] for r in mine])
-        out.answers.append([r["answer"] for r in mine])
-    return out
+class Space:
+    """Passages looked for together; ``weighted`` has the basis line times the weight of each feature, and a zero line."""
+
+    scale: int
+    items: list[int]
+    words: list[list[int]]
+    answers: list[list[int]]
+    features: np.ndarray
+    weighted: np.ndarray
+    unit: np.ndarray
+
 
+def _space(row, idf: np.ndarray) -> Space:
+    features = np.array(row["features"], np.int64)
+    basis = np.frombuffer(row["basis"], np.float32).reshape(len(features), -1)
+    weighted = np.vstack([basis * idf[features][:, None], np.zeros((1, basis.shape[1]), np.float32)])
+    unit = np.frombuffer(row["unit"], np.float32).reshape(len(row["items"]), -1)
+    return Space(row["scale"], row["items"], row["words"], row["answers"], features, weighted, unit)
 
-def candidates(words: np.ndarray, bounds: np.ndarray, idf: np.ndarray, weighted: np.ndarray, row_of: np.ndarray, targets: Targets) -> Iterator[tuple]:
-    """(scale, row, first word, end, passage, cosine) of every window and passage with enough cosine.
 
-    Rows are laid out in blocks of ``BLOCK_WORDS`` words, padded to whole half-windows of the largest scale and one more,
-    so that the sums over windows are sums of neighbouring array lines.
+def candidates(words: np.ndarray, bounds: np.ndarray, idf: np.ndarray, spaces: list[Space]) -> Iterator[tuple]:
+    """(space, row, first word, end, passage, cosine) of every window and passage with enough cosine.
+
+    Rows are laid out in half-windows, padded to whole ones and one more, so that the sums over windows are sums of
+    neighbouring array lines.
     """
     if not len(words):
         return
     count = np.diff(bounds)
-    most = SCALES[-1] // 2
-    padded = np.where(count > 0, -(-count // (most * BLOCK_WORDS)) * most + most, 0)
-    base = np.cumsum(padded) - padded
     owner = np.repeat(np.arange(len(count)), count)
-    place = base[owner] * BLOCK_WORDS + np.arange(len(words)) - bounds[owner]
     f = features_of(words)
-    at = np.full((int(padded.sum()), BLOCK_WORDS), len(weighted) - 1, np.int32)  # the zero line
-    at.ravel()[place] = row_of[f]
-    half = weighted[at[:, 0]]
-    for k in range(1, BLOCK_WORDS):
-        half += weighted[at[:, k]]
-    squares = np.zeros(at.size, np.float32)
-    squares[place] = idf[f] ** 2
-    squares = squares.reshape(-1, BLOCK_WORDS).sum(axis=1)
-    for k, scale in enumerate(SCALES):
-        if k:  # two half-windows of the scale before are one of this
-            half, squares = half[0::2] + half[1::2], squares[0::2] + squares[1::2]
-        if not targets.items[k]:
+    for scale, window in enumerate(WINDOWS):
+        mine = [s for s in spaces if s.scale == scale]
+        if not mine:
             continue
-        hop = scale * BLOCK_WORDS // 2
-        n = np.where(count > 0, np.maximum(-(-count // hop) - 1, 1), 0)
+        hop = window // 2
+        padded = np.where(count > 0, -(-count // hop) + 1, 0)
+        base = np.cumsum(padded) - padded
+        place = base[owner] * hop + np.arange(len(words)) - bounds[owner]
+        squares = np.zeros((int(padded.sum()), hop), np.float32)
+        squares.ravel()[place] = idf[f] ** 2
+        squares = squares.sum(axis=1)
+        n = np.where(count > 0, np.maximum(padded - 2, 1), 0)
         row = np.repeat(np.arange(len(count)), n)
         step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        q = base[row] // (scale // 2) + step
+        q = base[row] + step
         length = np.sqrt(np.maximum(squares[q] + squares[q + 1], 1e-12))
-        cosine = ((half[q] + half[q + 1]) @ targets.unit[k].T) / length[:, None]
-        for w, p in np.argwhere(cosine >= COSINE):
-            first = int(bounds[row[w]] + step[w] * hop)
-            yield k, int(row[w]), first, min(first + 2 * hop, int(bounds[row[w] + 1])), int(p), float(cosine[w, p])
+        for space in mine:
+            row_of = np.full(FEATURES, len(space.features), np.int32)
+            row_of[space.features] = np.arange(len(space.features))
+            at = np.full((len(squares), hop), len(space.features), np.int32)  # the zero line
+            at.ravel()[place] = row_of[f]
+            half = space.weighted[at[:, 0]]
+            for k in range(1, hop):
+                half += space.weighted[at[:, k]]
+            cosine = ((half[q] + half[q + 1]) @ space.unit.T) / length[:, None]
+            for w, p in np.argwhere(cosine >= COSINE):
+                first = int(bounds[row[w]] + step[w] * hop)
+                yield space, int(row[w]), first, min(first + window, int(bounds[row[w] + 1])), int(p), float(cosine[w, p])
 
 
 def judged(passage: list[int], answer: list[int], around: list[int]) -> tuple[bool, float, float]:
@@ -263,41 +253,35 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
     spark = docs.sparkSession
     known = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_bytes(text_column).alias("__text"))
     shape = "doc_id long, item_id long, cosine double, share double, answer_share double"
-    passages = keep(passages_of(benchmark), "passages").withColumn("at", F.monotonically_increasing_id())
+    passages = dealt(keep(passages_of(benchmark).distinct(), "passages"))
     total = passages.count()
     if not total:
         return spark.createDataFrame([], shape)
     idf = inverse_frequencies(docs, text_column).astype(np.float32)
-    latent = latent_space(passages, idf)
+    spaces = keep(latent_spaces(passages, idf), "spaces")
     found = None
-    blocks = -(-total // SEARCH_PASSAGES)
-    for k in range(blocks):  # a block of passages at a time, each against all documents
-        mine = passages.where(F.pmod(F.xxhash64("at"), F.lit(blocks)) == k) if blocks > 1 else passages
-        rows = mine.orderBy("item_id", "at").select("item_id", "words", "answer").collect()
-        some = _search(known, _targets(rows, idf, latent), idf, latent, shape)
+    turns = -(-total // SEARCH_PASSAGES)
+    for k in range(turns):  # some spaces at a time, each against all documents
+        rows = spaces.where(F.col("space") % turns == k).orderBy("space").collect()
+        some = _search(known, rows, idf, shape)
         found = some if found is None else found.unionByName(some)
     best = F.max(F.struct("share", "cosine", "answer_share")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.cosine", "best.share", "best.answer_share")
 
 
-def _search(known: DataFrame, targets: Targets, idf: np.ndarray, latent: Latent, shape: str) -> DataFrame:
-    # the weight of a word is folded into its line; words outside the passages share the zero line
-    weighted_rows = np.zeros(len(latent.basis), np.float32)
-    weighted_rows[latent.row] = idf
-    weighted_rows[-1] = 0
-    weighted = latent.basis * weighted_rows[:, None]
-
+def _search(known: DataFrame, rows: list, idf: np.ndarray, shape: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spaces = [_space(r, idf) for r in rows]
         for batch, data, offsets in over_batches(batches, "__text"):
             words, _, _, bounds = word_hashes(data, offsets, True, ARE_PLAIN)
             out: dict[tuple[int, int], tuple] = {}
-            for k, row, first, end, p, cosine in candidates(words, bounds, idf, weighted, latent.row, targets):
-                passage, key = targets.words[k][p], (row, targets.items[k][p])
+            for space, row, first, end, p, cosine in candidates(words, bounds, idf, spaces):
+                passage, key = space.words[p], (row, space.items[p])
                 if key in out and out[key][1] >= 1.0:
                     continue
-                margin = len(passage) // 2 + BLOCK_WORDS
+                margin = len(passage) // 2 + MARGIN_WORDS
                 around = words[max(bounds[row], first - margin) : min(bounds[row + 1], end + margin)].view(np.int64).tolist()
-                leak, share, found = judged(passage, targets.answers[k][p], around)
+                leak, share, found = judged(passage, space.answers[p], around)
                 if leak and (key not in out or share > out[key][1]):
                     out[key] = (cosine, share, found)
             ids = batch.column("doc_id")

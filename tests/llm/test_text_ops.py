@@ -18,7 +18,7 @@ from kinweave.llm.op2_token_planes import PieceEncoder, from_planes, joined_crc3
 from kinweave.llm.op5_quality import FEATURES, document_statistics, fit_trees, held_out, keep_good, quality, statistics
 from kinweave.llm.op6_phrases import remove_phrases
 from kinweave.llm.op8_jaccard import CountTree, drop_near_copies, jaccard_components, least_overlap
-from kinweave.llm.op10_decontamination import common_subsequence, drop_leaks, leaks
+from kinweave.llm.op10_decontamination import common_subsequence, drop_leaks, latent_basis, leaks
 from kinweave.llm.passages import merge_by_search
 from kinweave.llm.store import new_folder, table
 from kinweave.llm.suffixes import common_prefixes, repeated_windows, suffix_array
@@ -325,3 +325,44 @@ def test_candidate_recall_against_brute_force(spark):
     got = {(r.doc_id, r.item_id) for r in leaks(docs, bench).collect()}
     assert len(want) > 10 and len(want & got) >= 0.9 * len(want)
     assert got <= want  # the table holds verbatim passages only
+
+
+def test_every_verbatim_item_of_200_is_found(spark):
+    docs, bench = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "benchmark")
+    items = {r.item_id: r.text for r in bench.collect()}
+    want = {(r.doc_id, i) for r in docs.select("doc_id", "text").collect() for i, t in items.items() if t in (r.text or "")}
+    got = {(r.doc_id, r.item_id) for r in leaks(docs, bench).collect()}
+    assert len(items) == 200 and len(want) > 200 and want <= got
+
+
+def planted_items(n, seed):
+    """Items of ordinary words, and documents that hold some of them whole and some with words changed before the answer."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("aeioustrnlmk") for _ in range(rng.randint(3, 9))) for _ in range(3_000)]
+    text = lambda k: " ".join(rng.choice(vocabulary) for _ in range(k))
+    items = [(k, f"{text(30)}. {text(10)}.") for k in range(n)]
+    rows, planted = [(k, text(200)) for k in range(50)], set()
+    for k, (item, t) in enumerate(rng.sample(items, 120)):
+        w = t.split()
+        if k % 2:
+            for at in rng.sample(range(29), 6):
+                w[at] = "other"
+        rows.append((1_000 + k, f"{text(rng.randint(0, 90))} {' '.join(w)} {text(rng.randint(0, 90))}"))
+        planted.add((1_000 + k, item))
+    return items, rows, planted
+
+
+@pytest.mark.parametrize("n", [300])
+def test_recall_does_not_fall_with_the_size_of_the_benchmark(spark, stored, n):
+    items, rows, planted = planted_items(n, 17)
+    got = {(r.doc_id, r.item_id) for r in leaks(stored(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == planted
+
+
+def test_a_latent_space_keeps_every_passage_whole():
+    rng = np.random.default_rng(3)
+    rows = [(f := np.unique(rng.integers(0, 1 << 16, 60)), rng.uniform(0.1, 9, len(f))) for _ in range(150)]
+    rows += [rows[0], (rows[1][0], 2 * rows[1][1]), (rows[2][0][:1], np.ones(1) * 0.01)]
+    features, basis = latent_basis(rows)
+    for f, w in rows:
+        assert np.linalg.norm(w @ basis[np.searchsorted(features, f)]) == pytest.approx(np.linalg.norm(w), rel=1e-6)
