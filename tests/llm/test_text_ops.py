@@ -352,7 +352,7 @@ def planted_items(n, seed):
     return items, rows, planted
 
 
-@pytest.mark.parametrize("n", [300])
+@pytest.mark.parametrize("n", [300, 4_500])
 def test_recall_does_not_fall_with_the_size_of_the_benchmark(spark, stored, n):
     items, rows, planted = planted_items(n, 17)
     got = {(r.doc_id, r.item_id) for r in leaks(stored(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
