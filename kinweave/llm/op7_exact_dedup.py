@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm.registry import query
-from kinweave.llm.store import keep, partitions_for, table, text_bytes
+from kinweave.llm.store import keep, partitions_for, row_numbers, stored, table, text_bytes
 
 FLUSH_KEYS = 200_000  # an index that holds more live digests is emptied into the shuffle
 
@@ -180,7 +180,7 @@ def merged_groups(rows: DataFrame) -> DataFrame:
 
 def digested(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """``doc_id, row, digest`` of every row, stored."""
-    seen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_bytes(text_column).alias("__text"))
+    seen = row_numbers(docs)(F.col(id_column).cast("long").alias("doc_id"), text_bytes(text_column).alias("__text")).select("doc_id", "row", "__text")
     return keep(seen.mapInArrow(_digests, "doc_id long, row long, digest binary"), "exact-rows")
 
 
@@ -191,7 +191,7 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     doc_id stays; null doc_id ranks lowest, and of rows with the same doc_id and text the last of the input stays.  An
     empty table gives no rows; other columns are not read.
     """
-    rows = digested(docs, id_column, text_column)
+    rows = digested(stored(docs), id_column, text_column)
     several = keep(merged_groups(rows).where("group_size > 1"), "exact-groups")
     found = rows.join(several, "digest", "left")
     return found.select(
@@ -205,10 +205,11 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` (a stored table) without superseded copies, by the rule of :func:`exact_dedup`; columns stay as they are."""
+    docs = stored(docs)
     rows = digested(docs, id_column, text_column)
     several = merged_groups(rows).where("group_size > 1").select("digest", "keep_row")
     gone = keep(rows.join(several, "digest").where(F.col("row") != F.col("keep_row")).select("row"), "exact-gone")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), F.monotonically_increasing_id().alias("row"))
+    whole = row_numbers(docs)(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"))
     return whole.join(gone, "row", "left_anti").select("record.*")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from kinweave.llm.components import components
 from kinweave.llm.passages import numbered, unpress
 from kinweave.llm.registry import query
-from kinweave.llm.store import keep, partitions_for, table, text_bytes
+from kinweave.llm.store import keep, partitions_for, row_numbers, stored, table, text_bytes
 from kinweave.llm.words import over_batches, ragged, shingles, word_hashes
 
 GROUPS = 16  # dimensions of the R-tree
@@ -384,7 +384,8 @@ def jaccard_components(docs: DataFrame, n: int, percent: int, id_column: str = "
     links, the row's own id included.  Rows that repeat a doc_id are documents of their own; a null doc_id is larger than
     any other, and alone it is its own (null) component.  An empty table gives no rows.
     """
-    known = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_bytes(text_column).alias("text"))
+    docs = stored(docs)
+    known = row_numbers(docs)(F.col(id_column).cast("long").alias("doc_id"), text_bytes(text_column).alias("text")).select("doc_id", "row", "text")
     frequent = _frequent(known, n, SAMPLE_DOCS)
     described = keep(_described(known, n, percent, frequent), "jaccard-sets")
     # one node per distinct set: its first row
@@ -413,12 +414,13 @@ def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
 
     Rows with empty sets all stay; columns stay as they are.
     """
+    docs = stored(docs)
     found = keep(jaccard_components(docs, n, percent).where("component is not null"), "jaccard-found")
     place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
     stay = found.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.min(place).alias("first")).where("members > 1")
     gone = found.join(stay, "component").where(F.col("row") != F.col("first")["row"]).select("row")
     gone = keep(gone, "jaccard-gone")  # a stored list of known size: a short one need not move the texts
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), F.monotonically_increasing_id().alias("row"))
+    whole = row_numbers(docs)(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"))
     return whole.join(gone, "row", "left_anti").select("record.*")
 
 

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.store import keep, partitions_for, text_bytes
+from kinweave.llm.store import keep, partitions_for, row_numbers, stored, text_bytes
 from kinweave.llm.words import blocks, mix, powers, sliding_min, text_block
 
 SHARD_BYTES = 2 << 20
@@ -144,11 +144,14 @@ class Corpus:
     local: Callable | None = None
 
 
+def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    columns = F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("doc"), text_bytes(text_column).alias("text")
+    return row_numbers(docs)(*columns).select("doc", "row", "text")
+
+
 def numbered(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """``doc, row, packed``: compressed texts, as they travel.  ``docs`` must be a stored table (rows are numbered by its files)."""
-    chosen = docs.select(
-        F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("doc"), F.monotonically_increasing_id().alias("row"), text_bytes(text_column).alias("text")
-    )
+    chosen = _texts(docs, id_column, text_column)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
@@ -423,11 +426,10 @@ def _hot_windows(windows: DataFrame, corpus: Corpus) -> DataFrame:
 def repeated_spans(docs: DataFrame, corpus: Corpus, id_column: str = "doc_id", text_column: str = "text", hot: int = HOT_CONTEXTS) -> tuple[DataFrame, DataFrame]:
     """(texts, spans): ``doc, row, packed`` per document and ``row, ranges`` with the unit ranges [lo, stop) of windows
     that also start earlier, for the documents that have any."""
+    docs = stored(docs)
     texts = numbered(docs, id_column, text_column)
-    plain = docs.select(
-        F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("doc"), F.monotonically_increasing_id().alias("row"), text_bytes(text_column).alias("text")
-    )
-    total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    plain = _texts(docs, id_column, text_column)
+    total = docs.select(text_bytes(text_column).alias("text")).agg(F.sum(F.octet_length("text"))).first()[0] or 0
     per_anchor = (corpus.window - corpus.gram + 2) / 2  # units per anchor; a unit has a byte at least
     ranges = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total / per_anchor / RANGE_ANCHORS))
     settled = keep(_settled(_runs(plain, corpus, ranges), ranges, hot), "settled")

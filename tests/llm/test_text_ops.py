@@ -17,6 +17,7 @@ from kinweave.llm.op1_suffix_dedup import remove_repeats
 from kinweave.llm.op2_token_planes import PieceEncoder, from_planes, joined_crc32, read_token_files, to_planes, write_token_files
 from kinweave.llm.op5_quality import FEATURES, document_statistics, fit_trees, held_out, keep_good, quality, statistics
 from kinweave.llm.op6_phrases import remove_phrases
+from kinweave.llm.op7_exact_dedup import drop_copies
 from kinweave.llm.op8_jaccard import CountTree, drop_near_copies, jaccard_components, least_overlap
 from kinweave.llm.op10_decontamination import common_subsequence, drop_leaks, latent_basis, leaks
 from kinweave.llm.passages import merge_by_search
@@ -366,3 +367,31 @@ def test_a_latent_space_keeps_every_passage_whole():
     features, basis = latent_basis(rows)
     for f, w in rows:
         assert np.linalg.norm(w @ basis[np.searchsorted(features, f)]) == pytest.approx(np.linalg.norm(w), rel=1e-6)
+
+
+def test_rows_keep_their_numbers_when_files_are_split_anew(spark, stored):
+    """A lost core changes Spark's file splits between two jobs: what is dropped must not change with them."""
+    rows = corpus()
+    docs, texts = stored(rows), [t or "" for _, t in rows]
+    copies, near, repeats = drop_copies(docs), drop_near_copies(docs, 5, 80), remove_repeats(docs, 30, 8)
+    want = [sorted(map(str, f.collect())) for f in (copies, near, repeats)]
+    copies, near, repeats = drop_copies(docs), drop_near_copies(docs, 5, 80), remove_repeats(docs, 30, 8)
+    conf = {"spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "1"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    parts = docs.rdd.getNumPartitions()
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        assert docs.where("true").rdd.getNumPartitions() != parts
+        got = [sorted(map(str, f.collect())) for f in (copies, near, repeats)]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == want
+    assert len({t.lower() for t in texts}) == len(want[0])
+
+
+def test_tables_that_are_not_stored_are_stored_first(spark):
+    rows = [(k, t) for k, t in corpus() if t]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert drop_copies(docs.unionByName(docs)).count() == len({t.lower() for _, t in rows})
