@@ -124,3 +124,21 @@ def test_sources_round_trip(spark, tmp_path):
 def test_config_reads_the_json_settings():
     config = RunConfig.from_json('{"general": {"workspace_dir": "w"}, "clustering": {"num_clusters": {"c": 5}}, "matching": {"no_matching": true}}')
     assert config.num_clusters == {"c": 5} and config.matching_method == "shuffle"
+
+
+def test_registered_efficacy_chooses_among_all_settings(spark, monkeypatch):
+    """Every target of the registered query gets all 36 settings to choose among."""
+    from kinweave.operators import learn
+    from kinweave.queries import load_all
+    from kinweave.queries.registry import QUERIES
+
+    load_all()
+    asked = []
+
+    def one_target(fake, test, domain, target, grid=tuple(learn.FULL_GRID), **_):
+        asked.append((target, list(grid)))
+        return [dict(column=target, task="t", criterion="c", metric="m", value=1.0, setting="s")]
+
+    monkeypatch.setattr(learn, "efficacy", one_target)
+    QUERIES["l26_efficacy"](spark, "/root/testdata/sf0.001").collect()
+    assert len(learn.FULL_GRID) == 36 and asked and all(grid == learn.FULL_GRID for _, grid in asked)
