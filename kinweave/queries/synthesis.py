@@ -65,13 +65,21 @@ def l2_assign(spark, d) -> DataFrame:
     means = people.groupBy("c_mktsegment").agg(
         F.avg(F.col("features")[0]).alias("a"), F.avg(F.col("features")[1]).alias("b")
     )
-    centroids = [(r["a"], r["b"]) for r in means.orderBy("c_mktsegment").limit(L_MAX).collect()]
+    centroids = [(r["a"], r["b"]) for r in few_segments(means)]
     return L.assign_to_centroids(people, centroids).select("c_custkey", "cluster")
 
 
 L_MAX = 1000  # segments (clusters) whose means may travel with the expression
 
 
+def few_segments(means: DataFrame) -> list:
+    """Rows of all segments in order; more than ``L_MAX`` are an error, none is dropped."""
+    rows = means.orderBy("c_mktsegment").limit(L_MAX + 1).collect()
+    if len(rows) > L_MAX:
+        raise ValueError(f"more than {L_MAX} segments")
+    return rows
+
+
 @query(
     "l3_em_step",
     """with s as (select c_mktsegment, row_number() over (order by c_mktsegment) - 1 as k, avg(c_acctbal) / 1000 as m, var_pop(c_acctbal / 1000) + 1e-6 as v
@@ -86,7 +94,7 @@ def l3_em_step(spark, d) -> DataFrame:
 
     people = table(spark, d, "customer").select("c_mktsegment", F.array(F.col("c_acctbal") / 1000).alias("features"))
     x = F.col("features")[0]
-    start = people.groupBy("c_mktsegment").agg(F.avg(x).alias("m"), (F.var_pop(x) + 1e-6).alias("v")).orderBy("c_mktsegment").limit(L_MAX).collect()
+    start = few_segments(people.groupBy("c_mktsegment").agg(F.avg(x).alias("m"), (F.var_pop(x) + 1e-6).alias("v")))
     n = len(start)
     mixture = L.Mixture(np.full(n, 1 / n), np.array([[r["m"]] for r in start]), np.array([[r["v"]] for r in start]))
     after, _ = L.em_step(people, mixture)

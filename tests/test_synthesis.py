@@ -142,3 +142,16 @@ def test_registered_efficacy_chooses_among_all_settings(spark, monkeypatch):
     monkeypatch.setattr(learn, "efficacy", one_target)
     QUERIES["l26_efficacy"](spark, "/root/testdata/sf0.001").collect()
     assert len(learn.FULL_GRID) == 36 and asked and all(grid == learn.FULL_GRID for _, grid in asked)
+
+
+def test_too_many_segments_are_refused(spark, monkeypatch):
+    import pytest
+
+    from kinweave.queries import load_all, synthesis
+    from kinweave.queries.registry import QUERIES
+
+    load_all()
+    monkeypatch.setattr(synthesis, "L_MAX", 2)
+    for name in ("l2_assign", "l3_em_step"):
+        with pytest.raises(ValueError, match="more than 2 segments"):
+            QUERIES[name](spark, "/root/testdata/sf0.001")
