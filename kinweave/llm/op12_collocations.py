@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from kinweave.llm.registry import query
 from kinweave.llm.store import keep, table
+from kinweave.session import spread
 
 SCALE = 1_000_000
 FIRST = 4  # the first frontier has this many nodes per wanted phrase
@@ -180,7 +181,8 @@ def collocations(
     percent of its places is dropped.  Order: score and ``a`` descending, then the phrase by bytes.  Repeated rows count as
     often as they occur; an empty table, and a language without such phrases, gives no rows.  Other columns are not read.
     """
-    cut = keep(pieces(docs, text_column, lang_column), "phrase-pieces")
+    texts = spread(docs.select(F.col(text_column).alias("text"), F.col(lang_column).alias("lang")))
+    cut = keep(pieces(texts), "phrase-pieces")
     words = keep(cut.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("f")), "phrase-words")
     nodes = keep(_nodes(cut, words.where(F.col("f") >= least_count), least_count), "phrase-nodes")
     bounds = nodes.select("lang", F.col("bound").alias("value"))
