@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from kinweave.llm.registry import query
 from kinweave.llm.store import table, text_bytes
-from kinweave.llm.words import over_batches, word_spans
+from kinweave.llm.words import over_batches, ragged_bytes, word_spans
 from kinweave.session import spread
 
 LEAST_LENGTH = 24  # words of a run
@@ -36,10 +36,7 @@ _NOTHING = hashlib.sha256(b"").hexdigest()
 
 def word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Equal numbers for equal words."""
-    lengths = ends - starts
-    at = np.zeros(len(starts) + 1, np.int64)
-    np.cumsum(lengths, out=at[1:])
-    letters = data[np.repeat(starts - at[:-1], lengths) + np.arange(at[-1])]
+    at, letters = ragged_bytes(data, starts, ends)
     array = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(letters)])
     return array.dictionary_encode().indices.to_numpy().astype(np.int64)
 

@@ -12,25 +12,42 @@ at least the pair's own score as well.
    language is settled, ties included, when all nodes whose bound reaches that score are expanded; else the frontier
    moves down to that score (or, as long as too few survive, to ``GROWTH`` times as many nodes) and growth goes on.
 
-Counts are aggregated before they are shuffled; bounds and scores are ranked through their histograms, so no task sorts a
-language.  Thresholds stay in tables; the driver only learns how many languages are left.
+Texts are read in their own tasks, which count what they see before anything is shuffled.  Two bitmaps of hashes, of
+bounded size, keep hopeless phrases out of the shuffle: pairs whose hash is too rare to be counted, and three-word phrases
+of which a pair is rare or that touch no node of the frontier.  They only prune: whatever passes is counted by its words.
+Bounds and scores are ranked through their histograms, so no task sorts a language.  Thresholds stay in tables; the driver
+holds the bitmaps and learns how many languages are left.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinweave.llm.registry import query
-from kinweave.llm.store import keep, table
+from kinweave.llm.store import keep, table, text_bytes
+from kinweave.llm.words import ARE_WORD, blocks, lowered, mix, ragged_bytes, text_block, word_hashes
 from kinweave.session import spread
 
 SCALE = 1_000_000
 FIRST = 4  # the first frontier has this many nodes per wanted phrase
 GROWTH = 8
 
-_BREAKS = ".,;:!?\n\x0b\x0c\r"
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+BLOCK = 4 << 20  # bytes of text counted at once
+SLOT_BITS = 44  # of the hashes that rare pairs are counted by
+BITS_PER_ENTRY = 16  # of a bitmap
+MOST_BITS = 1 << 28  # a bitmap has 32 MB at most; beyond that it prunes less
+
+_BREAKS = np.zeros(256, bool)
+_BREAKS[np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8)] = True
+_ARE_WORD = ARE_WORD & ~_BREAKS
 
 SQL = """
 with p as (
@@ -72,20 +89,142 @@ select lang, rank, phrase, a, l, r, n, score from ranked join total using (lang)
 """
 
 
-def pieces(docs: DataFrame, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """``lang, words`` of every piece of text between breaks that has words."""
-    folded = F.translate(
-        F.coalesce(F.col(text_column), F.lit("")), _UPPER + _BREAKS + "\t", _UPPER.lower() + "\n" * len(_BREAKS) + " "
-    )
-    split = docs.select(F.coalesce(F.col(lang_column), F.lit("und")).alias("lang"), F.explode(F.split(folded, "\n")).alias("piece"))
-    return split.select("lang", F.array_remove(F.split("piece", " "), "").alias("words")).where(F.size("words") > 0)
-
+@dataclass
+class Counted:
+    """Words of a block of rows: bytes, spans, number and hash of each, the number of its language, and where phrases end."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    number: np.ndarray
+    distinct: int
+    lang: np.ndarray
+    langs: list[str]
+    hashes: np.ndarray
+    joined: np.ndarray  # whether a word and its successor stand in one piece
+
+    def runs(self, length: int) -> np.ndarray:
+        """Places at which ``length`` words of one piece begin."""
+        at = np.ones(max(len(self.starts) - length + 1, 0), bool)
+        for k in range(length - 1):
+            at &= self.joined[k : k + len(at)]
+        return np.flatnonzero(at)
+
+    def slots(self) -> np.ndarray:
+        """Hash of the pair that begins at each word, its language included."""
+        marks = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big") for x in self.langs], np.uint64)
+        out = np.zeros(len(self.hashes), np.uint64)
+        out[:-1] = mix(mix(self.hashes[:-1] ^ marks[self.lang[:-1]]) + self.hashes[1:]) >> np.uint64(64 - SLOT_BITS)
+        return out
+
+    def grouped(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """One place of every different phrase of ``length`` words among ``at``, and how often it occurs there."""
+        key = self.lang[at] * self.distinct + self.number[at]
+        for k in range(1, length):
+            if k > 1:  # renumbered, so that the next word still fits
+                key = np.unique(key, return_inverse=True)[1]
+            key = key * self.distinct + self.number[at + k]
+        _, first, count = np.unique(key, return_index=True, return_counts=True)
+        return at[first], count
+
+    def words(self, at: np.ndarray) -> pa.Array:
+        offsets, letters = ragged_bytes(self.data, self.starts[at], self.ends[at])
+        return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(letters)).cast(pa.string())
+
+    def languages(self, at: np.ndarray) -> pa.Array:
+        return pa.DictionaryArray.from_arrays(pa.array(self.lang[at], pa.int32()), pa.array(self.langs, pa.string())).cast(pa.string())
+
+
+def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[Counted]:
+    """Blocks of rows (``lang, text``) with their words; a very long text is a block of its own."""
+    for batch in batches:
+        whole, offsets = text_block(batch.column("text"))
+        named = batch.column("lang").dictionary_encode()
+        for a, b in blocks(whole, offsets, BLOCK):
+            data, edges = lowered(whole[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a]
+            hashes, starts, ends, bounds = word_hashes(data, edges, lower=False, are_word=_ARE_WORD)
+            if not len(starts):
+                continue
+            row = np.repeat(np.arange(b - a), np.diff(bounds))
+            breaks = np.cumsum(_BREAKS[data], dtype=np.int32)
+            joined = (row[1:] == row[:-1]) & (breaks[starts[1:]] == breaks[ends[:-1] - 1])
+            at, letters = ragged_bytes(data, starts, ends)
+            codes = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(letters)]).dictionary_encode()
+            lang = named.indices.to_numpy()[a:b].astype(np.int64)[row]
+            yield Counted(
+                data, starts, ends, codes.indices.to_numpy().astype(np.int64), len(codes.dictionary), lang, named.dictionary.to_pylist(), hashes, joined
+            )
+
+
+def _has(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    at = slots & np.uint64(8 * len(bitmap) - 1)
+    return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _bitmap(slots: DataFrame) -> Broadcast:
+    """Bits of the numbers in column ``slot``, of bounded size, on every executor; other numbers may share a bit."""
+    slots = keep(slots, "phrase-slots")
+    rows = slots.count()
+    bits = 1 << min(max(16, (BITS_PER_ENTRY * max(rows, 1) - 1).bit_length()), MOST_BITS.bit_length() - 1)
+    place = F.col("slot").bitwiseAND(F.lit(bits - 1)) + 1  # Spark's buckets of 32,768 bits begin at 1
+    packed = slots.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in packed.collect():
+        out[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.bits, np.uint8)
+    return slots.sparkSession.sparkContext.broadcast(out)
+
+
+def _words(texts: DataFrame) -> DataFrame:
+    """``lang, word, f``: occurrences of every word."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in counted(batches):
+            at, f = c.grouped(c.runs(1), 1)
+            yield pa.RecordBatch.from_arrays([c.languages(at), c.words(at), pa.array(f, pa.int64())], names=["lang", "word", "f"])
+
+    return texts.mapInArrow(run, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
+
+
+def _pair_slots(texts: DataFrame, least_count: int) -> DataFrame:
+    """``slot`` of all pairs whose hash occurs often enough."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in counted(batches):
+            slot, f = np.unique(c.slots()[c.runs(2)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64)), pa.array(f, pa.int64())], names=["slot", "f"])
+
+    return texts.mapInArrow(run, "slot long, f long").groupBy("slot").agg(F.sum("f").alias("f")).where(F.col("f") >= least_count).select("slot")
+
+
+def _pairs(texts: DataFrame, often: Broadcast) -> DataFrame:
+    """``lang, w1, w2, a, slot``: occurrences of the pairs whose hash is in a bitmap."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in counted(batches):
+            slots, at = c.slots(), c.runs(2)
+            at, f = c.grouped(at[_has(often.value, slots[at])], 2)
+            columns = [c.languages(at), c.words(at), c.words(at + 1), pa.array(f, pa.int64()), pa.array(slots[at].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "w1", "w2", "a", "slot"])
+
+    found = texts.mapInArrow(run, "lang string, w1 string, w2 string, a long, slot long")
+    return found.groupBy("lang", "w1", "w2").agg(F.sum("a").alias("a"), F.min("slot").alias("slot"))
+
+
+def _triples(texts: DataFrame, often: Broadcast, starts: Broadcast, ends: Broadcast) -> DataFrame:
+    """``lang, w1, w2, w3, a`` of phrases of two frequent pairs that begin or end in a node of the frontier."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in counted(batches):
+            slots, at = c.slots(), c.runs(3)
+            fits = _has(often.value, slots)
+            at = at[fits[at] & fits[at + 1]]
+            at = at[_has(starts.value, slots[at]) | _has(ends.value, slots[at + 1])]
+            at, f = c.grouped(at, 3)
+            columns = [c.languages(at), c.words(at), c.words(at + 1), c.words(at + 2), pa.array(f, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "w1", "w2", "w3", "a"])
 
-def _occurrences(cut: DataFrame, length: int) -> DataFrame:
-    """``lang, w1, ...``: every run of ``length`` neighbouring words."""
-    runs = F.size("words") - (length - 1)
-    columns = [F.slice("words", k + 1, runs).alias(f"w{k + 1}") for k in range(length)]
-    return cut.where(F.size("words") >= length).select("lang", F.inline(F.arrays_zip(*columns)))
+    found = texts.mapInArrow(run, "lang string, w1 string, w2 string, w3 string, a long")
+    return found.groupBy("lang", "w1", "w2", "w3").agg(F.sum("a").alias("a"))
 
 
 def _wide(name: str) -> Column:
@@ -110,34 +249,24 @@ def _threshold(values: DataFrame, wanted: Column) -> DataFrame:
     )
 
 
-def _nodes(cut: DataFrame, words: DataFrame, least_count: int) -> DataFrame:
-    """``lang, w1, w2, a, l, r, bound, score`` of the pairs that occur often enough."""
-    pairs = _occurrences(cut, 2).groupBy("lang", "w1", "w2").agg(F.count(F.lit(1)).alias("a")).where(F.col("a") >= least_count)
+def _nodes(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """``lang, w1, w2, slot, a, l, r, bound, score`` of pairs that occur often enough."""
     found = pairs.join(words.select("lang", F.col("word").alias("w1"), F.col("f").alias("l")), ["lang", "w1"])
     found = found.join(words.select("lang", F.col("word").alias("w2"), F.col("f").alias("r")), ["lang", "w2"])
     bound = F.call_function("div", _wide("a") * F.lit(SCALE), _wide("l"))
-    return found.select("lang", "w1", "w2", "a", "l", "r", bound.alias("bound"), _score("a", "l", "r").alias("score"))
+    return found.select("lang", "w1", "w2", "slot", "a", "l", "r", bound.alias("bound"), _score("a", "l", "r").alias("score"))
 
 
-def _grown(cut: DataFrame, nodes: DataFrame, steps: DataFrame, least_count: int) -> DataFrame:
+def _grown(texts: DataFrame, often: Broadcast, nodes: DataFrame, steps: DataFrame, least_count: int) -> DataFrame:
     """``lang, w1, w2, w3, a``: phrases that extend the nodes between a language's old and new threshold.
 
     ``steps`` has ``lang, least, before``: nodes with ``least <= bound < before`` grow to the right, and those whose score
     lies in that range to the left.
     """
-    near = nodes.join(steps, "lang").where((F.col("bound") >= F.col("least")) & ((F.col("bound") < F.col("before")) | (F.col("score") < F.col("before"))))
-    near = keep(
-        near.select(
-            "lang", "w1", "w2", (F.col("bound") < F.col("before")).alias("starts"),
-            ((F.col("score") >= F.col("least")) & (F.col("score") < F.col("before"))).alias("ends"),
-        ).where("starts or ends"),
-        "phrase-frontier",
-    )  # stored, so that its size decides how it is joined
-    runs = _occurrences(cut.join(steps.select("lang"), "lang", "left_semi"), 3)
-    starts = near.where("starts").select("lang", "w1", "w2", F.lit(True).alias("starts"))
-    ends = near.where("ends").select("lang", F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.lit(True).alias("ends"))
-    met = runs.join(starts, ["lang", "w1", "w2"], "left").join(ends, ["lang", "w2", "w3"], "left").where("starts or ends")
-    return met.groupBy("lang", "w1", "w2", "w3").agg(F.count(F.lit(1)).alias("a")).where(F.col("a") >= least_count)
+    met = nodes.join(steps, "lang")
+    starts = met.where((F.col("bound") >= F.col("least")) & (F.col("bound") < F.col("before"))).select("slot")
+    ends = met.where((F.col("score") >= F.col("least")) & (F.col("score") < F.col("before"))).select("slot")
+    return _triples(texts, often, _bitmap(starts), _bitmap(ends)).where(F.col("a") >= least_count)
 
 
 def _scored(triples: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -181,10 +310,12 @@ def collocations(
     percent of its places is dropped.  Order: score and ``a`` descending, then the phrase by bytes.  Repeated rows count as
     often as they occur; an empty table, and a language without such phrases, gives no rows.  Other columns are not read.
     """
-    texts = spread(docs.select(F.col(text_column).alias("text"), F.col(lang_column).alias("lang")))
-    cut = keep(pieces(texts), "phrase-pieces")
-    words = keep(cut.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("f")), "phrase-words")
-    nodes = keep(_nodes(cut, words.where(F.col("f") >= least_count), least_count), "phrase-nodes")
+    named = F.coalesce(F.col(lang_column), F.lit("und")).alias("lang")
+    texts = spread(docs.select(named, text_bytes(text_column).alias("text")))
+    words = keep(_words(texts), "phrase-words")
+    often = _bitmap(_pair_slots(texts, least_count))
+    pairs = _pairs(texts, often).where(F.col("a") >= least_count)
+    nodes = keep(_nodes(pairs, words.where(F.col("f") >= least_count)), "phrase-nodes")
     bounds = nodes.select("lang", F.col("bound").alias("value"))
 
     wanted = FIRST * top
@@ -192,7 +323,7 @@ def collocations(
     state = keep(first.select("lang", "least", F.lit(SCALE + 1).cast("long").alias("before"), F.lit(False).alias("done")), "phrase-state")
     triples = None
     while True:
-        fresh = _grown(cut, nodes, state.where("not done").select("lang", "least", "before"), least_count)
+        fresh = _grown(texts, often, nodes, state.where("not done").select("lang", "least", "before"), least_count)
         triples = keep(fresh if triples is None else triples.unionByName(fresh).distinct(), "phrase-triples")
         found = keep(_survivors(nodes, triples, state, share), "phrase-found")
         reached = _threshold(found.select("lang", F.col("score").alias("value")), F.lit(top))

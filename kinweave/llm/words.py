@@ -45,6 +45,19 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[:n], _inverses[:n]
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z in lower case."""
+    return _LOWER[data]
+
+
+def ragged_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of the given spans, one after the other."""
+    lengths = ends - starts
+    at = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(lengths, out=at[1:])
+    return at, data[np.repeat(starts - at[:-1], lengths) + np.arange(at[-1])]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the whole word."""
     x = x ^ (x >> np.uint64(31))
