@@ -40,7 +40,7 @@ SCALE = 1_000_000
 FIRST = 4  # the first frontier has this many nodes per wanted phrase
 GROWTH = 8
 
-BLOCK = 4 << 20  # bytes of text counted at once
+BLOCK = 2 << 20  # bytes of text counted at once
 SLOT_BITS = 44  # of the hashes that rare pairs are counted by
 BITS_PER_ENTRY = 16  # of a bitmap
 MOST_BITS = 1 << 28  # a bitmap has 32 MB at most; beyond that it prunes less

@@ -9,8 +9,9 @@ the work into blocks first.  The order puts shingles that a sample finds in many
 load, every order gives the same links.
 
 1. Equal sets become one node.  2. Each block links its members with the member that stands for most copies (verified).
-3. Blocks that still hold several components search them with the R-tree for pairs across components.  4. Surviving
-pairs are verified on the shingle sets of the whole texts, and components are closed over all links.
+3. Blocks that still hold several components search them with the R-tree for members with a possible partner in another
+component.  4. These are verified inside the block on the shingle sets of the whole texts; only links leave it, and
+components are closed over all links.
 """
 
 from __future__ import annotations
@@ -25,9 +26,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm.components import components
-from kinweave.llm.passages import numbered, unpress
+from kinweave.llm.near_copies import (
+    MEMBER,
+    block_links,
+    components_sql,
+    joined_links,
+    least_overlap,
+    named,
+    open_blocks,
+    per_block,
+    shared_keys,
+    verified,
+)
+from kinweave.llm.passages import numbered
 from kinweave.llm.registry import query
-from kinweave.llm.store import keep, partitions_for, row_numbers, stored, table, text_bytes
+from kinweave.llm.store import keep, row_numbers, stored, table, text_bytes
 from kinweave.llm.words import over_batches, ragged, shingles, word_hashes
 
 GROUPS = 16  # dimensions of the R-tree
@@ -40,11 +53,6 @@ BLOCK_ROWS = 4_096  # members of a block that one R-tree holds; larger blocks ar
 LEAF = 16
 
 
-def least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Smallest intersection with which sets of sizes a and b link: 100 i >= percent (a + b - i)."""
-    return -(-percent * (a + b) // (100 + percent))
-
-
 def counted(s: np.ndarray, per_group: int) -> np.ndarray:
     """Count vector of a set, with a power of two of groups that have about ``per_group`` shingles each."""
     groups = max(GROUPS, 1 << max(0, int(np.ceil(np.log2(max(len(s), 1) / per_group)))))
@@ -177,46 +185,6 @@ def _described(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> D
     return docs.mapInArrow(run, shape)
 
 
-def _runs(column: np.ndarray) -> np.ndarray:
-    """Starts of the runs of equal values, with the length at the end."""
-    return np.concatenate([[0], np.flatnonzero(column[1:] != column[:-1]) + 1, [len(column)]]) if len(column) else np.zeros(1, np.int64)
-
-
-def _shared_keys(nodes: DataFrame) -> DataFrame:
-    """``key, rep, node``: members of the keys that two nodes or more have; rep stands for the most copies."""
-    pairs = nodes.select(F.explode("keys").alias("key"), "node", "copies")
-    laid = pairs.repartition("key").sortWithinPartitions("key", F.desc("copies"), "node").select("key", "node")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key0 = rep0 = None  # key and representative of the last row seen
-        shown = False  # whether that key is known to be shared
-        for batch in batches:
-            key, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node"))
-            if not len(key):
-                continue
-            runs = _runs(key)
-            sizes = np.diff(runs)
-            reps = node[runs[:-1]].copy()
-            extra = None
-            if key0 is not None and key[0] == key0:
-                reps[0] = rep0
-                if not shown:
-                    extra = (key0, rep0)
-            several = sizes > 1
-            if key0 is not None and key[0] == key0:
-                several[0] = True
-            last_several = bool(several[-1])
-            key0, rep0, shown = key[-1], reps[-1], last_several
-            rows = np.repeat(several, sizes)
-            # a run that reaches the end of the batch may go on: its first row is emitted with the next batch
-            out = [key[rows], np.repeat(reps, sizes)[rows], node[rows]]
-            if extra:
-                out = [np.concatenate([[e], o]) for e, o in zip((extra[0], extra[1], extra[1]), out)]
-            yield pa.RecordBatch.from_arrays([pa.array(o.astype(np.int64)) for o in out], names=["key", "rep", "node"])
-
-    return laid.mapInArrow(run, "key long, rep long, node long")
-
-
 def _stored(vector: np.ndarray) -> bytes:
     """Counts in as few bytes as they need; the first byte says how many."""
     width = 1 if vector.max() < 256 else 4
@@ -241,58 +209,13 @@ def _bounded(pairs: DataFrame, sets: DataFrame, vector: str, percent: int) -> Da
     return found.select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs whose shingle sets link.  ``texts`` has ``node, text``, the text compressed."""
-    pairs = keep(pairs, "jaccard-pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    known = keep(texts.join(wanted, "node", "left_semi"), "jaccard-texts")
-    both = pairs.join(known.select(F.col("node").alias("a"), F.col("text").alias("s")), "a")
-    both = both.join(known.select(F.col("node").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
-
-    def sets(batch: pa.RecordBatch, column: str) -> Iterator[np.ndarray]:
-        data, offsets = unpress(batch.column(column))
-        words, _, _, bounds = word_hashes(data, offsets, lower=True)
-        return shingles(words, bounds, n)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 64):
-                batch = whole.slice(start, 64)
-                linked = []
-                for s, t in zip(sets(batch, "s"), sets(batch, "t")):
-                    common = len(np.intersect1d(s, t, assume_unique=True))
-                    linked.append(100 * common >= percent * (len(s) + len(t) - common))
-                yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
-
-    return keep(both.mapInArrow(run, "a long, b long"), "jaccard-links")
-
-
-def _tree_pairs(shared: DataFrame, sets: DataFrame, of: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that meet under a key and that the R-tree cannot rule out."""
-    placed = shared.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = keep(placed.select("key", "node", "component"), "jaccard-placed")
-    blocks = placed.groupBy("key").agg(
-        F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high"),
-        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("alike"),
-    )
-    # keys with the same members are one block
-    blocks = blocks.where("low < high").groupBy("members", "alike").agg(F.min("key").alias("key"))
-    parts = F.ceil(F.col("members") / BLOCK_ROWS).cast("int")
-    rows = placed.join(blocks.select("key", parts.alias("parts")), "key")
-    mine = rows.withColumn("mine", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")))
-    met = mine.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    part = lambda c, name: c.cast("int").alias(name)
-    met = met.select(
-        "key", part(F.least("mine", "other"), "p"), part(F.greatest("mine", "other"), "q"), part(F.col("mine"), "mine"), "node", "component"
-    )
-    # members without a possible partner leave before the larger vectors are attached
-    held = keep(_per_block(met.join(sets.select("node", F.col("point").alias("vector")), "node"), partial(_partnered, percent), _MEMBER), "jaccard-members")
-    full = held.join(sets.select("node", F.col("fine").alias("vector")), "node")
-    return _per_block(full, partial(_block_pairs, percent), "a long, b long").distinct()
-
-
-_MEMBER = "key long, p int, q int, mine int, node long, component long"
-_BLOCK = ["key", "p", "q"]
+def _tree_links(shared: DataFrame, sets: DataFrame, of: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links between components that meet under a key: members that the R-tree cannot rule out are verified in their block."""
+    met = open_blocks(shared, of, BLOCK_ROWS)
+    # members without a possible partner leave before the texts are attached
+    held = keep(per_block(met.join(sets.select("node", F.col("point").alias("vector")), "node"), partial(_partnered, percent), MEMBER), "jaccard-members")
+    known = keep(texts.join(held.select("node").distinct(), "node", "left_semi"), "jaccard-texts")
+    return block_links(held, known, n, percent)
 
 
 def _block(rows: pa.Table) -> tuple[VectorBlock, CountTree, Callable[[int, np.ndarray], np.ndarray]]:
@@ -308,7 +231,7 @@ def _block(rows: pa.Table) -> tuple[VectorBlock, CountTree, Callable[[int, np.nd
     return block, CountTree(np.array([folded(v, GROUPS) for v in block.vectors])), apart
 
 
-def _partnered(percent: int, rows: pa.Table, seen: set) -> pa.RecordBatch:
+def _partnered(percent: int, rows: pa.Table) -> pa.RecordBatch | None:
     """Members of a block that may link with some other member."""
     block, tree, apart = _block(rows)
     near = np.zeros(len(rows), bool)
@@ -321,59 +244,6 @@ def _partnered(percent: int, rows: pa.Table, seen: set) -> pa.RecordBatch:
     return rows.select(names).filter(pa.array(near)).combine_chunks().to_batches(max_chunksize=len(rows))[0] if near.any() else None
 
 
-def _block_pairs(percent: int, rows: pa.Table, seen: set) -> pa.RecordBatch:
-    """Pairs of a block that the fine vectors allow; ``seen`` has those of the task's earlier blocks."""
-    node = rows.column("node").to_numpy()
-    block, tree, apart = _block(rows)
-    left, right = [], []
-    for i in range(len(node)):
-        for j in block.reachable(i, apart(i, tree.search(tree.given[i], percent)), percent):
-            pair = (int(node[i]), int(node[j]))  # rows are sorted by node
-            if pair not in seen:
-                seen.add(pair)
-                left.append(pair[0])
-                right.append(pair[1])
-    return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-
-
-def _per_block(rows: DataFrame, work: Callable[[pa.Table, set], pa.RecordBatch | None], shape: str) -> DataFrame:
-    """Run ``work`` on every block (key, p, q) of ``rows``, sorted by node; a task streams its blocks."""
-    order = _BLOCK
-    tasks = partitions_for(rows, 1, 1)
-    laid = rows.select(*order, "mine", "node", "component", "vector").repartition(tasks, *order).sortWithinPartitions(*order, "node")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        seen: set[tuple[int, int]] = set()
-
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            """Work off the complete blocks; the last one may go on in the next batch."""
-            rows = pa.concat_tables(held).combine_chunks()
-            held.clear()
-            mark = np.zeros(max(len(rows) - 1, 0), bool)
-            for c in order:
-                values = rows.column(c).to_numpy()
-                mark |= values[1:] != values[:-1]
-            cuts = np.concatenate([[0], np.flatnonzero(mark) + 1, [len(rows)]])
-            done = [work(rows.slice(a, b - a), seen) for a, b in zip(cuts[:-1], cuts[1:] if last else cuts[1:-1])]
-            done = [x for x in done if x is not None and x.num_rows]
-            if done:
-                yield from pa.Table.from_batches(done).combine_chunks().to_batches()
-            if len(seen) > 1_000_000:
-                seen.clear()
-            if not last:
-                held.append(rows.slice(cuts[-2]))
-
-        for batch in batches:
-            if batch.num_rows:
-                held.append(pa.Table.from_batches([batch]))
-                yield from flush(False)
-        if held:
-            yield from flush(True)
-
-    return laid.mapInArrow(run, shape)
-
-
 def jaccard_components(docs: DataFrame, n: int, percent: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, row, n_shingles, component_id, component`` per row of ``docs`` (a stored table).
 
@@ -392,21 +262,14 @@ def jaccard_components(docs: DataFrame, n: int, percent: int, id_column: str = "
     nodes = described.where("mark is not null").groupBy("mark").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"))
     nodes = keep(nodes, "jaccard-nodes")
     firsts = described.select(F.col("row").alias("node"), "keys").join(nodes.select("node", "copies"), "node")
-    shared = keep(_shared_keys(firsts), "jaccard-shared")
+    shared = keep(shared_keys(firsts), "jaccard-shared")
     sets = described.select(F.col("row").alias("node"), "n_shingles", "point", "fine")
     texts = numbered(docs, id_column, text_column).select(F.col("row").alias("node"), F.col("packed").alias("text"))
 
     stars = shared.where("rep <> node").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
     near = keep(_bounded(stars, sets, "point", percent), "jaccard-candidates")
-    of = components(_verified(_bounded(near, sets, "fine", percent), texts, n, percent))
-    more = _verified(_tree_pairs(shared, sets, of, percent), texts, n, percent)
-    of = keep(components(of.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "jaccard-components")
-    named = nodes.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("mark", "component_id", "component")
-    out = described.select("doc_id", "row", "n_shingles", "mark").join(named, "mark", "left")
-    nearest = F.when(F.col("mark").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "row", "n_shingles", nearest.alias("component_id"), "component")
+    of = components(verified(_bounded(near, sets, "fine", percent), texts, n, percent))
+    return named(described, nodes, joined_links(of, _tree_links(shared, sets, of, texts, n, percent)))
 
 
 def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -424,6 +287,9 @@ def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     return whole.join(gone, "row", "left_anti").select("record.*")
 
 
-@query("op8_jaccard")
+SQL = components_sql(3, 90)
+
+
+@query("op8_jaccard", SQL)
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), 3, 90).drop("row", "component")

@@ -34,4 +34,4 @@ def test_stages_keep_what_the_rules_keep(spark):
 
 def test_every_operator_is_registered():
     names = entry.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
