@@ -193,6 +193,7 @@ class CopulaSynthesizer:
             "many": many,
             "levels": C.levels_of(df, numeric),
             "params": self._parameters(stats, d, first, second),
+            "rows": {k: float(entry[0]) for k, entry in stats.items()},
             "kinds": {c: df.schema[c].dataType.simpleString() for c in columns},
         }
         return self

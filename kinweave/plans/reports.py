@@ -16,6 +16,7 @@ from kinweave.operators.profile import infer_domain
 from kinweave.operators.sampling import equalise
 from kinweave.operators.ordering import with_position
 from kinweave.sources.stages import StageStore
+from kinweave.sources.tables import save_scores, save_summary
 from kinweave.specs import RelationalDataset
 
 
@@ -32,6 +33,8 @@ def multi_table_report(
     real: RelationalDataset, fake: RelationalDataset, store: StageStore | None = None
 ) -> dict[str, DataFrame]:
     """Shapes, cardinality, coverage, trends per hop and their averages, each as flat rows."""
+    if store is not None:
+        store = store.for_inputs({f"{kind}/{t}": df for kind, data in (("real", real), ("fake", fake)) for t, df in data.tables.items()})
     fake = align_types(real, fake)
     keep = store.keep if store is not None else (lambda name, build: build())
     trends = keep("report/trends", lambda: Q.trend_scores(real, fake))
@@ -83,7 +86,26 @@ def single_table_report(
         rows.append((table, "detection", float(detection_score(r, f, spec.domain))))
         return spark.createDataFrame(rows, "table_name string, metric string, value double")
 
-    return store.keep(f"report/single/{table}", build) if store is not None else build()
+    if store is None:
+        return build()
+    inputs = {"real": real.tables[table], "fake": fake.tables[table], **({"test": test} if test is not None else {})}
+    return store.for_inputs(inputs).keep(f"report/single/{table}", build)
+
+
+def save_report(report: dict[str, DataFrame] | DataFrame, folder: str, form: str = "parquet") -> dict[str, float]:
+    """Every score table of a report as flat rows, and ``summary``: the mean of each metric as one JSON object."""
+    tables = report if isinstance(report, dict) else {"scores": report}
+    for name, scores in tables.items():
+        save_scores(scores, f"{folder}/{name}", form)
+    spark, means = next(iter(tables.values())).sparkSession, {}
+    for name, scores in tables.items():
+        kinds = [c for c in ("metric", "hop") if c in scores.columns]
+        figures = [f.name for f in scores.schema if f.dataType.typeName() == "double" and f.name in ("score", "value", "coverage", "mean")]
+        for figure in figures:
+            for r in scores.groupBy(*kinds).agg(F.avg(figure).alias("mean")).collect():  # one row per metric
+                means["/".join([name, *[f"{r[k]}" for k in kinds], figure])] = r["mean"]
+    save_summary(spark, means, f"{folder}/summary")
+    return means
 
 
 def report_averages(scores: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +11,17 @@ from pyspark.sql import functions as F
 
 from kinweave.operators.clean import discard_incomplete
 from kinweave.operators.relational import decode
-from kinweave.queries.registry import query
+from kinweave.operators.cluster import label_column
+from kinweave.operators.encode import Transformations
+from kinweave.plans.synthesis import fit_edges, model_stage
+from kinweave.queries.encoding import split_parts
+from kinweave.queries.registry import ORACLES, query
 from kinweave.queries.star import SPECS, table
 from kinweave.session import ensure_checkpoint_dir
 from kinweave.sources import tables as T
-from kinweave.sources.stages import StageStore
-from kinweave.specs import RelationalDataset, RelationGraph
+from kinweave.sources.models import parameters
+from kinweave.sources.stages import RunConfig, StageStore, cached_transform
+from kinweave.specs import Domain, RelationalDataset, RelationGraph
 
 _FORMS = ("parquet", "json", "csv")
 
@@ -113,3 +119,90 @@ def p12_discard(spark, d) -> DataFrame:
         F.when(F.col("p_partkey") % 11 != 0, F.col("p_retailprice")).otherwise(F.lit(float("nan"))).alias("p_retailprice"),
     )
     return discard_incomplete(parts, ["p_size", "p_retailprice"], max_share=1.0)
+
+
+# --- fitted models and cached features ------------------------------------------------------------
+
+_LABELS = 4
+
+
+def labelled_chain(spark: SparkSession, d: str) -> RelationalDataset:
+    """Customers, their orders and their lines, with relation labels taken from the parent's key."""
+    keys = {"customer": "c_custkey", "orders": "o_orderkey", "lineitem": None}
+    children = {"customer": ["orders"], "orders": ["lineitem"], "lineitem": []}
+    specs, frames = {}, {}
+    for t, pk in keys.items():
+        df, spec, extra = table(spark, d, t), SPECS[t], {}
+        for parent, below in children.items():
+            if t == parent:
+                extra |= {label_column(t, c): F.col(pk) for c in below}
+            if t in below:
+                extra[label_column(parent, t)] = F.col(spec.foreign_keys[parent])
+        labels = {name: (key % _LABELS).cast("int") for name, key in extra.items()}
+        links = {p: fk for p, fk in spec.foreign_keys.items() if t in children.get(p, [])}
+        specs[t] = replace(spec, domain=Domain.of([*spec.domain.discrete, *labels], spec.domain.continuous), foreign_keys=links)
+        frames[t] = df.withColumns(labels).select(*[c for c in (pk, *links.values()) if c], *specs[t].domain.columns)
+    return RelationalDataset(frames, specs, RelationGraph.from_children(children))
+
+
+def _parameter_sql() -> str:
+    """Shares, missing rates, sizes, ends of the quantile grids and rows per label of the three models, by counting."""
+    plans = [
+        ("None-customer", "customer", None, {"c_mktsegment": "c_mktsegment", "customer_orders_cluster": f"c_custkey % {_LABELS}"}, ["c_acctbal"]),
+        (
+            "customer-orders", "orders", ("customer_orders_cluster", f"o_custkey % {_LABELS}"),
+            {"o_orderstatus": "o_orderstatus", "o_orderpriority": "o_orderpriority", "orders_lineitem_cluster": f"o_orderkey % {_LABELS}"}, ["o_totalprice"],
+        ),
+        (
+            "orders-lineitem", "lineitem", ("orders_lineitem_cluster", f"l_orderkey % {_LABELS}"),
+            {c: c for c in ("l_returnflag", "l_linestatus", "l_linenumber")}, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"],
+        ),
+    ]
+    parts = []
+    for edge, t, label, discrete, numeric in plans:
+        head = f"select '{edge}' as edge"
+        for c, x in discrete.items():
+            parts.append(
+                f"{head}, null::INTEGER as label, '{c}' as \"column\", 'share' as parameter, (row_number() over (order by v) - 1)::INTEGER as position, "
+                f"(sum(n) over (order by v))::DOUBLE as value from (select ({x})::VARCHAR as v, count(*) as n from {t} group by 1)"
+            )
+            parts.append(f"{head}, null, '{c}', 'size', 0, count(distinct ({x}))::DOUBLE from {t}")
+            parts.append(f"{head}, null, '{c}', 'gap', 0, 0.0::DOUBLE")
+        for c in numeric:
+            parts.append(f"{head}, null, '{c}', 'gap', 0, 0.0::DOUBLE")
+            parts.append(f"{head}, null, '{c}', 'grid', 0, min({c})::DOUBLE from {t}")
+            parts.append(f"{head}, null, '{c}', 'grid', (greatest(201, least(count(*) // 30, 1000)) - 1)::INTEGER, max({c})::DOUBLE from {t}")
+        if label:
+            parts.append(f"{head}, ({label[1]})::INTEGER, '{label[0]}', 'rows', 0, count(*)::DOUBLE from {t} group by 2")
+        else:
+            parts.append(f"{head}, 0, null, 'rows', 0, count(*)::DOUBLE from {t}")
+    return " union all ".join(f"({p})" for p in parts)
+
+
+@query("l11_parameters", f"select edge, label, \"column\", parameter, position, round(value, 6) as value from ({_parameter_sql()})")
+def l11_parameters(spark, d) -> DataFrame:
+    """The models of three edges fitted as stages, and their parameters read back from the stored tables."""
+    data = labelled_chain(spark, d)
+    store = StageStore(spark, _folder(spark, "models"), RunConfig(workspace="").digest()).for_inputs(data.tables)
+    fit_edges(data, store=store)
+    found = []
+    for parent, child in data.graph.edges:
+        rows = parameters(spark, store.path(model_stage(parent, child)))
+        # the inner points of a grid are approximate quantiles; its ends are exact
+        grids = rows.where((F.col("parameter") == "grid") & F.col("column").isin(data.specs[child].domain.continuous))
+        last = grids.groupBy("column").agg(F.max("position").alias("last"))
+        ends = grids.join(last, "column").where((F.col("position") == 0) | (F.col("position") == F.col("last"))).drop("last")
+        counted = rows.where(F.col("parameter").isin("share", "size", "gap", "rows"))
+        found.append(counted.unionByName(ends).withColumn("edge", F.lit(f"{parent}-{child}")))
+    return reduce(DataFrame.unionByName, found).withColumn("value", F.round("value", 6))
+
+
+@query("s10_cached_transform", f"select *, 1 as reused from ({ORACLES['l32_transform_minmax']})")
+def s10_cached_transform(spark, d) -> DataFrame:
+    """Features transformed once; the second call with the same policy and input reads the stored table."""
+    store = StageStore(spark, _folder(spark, "features"), "")
+    parts = split_parts(spark, d).select("p_partkey", "split", "p_size", "p_type", "p_retailprice")
+    asked = (["p_size"], ["p_type"], "p_retailprice", "regression", Transformations(normalization="minmax"))
+    cached_transform(store, parts, *asked)
+    out = cached_transform(store, parts, *asked).withColumn("reused", F.lit(len(store.reused)))
+    return out.withColumns({"p_size": F.round("p_size", 9), "p_retailprice": F.round("p_retailprice", 6)})

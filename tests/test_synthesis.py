@@ -97,7 +97,7 @@ def test_whole_chain_gives_valid_keys_and_resumes(spark, tmp_path):
     again = StageStore(spark, str(tmp_path), config.digest())
     run(data, config, again)
     assert "tables/customer" in again.reused and "cluster/customer-orders/sizes" in again.reused
-    assert StageStore(spark, str(tmp_path), "other")._complete(store._path("tables/customer")) is False
+    assert StageStore(spark, str(tmp_path), "other")._complete(store.path("tables/customer")) is False
 
 
 def test_sources_round_trip(spark, tmp_path):
