@@ -30,6 +30,7 @@ from kinweave.operators.encode import (
     one_hot,
     quantile_grid,
 )
+from kinweave.operators.features import split_widths, with_codes
 from kinweave.operators.knn import knn_join
 from kinweave.operators.ordering import exact_quantiles, with_position, with_rank
 from kinweave.operators.profile import bounds
@@ -352,14 +353,15 @@ class BootstrapSynthesizer:
 # --- L13 ------------------------------------------------------------------------------------------
 
 _APART = 1e6  # rows of different classes must never be neighbours
+_LEAST_PENALTY = 1e-4  # below it numerics would be stretched beyond the distance of classes
 
 
-def class_neighbours(df: DataFrame, key: str, vector: str, class_code: str, k: int) -> DataFrame:
+def class_neighbours(df: DataFrame, key: str, vector: str, class_code: str, k: int, metric: str = "l2") -> DataFrame:
     """(key, neighbour_id) inside the own class: the class code is one more, far-stretched coordinate."""
     placed = df.select(
         key, F.concat(F.array(F.col(class_code).cast("double") * F.lit(_APART)), F.col(vector)).alias("__v")
     )
-    near = knn_join(placed, placed, key, key, "__v", "__v", k, exclude_same_id=True)
+    near = knn_join(placed, placed, key, key, "__v", "__v", k, metric, exclude_same_id=True)
     return near.where(F.col("distance") < F.lit((_APART / 2) ** 2)).select(key, "neighbour_rank", "neighbour_id", "distance")
 
 
@@ -401,9 +403,9 @@ def smote(
     scaled = {c: minmax(F.col(c).cast("double"), *limits[c], (0.0, 1.0)) for c in moved}
     unit = work.withColumns({f"__x{i}": scaled[c] for i, c in enumerate(moved)})
     xs = [f"__x{i}" for i in range(len(moved))]
-    vector = F.array(*[F.col(x) for x in xs]).cast("array<double>")
+    vector, metric = F.array(*[F.col(x) for x in xs]).cast("array<double>"), "l2"
     if categorical:
-        values = narrow_categories(work, categorical)
+        values, wide = split_widths([work], categorical)
         # a differing category costs as much as the median deviation of the class's numerics
         if xs:
             spread = unit.groupBy("__code").agg(
@@ -413,10 +415,21 @@ def smote(
             unit = unit.join(spread.select("__code", ((lower + upper) / 4).alias("__penalty")), "__code")
         else:
             unit = unit.withColumn("__penalty", F.lit(1.0))
-        hots = [F.transform(one_hot(F.col(c), values[c]), lambda h: h * F.col("__penalty")) for c in categorical if c in values]
-        vector = F.concat(vector, *hots)
+        hots = [one_hot(F.col(c), values[c]) for c in categorical if c in values]
+        if wide:
+            # codes weigh what one-hot blocks of length 1 do, so the numerics are stretched instead; the order within a class
+            # stays.  Without spread in the numerics, categories do not count, as in the other form
+            counts = F.col("__penalty") > 0
+            stretch = F.when(counts, 1 / F.greatest("__penalty", F.lit(_LEAST_PENALTY))).otherwise(F.lit(1.0))
+            unit = with_codes(unit, wide)
+            codes = [F.when(counts, F.coalesce(F.col(f"`__code_{c}`").cast("double"), F.lit(-1.0))).otherwise(F.lit(-1.0)) for c in wide]
+            hots = [F.transform(h, lambda x: F.when(counts, x).otherwise(F.lit(0.0))) for h in hots]
+            vector = F.concat(F.transform(vector, lambda x: x * stretch), *hots, F.array(*codes))
+            metric = f"l2+{len(wide)}"
+        else:
+            vector = F.concat(vector, *[F.transform(h, lambda x: x * F.col("__penalty")) for h in hots])
     unit = unit.withColumn("__vector", vector)
-    near = class_neighbours(unit, "__id", "__vector", "__code", k)
+    near = class_neighbours(unit, "__id", "__vector", "__code", k, metric)
     carried = [*xs, *categorical]
     other = unit.select(F.col("__id").alias("neighbour_id"), F.struct(*carried).alias("__row"))
     # at most k structs per row

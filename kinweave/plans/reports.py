@@ -11,7 +11,7 @@ from kinweave.operators import fidelity as Q
 from kinweave.operators.clean import codes_to_int
 from kinweave.operators.learn import FULL_GRID, all_efficacies, detection_score
 from kinweave.operators.predict import efficacy_summary
-from kinweave.operators.privacy import alpha_beta, mixed_features
+from kinweave.operators.privacy import alpha_beta, coded_features
 from kinweave.operators.profile import infer_domain
 from kinweave.operators.sampling import equalise
 from kinweave.operators.ordering import with_position
@@ -76,8 +76,9 @@ def single_table_report(
             keyed = [with_position(df, columns, position="row_id") for df in (r.dropna(), f)]
             left, right, _ = equalise(keyed[0], keyed[1], "row_id", sample_size if sample_size is not None else 1 << 62, salt="alpha-beta")
             numeric, categorical = spec.domain.split(columns)
-            vectors = mixed_features([left, right], "row_id", numeric, categorical, None)
-            rows += [(table, name, float(v)) for name, v in alpha_beta(*vectors, "row_id").items()]
+            vectors, codes = coded_features([left, right], "row_id", numeric, categorical, None)
+            scores = alpha_beta(*vectors, "row_id", codes=int(codes or 0))
+            rows += [(table, name, float(v)) for name, v in scores.items()]
             if test is not None and test.limit(1).count():
                 sized = infer_domain(r, spec)
                 summary = efficacy_summary(all_efficacies(f, test.select(*columns), sized, grid))
