@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kinweave.functions.hashing import gumbel, hash_uniform
 from kinweave.operators.ordering import with_position, with_rank
 from kinweave.operators.profile import long_form
+from kinweave.session import cut
 
 SMALL_SAMPLE = 100_000  # up to here a top-n (one task for the final merge) is cheaper than a full order
 
@@ -92,24 +93,52 @@ def covering_split(
     salt: str,
     first_seed: int = 1234,
     out: str = "split",
+    attempts: int = 5,
 ) -> tuple[DataFrame, int]:
-    """First seed whose train part holds every category; returns the split and that seed.
+    """A split whose train part holds every category; returns it and its seed.
 
-    Seeds are tried until one fits.  A split that no seed can give - more rows with a value of their own than train has
-    room for - raises at once.
+    ``attempts`` random seeds are tried in turn; where none of them covers, :func:`cover_split` builds the split with the
+    first seed.  A train part that no split can make large enough raises at once.
     """
     wanted = {r["column"]: r["n"] for r in _distinct_values(df, categorical).collect()}
     if max(wanted.values(), default=0) > n_train or _rows_alone(df, key, categorical) > n_train:
         raise ValueError("the train part is too small for every category")
-    seed = first_seed
-    while True:
+    for seed in range(first_seed, first_seed + attempts):
         placed = shuffled_order(df.select(key, *categorical), key, salt, seed, position="__at")
         train = placed.where(F.col("__at") < n_train)
         seen = {r["column"]: r["n"] for r in _distinct_values(train, categorical).collect()}
         if seen == wanted:
             parts = placed.select(key, F.when(F.col("__at") < n_train, "train").otherwise("test").alias(out))
             return df.join(parts, key), seed
-        seed += 1
+    return cover_split(df, key, categorical, n_train, salt, first_seed, out), first_seed
+
+
+def cover_split(
+    df: DataFrame, key: str, categorical: Sequence[str], n_train: int, salt: str, seed: int = 0, out: str = "split"
+) -> DataFrame:
+    """O7 without retries: ``n_train`` rows that hold every category, then the rest.
+
+    Column by column every value that no reserved row holds yet reserves its row of smallest hash; further train rows follow
+    in hash order.  The reserved rows need not be the fewest that cover; where they are more than ``n_train`` this raises.
+    Nulls are no category.  Keys must be unique; one column costs one aggregate with a row per value.
+    """
+    keyed = df.withColumn("__u", hash_uniform(key, salt=salt, seed=seed))
+    kept = None
+    for c in categorical:
+        open_rows = keyed.where(F.col(c).isNotNull())
+        if kept is not None:
+            open_rows = open_rows.join(kept.where(F.col(c).isNotNull()).select(c).distinct(), c, "left_anti")
+        first = open_rows.groupBy(c).agg(F.min(F.struct("__u", key)).alias("first")).select(F.col("first")[key].alias(key))
+        fresh = keyed.join(first, key, "left_semi").select(key, *categorical)
+        kept = cut(fresh if kept is None else kept.unionByName(fresh).dropDuplicates([key]))
+    if kept is not None and kept.count() > n_train:
+        raise ValueError("the train part is too small for the rows that cover every category")
+    marks = keyed.select(key, "__u", F.lit(1).alias("__rest")) if kept is None else (
+        keyed.select(key, "__u").join(kept.select(key, F.lit(0).alias("__rest")), key, "left").fillna(1, "__rest")
+    )
+    placed = with_position(marks, ["__rest", "__u", key], position="__at")
+    parts = placed.select(key, F.when(F.col("__at") < n_train, "train").otherwise("test").alias(out))
+    return df.join(parts, key)
 
 
 def _rows_alone(df: DataFrame, key: str, columns: Sequence[str]) -> int:

@@ -92,6 +92,24 @@ def o7(spark, d) -> DataFrame:
     return split.select("p_partkey", "split", F.lit(seed).alias("seed"))
 
 
+@query(
+    "o7_cover_split",
+    f"""with t as (select p_partkey, p_brand, p_type, p_name, {uniform_sql('p_partkey', salt='o7c')} as u from part),
+    a as (select arg_min(p_partkey, (u, p_partkey)) as p_partkey from t group by p_name),
+    ra as (select t.* from t join a using (p_partkey)),
+    b as (select arg_min(p_partkey, (u, p_partkey)) as p_partkey from t where p_type not in (select p_type from ra) group by p_type),
+    rb as (select t.* from t join (select * from a union select * from b) using (p_partkey)),
+    c as (select arg_min(p_partkey, (u, p_partkey)) as p_partkey from t where p_brand not in (select p_brand from rb) group by p_brand),
+    r as (select p_partkey from rb union select * from c),
+    o as (select p_partkey, row_number() over (order by (p_partkey not in (select p_partkey from r)), u, p_partkey) as pos from t)
+    select p_partkey, case when pos <= (select count(*) // 10 from part) then 'train' else 'test' end as split from o""",
+)
+def o7_cover(spark, d) -> DataFrame:
+    """A train part of a tenth of the rows that holds every name, type and brand, without a retry."""
+    parts = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_name")
+    return S.cover_split(parts, "p_partkey", ["p_name", "p_type", "p_brand"], parts.count() // 10, salt="o7c").select("p_partkey", "split")
+
+
 @query(
     "o8_three_way",
     f"""with t as (select o_orderkey, {uniform_sql('o_orderkey', salt='o8')} as u from orders)

@@ -267,6 +267,38 @@ def l13_counts(spark, d) -> DataFrame:
     return made.groupBy("p_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "l13_wide_categories",
+    """select c_mktsegment, floor(count(*) * 0.37::DOUBLE)::BIGINT as n, 0::BIGINT as n_foreign from customer group by 1
+    having floor(count(*) * 0.37::DOUBLE) > 0""",
+)
+def l13_wide(spark, d) -> DataFrame:
+    """Oversampling with a name per customer as a category: rows per class, and names that no customer of the class has."""
+    from kinweave.operators.synth import smote
+
+    people = table(spark, d, "customer")
+    made = smote(people, "c_custkey", ["c_acctbal"], ["c_name"], "c_mktsegment", frac=0.37)
+    known = people.select("c_mktsegment", "c_name").distinct().withColumn("known", F.lit(True))
+    met = made.join(known, ["c_mktsegment", "c_name"], "left")
+    return met.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("known").isNull()).alias("n_foreign"))
+
+
+@query(
+    "l24_centre_wide",
+    """with s as (select avg(c_acctbal / 1000) as x, count(*) as n from customer),
+    p as (select c_name, count(*) / (select n from s) as p from customer group by 1), q as (select sum(p * p) as q from p)
+    select c_custkey, round(sqrt((c_acctbal / 1000 - x) * (c_acctbal / 1000 - x) + 1 - 2 * p + q), 6) as d
+    from customer join p using (c_name), s, q""",
+)
+def l24_centre_wide(spark, d) -> DataFrame:
+    """Distance of customers to their centre, a name per customer being a category beyond the lists."""
+    from kinweave.operators.privacy import Centre, coded_features
+
+    people = table(spark, d, "customer").withColumn("x", F.col("c_acctbal") / 1000)
+    (points,), _ = coded_features([people], "c_custkey", ["x"], ["c_name"], None, limit=0)
+    return Centre(points, 1).distances(points).select("c_custkey", F.round("d", 6).alias("d"))
+
+
 @query(
     "x1_smote_rows",
     """with c as (select p_type, count(*) as k from part group by 1),

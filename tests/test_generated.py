@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinweave.operators import synth
 from kinweave.operators.knn import distances, knn_join
-from kinweave.operators.sampling import covering_split
+from kinweave.operators.sampling import cover_split, covering_split
 from kinweave.operators.synth import CopulaSynthesizer, SmoteSynthesizer, smote
 from kinweave.sources.stages import RunConfig
 from kinweave.specs import Domain
@@ -77,3 +77,17 @@ def test_covering_split_goes_on_or_says_it_cannot(spark):
 def test_guidance_beyond_one_is_refused():
     with pytest.raises(ValueError):
         RunConfig.from_json('{"general": {"workspace_dir": "w"}, "sampling": {"classifier_scale": 2.0}}')
+
+
+def test_cover_split_ends_where_seeds_do_not(spark):
+    """500 values of one row each among 1,000 rows: a random train part of 60 % covers them with a chance of about 1e-130."""
+    rows = [(i, f"v{i}" if i < 500 else "often", "ab"[i % 2], None if i % 3 else "c") for i in range(1_000)]
+    df = spark.createDataFrame(rows, "id int, v string, w string, x string")
+    parts, seed = covering_split(df, "id", ["v", "w", "x"], 600, "t", attempts=2)
+    train = parts.where("split = 'train'")
+    assert seed == 1234 and train.count() == 600 and parts.count() == 1_000
+    assert train.select("v").distinct().count() == 501 and train.where("x is not null").count() > 0
+    assert cover_split(df, "id", ["v"], 501, "t").where("split = 'train'").select("v").distinct().count() == 501
+    assert cover_split(df, "id", [], 10, "t").where("split = 'train'").count() == 10
+    with pytest.raises(ValueError, match="too small"):
+        cover_split(df, "id", ["v"], 500, "t")
