@@ -24,6 +24,7 @@ from kinweave.llm.words import shingles, word_hashes
 BLOCK_ROWS = 2_048  # members that are compared at once; larger blocks are split into pairs of parts
 BLOCK = ["key", "p", "q"]
 MEMBER = "key long, p int, q int, mine int, node long, component long"
+CARRIED_KEYS = 64  # smallest keys of a node that its members know
 _COLUMNS = 4_096  # shingles of an overlap step
 
 
@@ -134,9 +135,10 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(column, kind="stable")
     member, column = member[order], column[order]
     out = np.zeros((len(sets), len(sets)), np.float32)  # exact up to 2**24 shingles
-    for first in range(0, int(common.sum()), _COLUMNS):
+    total = int(common.sum())
+    for first in range(0, total, _COLUMNS):
         a, b = np.searchsorted(column, [first, first + _COLUMNS])
-        part = np.zeros((len(sets), _COLUMNS), np.float32)
+        part = np.zeros((len(sets), min(_COLUMNS, total - first)), np.float32)
         part[member[a:b], column[a:b] - first] = 1
         out += part @ part.T
     return out.astype(np.int64)
@@ -160,12 +162,23 @@ def links_between(sets: list[np.ndarray], component: np.ndarray, side: np.ndarra
     return found
 
 
+def _own_members(rows: pa.Table, halves: bool) -> np.ndarray:
+    """Members of a block with a partner that they meet in no block of a smaller key, as far as the carried keys show."""
+    component, side, key = rows.column("component").to_numpy(), rows.column("mine").to_numpy(), rows.column("key")[0].as_py()
+    keys = [np.array(k, np.int64) for k in rows.column("keys").to_pylist()]
+    pending = (overlaps([k[k < key] for k in keys]) == 0) & (component[:, None] != component)
+    if halves:
+        pending &= side[:, None] != side
+    return pending.any(axis=1)
+
+
 def _linked(n: int, percent: int, rows: pa.Table) -> pa.RecordBatch | None:
     """Links (a, b) of a block of members with their compressed texts."""
+    halves = rows.column("p")[0].as_py() != rows.column("q")[0].as_py()
+    rows = rows.filter(pa.array(_own_members(rows, halves))).combine_chunks()
     if len(rows) < 2:
         return None
     node, component, side = (rows.column(c).to_numpy() for c in ("node", "component", "mine"))
-    halves = rows.column("p")[0].as_py() != rows.column("q")[0].as_py()
     found = links_between(list(_sets(rows.column("vector"), n)), component, side if halves else None, percent)
     if not found:
         return None
@@ -198,15 +211,18 @@ def open_blocks(shared: DataFrame, of: DataFrame, most: int = BLOCK_ROWS) -> Dat
 
 def block_links(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Verified links (a, b) between the components of every block of ``members``; ``texts`` has ``node, text``."""
-    full = members.join(texts.select("node", F.col("text").alias("vector")), "node")
-    return keep(per_block(full, partial(_linked, n, percent), "a long, b long").distinct(), "near-links")
+    # two members that meet under several keys are compared under the smallest one; the carried keys are a bounded part, so
+    # that a pair may be compared more often than once, never less
+    keys = members.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, CARRIED_KEYS).alias("keys"))
+    full = members.join(texts.select("node", F.col("text").alias("vector")).join(keys, "node"), "node")
+    return keep(per_block(full, partial(_linked, n, percent), "a long, b long", ("keys",)).distinct(), "near-links")
 
 
-def per_block(rows: DataFrame, work: Callable[[pa.Table], pa.RecordBatch | None], shape: str) -> DataFrame:
+def per_block(rows: DataFrame, work: Callable[[pa.Table], pa.RecordBatch | None], shape: str, more: tuple[str, ...] = ()) -> DataFrame:
     """Run ``work`` on every block (key, p, q) of ``rows``, sorted by node; a task streams its blocks."""
     order = BLOCK
     tasks = partitions_for(rows, 1, 1)
-    laid = rows.select(*order, "mine", "node", "component", "vector").repartition(tasks, *order).sortWithinPartitions(*order, "node")
+    laid = rows.select(*order, "mine", "node", "component", "vector", *more).repartition(tasks, *order).sortWithinPartitions(*order, "node")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
