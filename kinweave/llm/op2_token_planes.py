@@ -22,12 +22,13 @@ from pyspark.sql import functions as F
 
 from kinweave.llm.registry import query
 from kinweave.llm.store import new_folder, small_batches, table, text_bytes
-from kinweave.llm.words import over_batches, prefix_sums, ragged, range_hash
+from kinweave.llm.words import over_batches, ragged, ragged_bytes, span_hashes
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
 FILE_BYTES = 16 << 20
 CACHE_PIECES = 1 << 21
+MOST_PIECES = 1 << 19  # looked up at a time; all of them and as many that share a hash fit an empty cache
 
 # -- planes -----------------------------------------------------------------------------------------------------------
 
@@ -149,8 +150,21 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def _put(values: np.ndarray, ends: np.ndarray, n: int, sizes: list[int], new: np.ndarray) -> np.ndarray:
+    """Append entries after the first ``n``; the buffer, which grows when it is full."""
+    used = int(ends[n])
+    if used + len(new) > len(values):
+        values = np.concatenate([values, np.zeros(max(len(values), len(new)), values.dtype)])
+    values[used : used + len(new)] = new
+    ends[n + 1 : n + 1 + len(sizes)] = used + np.cumsum(sizes)
+    return values
+
+
 class PieceEncoder:
-    """Encodes texts with the tokenizers library, every distinct piece once per Python worker (up to a bound)."""
+    """Encodes texts with the tokenizers library, every distinct piece once per Python worker (up to a bound).
+
+    A piece is known again by the hash of its bytes and then by the bytes themselves.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -171,7 +185,9 @@ class PieceEncoder:
         self.index = HashIndex(22)
         self.n = 0
         self.ids = np.zeros(1 << 20, np.int32)
-        self.ends = np.zeros(CACHE_PIECES + 2, np.int64)  # piece k has ids[ends[k] : ends[k + 1]]
+        self.ends = np.zeros(CACHE_PIECES + 1, np.int64)  # piece k has ids[ends[k] : ends[k + 1]]
+        self.letters = np.zeros(1 << 23, np.uint8)
+        self.letter_ends = np.zeros(CACHE_PIECES + 1, np.int64)  # and the bytes letters[letter_ends[k] : letter_ends[k + 1]]
 
     def _encode_new(self, pieces: list[bytes]) -> list[list[int]]:
         out: list = [None] * len(pieces)
@@ -187,17 +203,51 @@ class PieceEncoder:
             out[k] = e.ids
         return out
 
-    def _learn(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, hashes: np.ndarray) -> None:
-        distinct, first = np.unique(hashes, return_index=True)
-        lists = self._encode_new([data[starts[k] : stops[k]].tobytes() for k in first])
-        flat = np.fromiter((i for x in lists for i in x), np.int32)
-        used = int(self.ends[self.n])
-        if used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), np.int32)])
-        self.ids[used : used + len(flat)] = flat
-        self.ends[self.n + 1 : self.n + 1 + len(lists)] = used + np.cumsum([len(x) for x in lists])
-        self.index.add(distinct, np.arange(self.n, self.n + len(lists), dtype=np.int32))
-        self.n += len(lists)
+    def _store(self, pieces: list[bytes]) -> np.ndarray:
+        """Numbers of new pieces, whose ids and bytes are kept."""
+        lists = self._encode_new(pieces)
+        self.ids = _put(self.ids, self.ends, self.n, [len(x) for x in lists], np.fromiter((i for x in lists for i in x), np.int32))
+        self.letters = _put(self.letters, self.letter_ends, self.n, [len(p) for p in pieces], np.frombuffer(b"".join(pieces), np.uint8))
+        self.n += len(pieces)
+        return np.arange(self.n - len(pieces), self.n, dtype=np.int32)
+
+    def _others(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Pieces whose bytes are not those of the piece found by their hash."""
+        known, size = self.letter_ends[found], stops - starts
+        same = self.letter_ends[found + 1] - known == size
+        alike = np.flatnonzero(same)
+        at, own = ragged_bytes(data, starts[alike], stops[alike])
+        _, kept = ragged_bytes(self.letters, known[alike], known[alike] + size[alike])
+        same[alike[np.searchsorted(at, np.flatnonzero(own != kept), side="right") - 1]] = False
+        return np.flatnonzero(~same)
+
+    def _numbers(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Number of every piece; unknown ones are encoded, and so is each that shares only its hash with a known one."""
+        hashes = span_hashes(data, starts, stops)
+        found = self.index.find(hashes)
+        if self.n + 2 * int((found < 0).sum()) > CACHE_PIECES:
+            self._empty()
+            found[:] = -1
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            distinct, first = np.unique(hashes[new], return_index=True)
+            self.index.add(distinct, self._store([data[starts[k] : stops[k]].tobytes() for k in new[first]]))
+            found = self.index.find(hashes)
+        others = self._others(data, starts, stops, found)
+        if len(others):
+            pieces = [data[starts[k] : stops[k]].tobytes() for k in others]
+            distinct = list(dict.fromkeys(pieces))
+            if self.n + len(distinct) > CACHE_PIECES:  # rare enough to start again
+                self._empty()
+                return self._numbers(data, starts, stops)
+            number = dict(zip(distinct, self._store(distinct).tolist()))
+            found[others] = [number[p] for p in pieces]
+        return found
+
+    def _ids(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces, one piece after the other, and the number of each piece's ids."""
+        size = self.ends[found + 1] - self.ends[found]
+        return self.ids[np.repeat(self.ends[found] - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids per text) of the texts of a block."""
@@ -211,18 +261,11 @@ class PieceEncoder:
         owner = np.searchsorted(offsets, starts, side="right") - 1
         mine = ~whole[owner]
         starts, stops, owner = starts[mine], stops[mine], owner[mine]
-        hashes = range_hash(prefix_sums(data), starts, stops)
-        found = self.index.find(hashes)
-        if (found < 0).any():
-            if self.n + int((found < 0).sum()) > CACHE_PIECES:
-                self._empty()
-                found[:] = -1
-            new = found < 0
-            self._learn(data, starts[new], stops[new], hashes[new])
-            found = self.index.find(hashes)
-        size = self.ends[found + 1] - self.ends[found]
-        at = np.repeat(self.ends[found] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        ids = self.ids[at]
+        runs = [slice(k, k + MOST_PIECES) for k in range(0, len(starts), MOST_PIECES)]
+        lows = [starts[r.start] for r in runs]
+        parts = [self._ids(self._numbers(data[lo : stops[r][-1]], starts[r] - lo, stops[r] - lo)) for r, lo in zip(runs, lows)]
+        ids = np.concatenate([np.zeros(0, np.int32), *[p for p, _ in parts]])
+        size = np.concatenate([np.zeros(0, np.int64), *[p for _, p in parts]])
         counts = np.bincount(owner, size, n).astype(np.int64)
         if whole.any():
             parts = np.split(ids, np.cumsum(counts)[:-1])

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from kinweave.llm.passages import NO_ID, Corpus, covered, repeated_spans, unpress
 from kinweave.llm.registry import query
 from kinweave.llm.store import table
-from kinweave.llm.words import prefix_sums, range_hash, word_spans
+from kinweave.llm.words import span_hashes, word_spans
 
 WINDOW = 20
 GRAM = 8
@@ -40,7 +40,7 @@ def compile_phrases(phrases: Iterable[tuple[int, ...]]) -> ahocorasick.Automaton
 def word_corpus(window: int = WINDOW, gram: int = GRAM) -> Corpus:
     def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, ends, bounds = word_spans(data, offsets)
-        return range_hash(prefix_sums(data), starts, ends), bounds
+        return span_hashes(data, starts, ends), bounds
 
     def text(data: np.ndarray, offsets: np.ndarray, bounds: np.ndarray):
         starts, ends, _ = word_spans(data, offsets)

@@ -7,11 +7,13 @@ same words as working on characters.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 19  # texts are hashed in blocks that stay in the processor's cache
+LONG_WORD = 24  # polynomials modulo 2**64 have collisions for every base, but none of so small a degree
 _MASK = (1 << 64) - 1
 _BASE = 0xD6E8FEB86659FD93  # odd, hence invertible modulo 2**64
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -80,6 +82,16 @@ def range_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of every span's bytes: a digest beyond ``LONG_WORD`` bytes, a polynomial up to there."""
+    out = range_hash(prefix_sums(data), starts, ends)
+    long = np.flatnonzero(ends - starts > LONG_WORD)
+    if len(long):
+        digests = [blake2b(data[a:b], digest_size=8).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+        out[long] = np.frombuffer(b"".join(digests), "<u8")
+    return out
+
+
 def text_block(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary array and the offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -125,7 +137,7 @@ def word_hashes(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end of every word, and the first word of each row."""
     starts, ends, bounds = word_spans(data, offsets, are_word)
-    return range_hash(prefix_sums(_LOWER[data] if lower else data), starts, ends), starts, ends, bounds
+    return span_hashes(_LOWER[data] if lower else data, starts, ends), starts, ends, bounds
 
 
 def sequence_hash(words: np.ndarray, n: int) -> np.ndarray:

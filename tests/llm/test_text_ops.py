@@ -235,6 +235,52 @@ def test_piece_encoder_is_the_tokenizer():
     assert got == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
 
 
+def alike(letters: int) -> tuple[str, str]:
+    """Two words that a polynomial modulo a power of two cannot tell apart, whatever its base."""
+    bits = [bin(k).count("1") % 2 for k in range(letters)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_collide_under_polynomials():
+    words = [w for n in (16, 64, 256, 1_024, 2_048, 4_096) for w in alike(n)]
+    hashes = word_hashes(*text_block(pa.array(words)), lower=True)[0]
+    assert len(set(hashes.tolist())) == len(words)
+    long = "x" * 24 + " " + "x" * 25 + " "  # either side of the border, at any place and in any block
+    assert len(set(word_hashes(*text_block(pa.array([long * 3, long])), lower=False)[0].tolist())) == 2
+
+
+def test_documents_of_colliding_words_stay_apart(stored):
+    a, b = alike(1_024)
+    docs = stored([(1, f"{a} x y z"), (2, f"{b} x y z"), (3, f"{a} " * 25), (4, f"{b} " * 25), (5, f"{a} x y z")])
+    assert [r.component_id for r in jaccard_components(docs, 3, 90).orderBy("doc_id").collect()] == [1, 2, 3, 4, 1]
+    assert [r.n_removed for r in remove_phrases(docs).orderBy("doc_id").collect()] == [0, 0, 24, 24, 0]
+
+
+@pytest.mark.parametrize("bits", [64, 8, 0])
+@pytest.mark.parametrize("most", [1 << 19, 50])
+def test_pieces_are_compared_by_their_bytes(monkeypatch, bits, most):
+    """With hashes of a few bits most pieces meet another's hash; the cache is emptied again and again."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from kinweave.llm import op2_token_planes as op2
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(12)
+    texts = [" ".join("".join(rng.choice("abcé1!") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    texts += ["", *alike(1_024), *alike(2_048), " ".join(alike(1_024) * 2)]
+    whole = op2.span_hashes
+    if bits < 64:
+        monkeypatch.setattr(op2, "span_hashes", lambda *x: whole(*x) % np.uint64(1 << bits) + np.uint64(1))
+    monkeypatch.setattr(op2, "MOST_PIECES", most)
+    monkeypatch.setattr(op2, "CACHE_PIECES", 4_000 if most > 50 else 200)
+    tool = op2.PieceEncoder(path)
+    for _ in range(2):
+        ids, counts = tool.encode(*text_block(pa.array(texts)))
+        got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
 def test_quality_on_held_out_labels(spark):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     got = {r.doc_id: r for r in quality(docs, labels).collect()}
