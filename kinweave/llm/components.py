@@ -2,7 +2,7 @@
 
 Each round joins every link with the smallest neighbour of one of its ends; hubs are ordinary join keys, which adaptive
 execution splits.  Links halve their distance to the smallest node, so the rounds grow with the logarithm of the longest
-chain.  Nothing but two sums per round reaches the driver.
+chain.  The links are settled once they are stars, which one count by node tells; only that number reaches the driver.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ def _large_star(links: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked with the node's smallest neighbour."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
 def _small_star(links: DataFrame) -> DataFrame:
@@ -29,15 +29,18 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(own).where("a <> b").distinct()
 
 
+def _unsettled(links: DataFrame) -> int:
+    """Nodes that keep ``links`` (distinct, a > b) from being stars: with two smaller neighbours, or smaller ones and larger ones."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.where("up > 1 or (up > 0 and down > 0)").agg(F.count(F.lit(1))).first()[0]
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` for every node of ``links`` (columns ``a, b``); component is the smallest node reachable."""
-    now = keep(links.select("a", "b").where("a <> b").distinct(), "links")
-    before = None
-    while True:
-        size = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(size) == before or size[0] == 0:
-            break
-        before = tuple(size)
+    now = keep(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    while _unsettled(now):
         now = keep(_small_star(_large_star(now)), "links")
     # settled: every node but the smallest of a component is linked with that one alone
     heads = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
