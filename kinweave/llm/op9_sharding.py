@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinweave.llm.registry import query
-from kinweave.llm.store import new_folder, small_batches, table
+from kinweave.llm.store import new_folder, partitions_for, small_batches, table
 
 SHARDS = 40
 SEED = 20240607
 BUCKET_BYTES = 16 << 20
+TASK_BUCKETS = 8  # that a task of the second pass shuffles one after the other
 RECORD_OVERHEAD = 16
 
 
@@ -63,7 +64,8 @@ def external_shuffle(
         return group.take(pa.array(order)).append_column("place", pa.array(np.arange(len(group)), pa.int64()))
 
     schema = T.StructType([*placed.schema.fields, T.StructField("place", T.LongType())])
-    done = placed.groupBy("shard", "bucket").applyInArrow(shuffled, schema).drop("row", "id").withColumn("shard_dir", F.col("shard"))
+    tasks = partitions_for(docs, shards * buckets, TASK_BUCKETS)
+    done = placed.repartition(tasks, "shard", "bucket").groupBy("shard", "bucket").applyInArrow(shuffled, schema).drop("row", "id").withColumn("shard_dir", F.col("shard"))
     done = done.sortWithinPartitions("shard_dir", "bucket", "place")
     with small_batches(docs.sparkSession):
         done.write.option("compression", "zstd").partitionBy("shard_dir").parquet(folder)
