@@ -6,6 +6,7 @@ keeps every direction they span, so that no passage loses a part of its norm, wh
 3. Every document is cut into overlapping windows of words at the scales of the passages; windows whose cosine with a
 passage reaches ``COSINE`` are candidates.  4. The longest common subsequence of passage and surrounding words decides:
 nearly verbatim passages are leaks, looser ones only if the passage's answer (its last sentence) is found there too.
+An item of fewer than ``SHORT_WORDS`` words, whose words come together by chance, must stand there word for word.
 
 Words are lower-cased (A-Z) runs of bytes without white space and ASCII punctuation.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm.registry import query
-from kinweave.llm.store import keep, table, text_bytes
+from kinweave.llm.store import keep, row_numbers, stored, table, text_bytes
 from kinweave.llm.words import ARE_PLAIN, over_batches, text_block, word_hashes
 
 FEATURES = 1 << 16  # hashed words
@@ -30,8 +31,10 @@ SPACE_PASSAGES = 96  # passages that share a latent space, on average
 OVERSAMPLE = 10
 PASSAGE_WORDS = 64
 MARGIN_WORDS = 8  # words beside a window that are compared too, besides half a passage
-WINDOWS = (16, 32, 64)  # words in a window, by scale; the hop is half a window
+WINDOWS = (2, 4, 8, 16, 32, 64)  # words in a window, by scale; the hop is half a window
 COSINE = 0.35
+SHORT_COSINE = 0.1  # in windows of up to SHORT_WORDS words, where one rare neighbour outweighs an item
+SHORT_WORDS = 8
 VERBATIM = 0.8  # share of a passage's words in the common subsequence
 PARAPHRASE = 0.6
 ANSWER = 0.8
@@ -232,13 +235,16 @@ def candidates(words: np.ndarray, bounds: np.ndarray, idf: np.ndarray, spaces: l
             for k in range(1, hop):
                 half += space.weighted[at[:, k]]
             cosine = ((half[q] + half[q + 1]) @ space.unit.T) / length[:, None]
-            for w, p in np.argwhere(cosine >= COSINE):
+            for w, p in np.argwhere(cosine >= (SHORT_COSINE if window <= SHORT_WORDS else COSINE)):
                 first = int(bounds[row[w]] + step[w] * hop)
                 yield space, int(row[w]), first, min(first + window, int(bounds[row[w] + 1])), int(p), float(cosine[w, p])
 
 
 def judged(passage: list[int], answer: list[int], around: list[int]) -> tuple[bool, float, float]:
     """(leak, share of the passage, share of the answer) of the words around a candidate window."""
+    if len(passage) < SHORT_WORDS:
+        whole = float(any(around[k : k + len(passage)] == passage for k in range(len(around) - len(passage) + 1)))
+        return whole == 1.0, whole, whole
     share = common_subsequence(passage, around) / len(passage)
     found = common_subsequence(answer, around) / len(answer) if share >= PARAPHRASE else 0.0
     return share >= VERBATIM or (share >= PARAPHRASE and found >= ANSWER), share, found
@@ -247,8 +253,9 @@ def judged(passage: list[int], answer: list[int], around: list[int]) -> tuple[bo
 def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, item_id, cosine, share, answer_share`` of every document and benchmark item found in it, once each.
 
-    Null and empty texts hold nothing; items without words are not looked for; repeated documents or items give one row
-    per pair of ids; empty tables give no rows.
+    Null and empty texts hold nothing; items without words are not looked for; items of one to seven words are found word
+    for word, which a frequent word alone can meet anywhere; repeated documents or items give one row per pair of ids;
+    empty tables give no rows.
     """
     spark = docs.sparkSession
     known = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_bytes(text_column).alias("__text"))
@@ -293,10 +300,16 @@ def _search(known: DataFrame, rows: list, idf: np.ndarray, shape: str) -> DataFr
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; columns and rows stay as they are otherwise."""
-    hit = keep(leaks(docs, benchmark).select(F.col("doc_id").alias("hit")).distinct(), "leaks")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"))
-    return whole.join(hit, F.col("record.doc_id").eqNullSafe(F.col("hit")), "left_anti").select("record.*")
+    """``docs`` (a stored table) without the rows that hold a benchmark item; columns and rows stay as they are otherwise.
+
+    Rows are judged on their own: one that shares the doc_id of a leak, or a null doc_id, stays if its text is clean.
+    """
+    docs = stored(docs)
+    numbers = row_numbers(docs)
+    found = leaks(numbers(F.col("text").alias("__body")).select("row", "__body"), benchmark, "row", "__body")
+    hit = keep(found.select(F.col("doc_id").alias("row")).distinct(), "leaks")
+    whole = numbers(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"))
+    return whole.join(hit, "row", "left_anti").select("record.*")
 
 
 @query("op10_decontamination")

@@ -406,6 +406,39 @@ def test_recall_does_not_fall_with_the_size_of_the_benchmark(spark, stored, n):
     assert got == planted
 
 
+@pytest.mark.parametrize("frequent", [False, True])
+def test_items_of_one_to_fifteen_words_are_found(spark, stored, frequent):
+    rng = random.Random(23)
+    vocabulary = ["".join(rng.choice("aeioustrnlmk") for _ in range(rng.randint(4, 9))) for _ in range(4_000)]
+    pick = lambda: vocabulary[int(len(vocabulary) * rng.random() ** 3)]
+    items, rows = [], []
+    for n in range(1, 16):
+        for k in range(8):
+            words = [pick() if frequent and n > 1 else rng.choice(vocabulary) for _ in range(n)]
+            items.append((100 * n + k, words))
+            rows.append((100 * n + k, [pick() for _ in range(rng.randint(0, 60))] + words + [pick() for _ in range(rng.randint(0, 60))]))
+    rows += [(10_000 + k, [pick() for _ in range(rng.randint(0, 120))]) for k in range(100)]
+    holds = lambda all_, part: any(all_[i : i + len(part)] == part for i in range(len(all_) - len(part) + 1))
+    want = {(d, i) for d, w in rows for i, part in items if holds(w, part)}
+    bench = spark.createDataFrame([(i, " ".join(p)) for i, p in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leaks(stored([(d, " ".join(w)) for d, w in rows]), bench).collect()}
+    size = {i: len(p) for i, p in items}
+    assert {x for x in got if size[x[1]] < 8} <= want  # short items leak word for word only
+    for n in range(1, 16):
+        mine = {x for x in want if size[x[1]] == n}
+        assert len(mine) >= 8 and len(mine & got) >= 0.9 * len(mine), n
+
+
+def test_rows_are_dropped_one_by_one(spark, stored):
+    """A clean row stays although a leak has its doc_id, or no id either."""
+    rng = random.Random(29)
+    text = lambda k: " ".join("".join(rng.choice("aeioustrnlmk") for _ in range(6)) for _ in range(k))
+    item = text(30)
+    rows = [(1, f"{text(20)} {item}"), (1, text(40)), (None, item), (None, text(30)), (2, None), (2, "")]
+    left = drop_leaks(stored(rows), spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == sorted((d or 0, t or "") for d, t in (rows[1], rows[3], rows[4], rows[5]))
+
+
 def test_a_latent_space_keeps_every_passage_whole():
     rng = np.random.default_rng(3)
     rows = [(f := np.unique(rng.integers(0, 1 << 16, 60)), rng.uniform(0.1, 9, len(f))) for _ in range(150)]
