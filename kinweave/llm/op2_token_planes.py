@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinweave.llm.registry import query
-from kinweave.llm.store import new_folder, small_batches, table, text_bytes
+from kinweave.llm.store import new_folder, row_numbers, small_batches, stored, table, text_bytes
 from kinweave.llm.words import over_batches, ragged, ragged_bytes, span_hashes
 
 END_ID = 2
@@ -301,7 +301,8 @@ def write_token_files(
 
     Each document is followed by ``end_id``; null and empty texts have that id alone.
     """
-    chosen = docs.select(F.col(id_column).cast("long").alias("doc"), F.monotonically_increasing_id().alias("row"), text_bytes(text_column).alias("text"))
+    docs = stored(docs)
+    chosen = row_numbers(docs)(F.col(id_column).cast("long").alias("doc"), text_bytes(text_column).alias("text")).select("doc", "row", "text")
     total = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_BYTES))
     laid = chosen.repartitionByRange(files, "doc", "row").sortWithinPartitions("doc", "row")

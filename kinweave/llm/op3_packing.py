@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm.registry import query
-from kinweave.llm.store import table
+from kinweave.llm.store import row_numbers, stored, table
 
 CAPACITY = 8192
 GROUP_ROWS = 4096
@@ -69,11 +69,11 @@ def pack(
     A null or negative length counts as 0; pieces of length 0 still occupy a place.  Null sources and clusters are
     values of their own.  Rows may repeat; ties are packed in the order of the keys, then of the input.
     """
-    rows = docs.select(
+    docs = stored(docs)
+    rows = row_numbers(docs)(
         *keys, F.greatest(F.coalesce(F.col(length).cast("long"), F.lit(0)), F.lit(0)).alias("__length"),
         F.col(source).cast("string").alias("__source"), F.col(cluster).cast("string").alias("__cluster"),
-        F.monotonically_increasing_id().alias("__row"),
-    )
+    ).withColumnRenamed("row", "__row")
     groups = max(1, -(-docs.count() // group_rows))
     rows = rows.withColumn("bin_group", F.pmod(F.xxhash64(F.lit(SEED), *keys, "__row"), F.lit(groups)))
     cut = F.expr(f"sequence(0L, greatest(0L, (__length - 1) div {capacity}))")

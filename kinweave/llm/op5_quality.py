@@ -184,8 +184,9 @@ def training_labels(labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFram
 def fit_quality(stats: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Trees:
     """Fit on the statistics (``__id, features``) of the rows of :func:`training_labels`."""
     usable = training_labels(labels, train_rows)
-    rows = stats.join(usable, stats["__id"] == usable["doc_id"]).select("doc_id", "features", "quality").limit(train_rows).toArrow()
-    rows = rows.sort_by("doc_id")
+    rows = stats.join(usable, stats["__id"] == usable["doc_id"]).select("doc_id", "features", "quality")
+    # ids that repeat give more rows than labels; in a full order the same ones are taken in every run
+    rows = rows.orderBy("doc_id", "features", "quality").limit(train_rows).toArrow()
     x = np.array(rows.column("features").to_pylist(), dtype=float).reshape(len(rows), len(FEATURES))
     return fit_trees(x, (rows.column("quality").to_numpy() == 1).astype(float))
 
