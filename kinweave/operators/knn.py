@@ -2,7 +2,8 @@
 
 * Points are assigned to pivot cells; the triangle inequality names the cells that can hold one of a
   query's k nearest points, and only those are visited (an equi-join on the cell).
-* Cells are cut into blocks of bounded size and queries into chunks, so no task sees an unbounded group.
+* Cells that grow large are split again (``cell_tree``), so the points a query meets do not grow with the table.
+* What cannot be split is cut into blocks of bounded size, and queries into chunks, so no task sees an unbounded group.
 * Copies of one vector are reduced first: only the k smallest ids of a vector can ever be among k nearest,
   and equal queries are answered once.
 * Each task returns its best k per query; pairs never leave the task.
@@ -22,6 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions.literals import array_of
+from kinweave.operators.cell_tree import CellTree, chunks, grow, parts, visit_schema, walk
+from kinweave.operators.metric import as_matrix, distances, limits, reachable, true_metric
 from kinweave.session import cut
 
 BLOCK_ROWS = 20_000  # points or queries per task group
@@ -29,32 +32,6 @@ MAX_PIVOTS = 512
 _CHUNK_CELLS = 4_000_000  # distances held at once inside a task
 
 
-def distances(queries: np.ndarray, points: np.ndarray, metric: str) -> np.ndarray:
-    """Dense (queries x points) distances, summed dimension by dimension.
-
-    ``l1+3`` or ``l2+3`` says that the last three coordinates are category codes.  Different codes cost 2, as their
-    one-hot vectors would, and a code against a missing one (negative) costs 1.
-    """
-    kind, _, codes = metric.partition("+")
-    numbers = queries.shape[1] - int(codes or 0)
-    out = np.zeros((len(queries), len(points)))
-    for j in range(numbers):
-        gap = queries[:, j, None] - points[None, :, j]
-        out += np.abs(gap) if kind == "l1" else gap * gap
-    for j in range(numbers, queries.shape[1]):
-        q, p = queries[:, j, None], points[None, :, j]
-        out += (q != p) * (2.0 - (q < 0) - (p < 0))
-    return out
-
-
-def _true_metric(values: np.ndarray, metric: str) -> np.ndarray:
-    return values if metric.startswith("l1") else np.sqrt(values)
-
-
-def _as_matrix(column: pd.Series, width: int) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(float) if len(column) else np.zeros((0, width))
-
-
 def nearest_in_block(
     queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k: np.ndarray, metric: str
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -89,25 +66,13 @@ class _Cells:
     def blocks(self) -> np.ndarray:
         return np.maximum(1, np.ceil(self.counts / BLOCK_ROWS)).astype(int)
 
+    def gaps(self, queries: np.ndarray) -> np.ndarray:
+        return true_metric(distances(queries, self.pivots, self.metric), self.metric)
+
     def reach(self, queries: np.ndarray, k: np.ndarray) -> np.ndarray:
         """Boolean (queries x cells): cells that may hold one of the k nearest points."""
-        d = _true_metric(distances(queries, self.pivots, self.metric), self.metric)
-        far = d + self.radii[None, :]
-        order = np.argsort(far, axis=1)
-        held = np.cumsum(self.counts[order], axis=1)
-        enough = held >= k[:, None]
-        sorted_far = np.take_along_axis(far, order, axis=1)
-        limit = np.where(
-            enough.any(axis=1), sorted_far[np.arange(len(d)), enough.argmax(axis=1)], np.inf
-        )
-        # pivots are points themselves, so the k-th nearest pivot bounds the k-th nearest point
-        ranked = np.sort(d, axis=1)
-        few = np.flatnonzero(k <= len(self.pivots))
-        limit[few] = np.minimum(limit[few], ranked[few, k[few] - 1])
-        nearest = d.min(axis=1)
-        low = np.maximum(d - self.radii[None, :], (d - nearest[:, None]) / 2)
-        slack = 1e-9 * (1 + np.abs(limit))
-        return (low <= (limit + slack)[:, None]) & (self.counts[None, :] > 0)
+        d = self.gaps(queries)
+        return reachable(d, limits(d, k, self.counts, self.radii), self.counts, self.radii)
 
 
 def _choose_pivots(points: DataFrame) -> np.ndarray:
@@ -139,7 +104,7 @@ def _choose_pivots(points: DataFrame) -> np.ndarray:
 def _assign(points: DataFrame, pivots: np.ndarray, metric: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = _as_matrix(pdf["__p"], pivots.shape[1])
+            x = as_matrix(pdf["__p"], pivots.shape[1])
             if not len(x):
                 continue
             cells, gaps = [], []
@@ -148,7 +113,7 @@ def _assign(points: DataFrame, pivots: np.ndarray, metric: str) -> DataFrame:
                 d = distances(x[start : start + step], pivots, metric)
                 at = d.argmin(axis=1)
                 cells.append(at)
-                gaps.append(_true_metric(d[np.arange(len(at)), at], metric))
+                gaps.append(true_metric(d[np.arange(len(at)), at], metric))
             yield pdf.assign(__cell=np.concatenate(cells).astype("int32"), __gap=np.concatenate(gaps))
 
     return points.mapInPandas(run, "__bid bigint, __p array<double>, __cell int, __gap double")
@@ -156,10 +121,18 @@ def _assign(points: DataFrame, pivots: np.ndarray, metric: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Layout:
-    """Points with their cell, and the cell table."""
+    """Points with their cell, the cell table, and the cells inside large cells."""
 
     assigned: DataFrame
     cells: _Cells
+    tree: CellTree | None = None
+
+    def groups(self) -> int:
+        """Blocks of points, at most so many of which a query can visit."""
+        if self.tree is None:
+            return int(self.cells.blocks().sum())
+        last = self.tree.points.select("__cell", "__n").distinct()
+        return int(last.agg(F.sum(F.ceil(F.col("__n") / BLOCK_ROWS))).first()[0] or 0)
 
 
 def lay_out_points(points: DataFrame, metric: str) -> Layout | None:
@@ -171,7 +144,7 @@ def lay_out_points(points: DataFrame, metric: str) -> Layout | None:
     counts, radii = np.zeros(len(pivots), dtype=int), np.zeros(len(pivots))
     for r in assigned.groupBy("__cell").agg(F.count(F.lit(1)).alias("n"), F.max("__gap").alias("r")).collect():
         counts[r["__cell"]], radii[r["__cell"]] = r["n"], r["r"]
-    return Layout(assigned, _Cells(pivots, counts, radii, metric))
+    return Layout(assigned, _Cells(pivots, counts, radii, metric), grow(assigned, counts, metric, pivots.shape[1]))
 
 
 def _meet(
@@ -182,6 +155,8 @@ def _meet(
     ``reach(vectors, extra)`` names the cells a query must visit; ``kernel(q, p)`` sees one chunk of
     queries and one block of points.  ``most`` bounds the number of queries from above.
     """
+    if layout.tree is not None:
+        return _meet_deep(deep_visits(asked, extra, layout), layout.tree, kernel, schema)
     cells, width = layout.cells, layout.cells.pivots.shape[1]
     blocks = cells.blocks()
     kind = asked.schema[extra].dataType.simpleString()
@@ -192,7 +167,7 @@ def _meet(
             for start in range(0, len(pdf), step):
                 part = pdf.iloc[start : start + step]
                 number = part[extra].to_numpy()
-                at, cell = np.nonzero(reach(_as_matrix(part["__q"], width), number))
+                at, cell = np.nonzero(reach(as_matrix(part["__q"], width), number))
                 copies = blocks[cell]
                 first = np.repeat(np.cumsum(copies) - copies, copies)
                 at, cell = np.repeat(at, copies), np.repeat(cell, copies)
@@ -228,6 +203,67 @@ def _meet(
     return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(kernel, schema)
 
 
+def deep_visits(asked: DataFrame, extra: str, layout: Layout) -> DataFrame:
+    """Last cells of the tree that each query must visit.
+
+    ``extra`` is ``__k``, the number of neighbours, or else the radius of the query.
+    """
+    cells, tree = layout.cells, layout.tree
+    width, metric, step = cells.pivots.shape[1], cells.metric, max(1, _CHUNK_CELLS // len(cells.pivots))
+    split = tree.split
+    schema = visit_schema(extra, asked.schema[extra].dataType.simpleString())
+
+    def top(home: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for start in range(0, len(pdf), step):
+                    part = pdf.iloc[start : start + step]
+                    d = cells.gaps(as_matrix(part["__q"], width)[:, :width])
+                    if home:
+                        limit = limits(d, part[extra].to_numpy(), cells.counts, cells.radii)
+                        at, cell = np.arange(len(part)), np.where(cells.counts > 0, d, np.inf).argmin(axis=1)
+                    else:
+                        limit = part["__limit"].to_numpy()
+                        at, cell = np.nonzero(reachable(d, limit, cells.counts, cells.radii))
+                    yield pd.DataFrame(
+                        {
+                            "__q": part["__q"].to_numpy()[at],
+                            extra: part[extra].to_numpy()[at],
+                            "__limit": limit[at],
+                            "__cell": cell.astype("int64") + 1,
+                            "__n": cells.counts[cell].astype("int64"),
+                            "__open": split[cell],
+                        }
+                    )
+
+        return run
+
+    if extra == "__k":
+        homes = asked.select("__q", extra).mapInPandas(top(True), schema)
+        bounded = walk(homes, tree, metric, width, extra, True).select("__q", extra, "__limit")
+    else:
+        bounded = asked.select("__q", extra, (F.col(extra) * (1 + 1e-9) + 1e-9).alias("__limit"))
+    return walk(bounded.mapInPandas(top(False), schema), tree, metric, width, extra, False)
+
+
+def _meet_deep(visits: DataFrame, tree: CellTree, kernel: Callable, schema: str) -> DataFrame:
+    """Visits of last cells meet their points, in blocks and chunks where a cell has many."""
+    visits = cut(visits.drop("__limit", "__open"))
+    heavy = chunks(visits, BLOCK_ROWS)
+    blocks = F.ceil(F.col("__n") / BLOCK_ROWS).cast("int")
+    left = visits.join(heavy, "__cell", "left").withColumn("__chunk", F.pmod(F.xxhash64("__q"), parts()).cast("int"))
+    left = left.withColumn("__block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("__parts", "__n")
+    right = tree.points.join(heavy, "__cell", "left").select(
+        "__bid",
+        "__p",
+        "__cell",
+        F.pmod(F.xxhash64("__bid"), blocks).cast("int").alias("__block"),
+        F.explode(F.sequence(F.lit(0), parts() - 1)).alias("__chunk"),
+    )
+    group = ["__cell", "__block", "__chunk"]
+    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(kernel, schema)
+
+
 _NEAR_SCHEMA = "__q array<double>, __bid bigint, distance double"
 
 
@@ -256,7 +292,7 @@ def nearest_rows(
             return pd.DataFrame({"__q": none, "__bid": np.array([], "int64"), "distance": np.array([], float)})
         found = list(
             nearest_in_block(
-                _as_matrix(q["__q"], width), _as_matrix(p["__p"], width), p["__bid"].to_numpy(), q["__k"].to_numpy(), metric
+                as_matrix(q["__q"], width), as_matrix(p["__p"], width), p["__bid"].to_numpy(), q["__k"].to_numpy(), metric
             )
         )
         at = np.repeat([f[0] for f in found], [len(f[1]) for f in found])
@@ -300,8 +336,8 @@ def count_balls(balls: DataFrame, others: DataFrame, key: str, metric: str = "l2
     def kernel(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):
             return pd.DataFrame({"__bid": np.array([], "int64"), "hits": np.array([], "int64")})
-        x, radius = _as_matrix(q["__q"], width + 1), q["__r"].to_numpy()
-        points = _as_matrix(p["__p"], width)
+        x, radius = as_matrix(q["__q"], width + 1), q["__r"].to_numpy()
+        points = as_matrix(p["__p"], width)
         hits = np.zeros(len(points))
         step = max(1, _CHUNK_CELLS // len(points))
         for start in range(0, len(x), step):

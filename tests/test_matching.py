@@ -64,11 +64,22 @@ def test_reconcile_uses_the_smallest_copy_as_anchor(spark):
     assert {(r["id"], r["q_id"], r["p_id"]) for r in out.collect()} == {(0, 7, 12), (1, 8, 10)}
 
 
-@pytest.mark.parametrize("metric", ["l1", "l2"])
-def test_knn_against_brute_force_with_copies(spark, monkeypatch, metric):
+def small_cells(monkeypatch):
+    """Few top cells, and cells inside cells already for some hundred points."""
+    from kinweave.operators import cell_tree, knn
+
+    monkeypatch.setattr(knn, "MAX_PIVOTS", 4)
+    for name, value in dict(CELL_ROWS=12, FANOUT=8, QUERY_ROWS=7, POINT_ROWS=30).items():
+        monkeypatch.setattr(cell_tree, name, value)
+
+
+@pytest.mark.parametrize("metric,deep", [("l1", False), ("l2", False), ("l1", True), ("l2", True), ("l2+1", True)])
+def test_knn_against_brute_force_with_copies(spark, monkeypatch, metric, deep):
     from kinweave.operators import knn
 
     monkeypatch.setattr(knn, "BLOCK_ROWS", 15)  # several blocks and chunks
+    if deep:
+        small_cells(monkeypatch)
     rng = np.random.default_rng(3)
     points = np.concatenate([rng.integers(0, 6, (60, 3)), np.full((40, 3), 2)]).astype(float)
     queries = np.concatenate([rng.integers(0, 6, (20, 3)), np.full((10, 3), 2)]).astype(float)
@@ -79,6 +90,56 @@ def test_knn_against_brute_force_with_copies(spark, monkeypatch, metric):
         got.setdefault(r["q"], []).append((r["neighbour_rank"], r["distance"], r["neighbour_id"]))
     gaps = np.abs(queries[:, None] - points[None])
     d = gaps.sum(-1) if metric == "l1" else (gaps**2).sum(-1)
+    if metric == "l2+1":
+        d = (gaps[..., :2] ** 2).sum(-1) + 2.0 * (gaps[..., 2] > 0)
     for i in range(len(queries)):
         best = sorted((d[i, j], j) for j in range(len(points)))[:7]
         assert [(x[1], x[2]) for x in sorted(got[i])] == [(float(a), b) for a, b in best]
+
+
+@pytest.mark.parametrize("k", [1, 5, 400])
+def test_cells_inside_cells_against_brute_force(spark, monkeypatch, k):
+    """Clusters of unequal width, one point far away, a k beyond the table."""
+    small_cells(monkeypatch)
+    rng = np.random.default_rng(8)
+    points = np.concatenate([rng.normal(c, w, (n, 3)) for c, w, n in ((0, 1, 150), (5, 0.01, 120), (9, 3, 60))] + [np.full((1, 3), 1e4)])
+    got = {}
+    rows = frame(spark, points, "id")
+    for r in knn_join(rows, rows, "id", "id", "vector", "vector", k, exclude_same_id=True).collect():
+        got.setdefault(r["id"], []).append((r["neighbour_rank"], r["neighbour_id"]))
+    d = np.zeros((len(points), len(points)))
+    for j in range(3):
+        d += (points[:, None, j] - points[None, :, j]) ** 2
+    for i in range(len(points)):
+        best = sorted((d[i, j], j) for j in range(len(points)) if j != i)[:k]
+        assert [x[1] for x in sorted(got[i])] == [j for _, j in best]
+
+
+def test_balls_meet_cells_inside_cells(spark, monkeypatch):
+    from kinweave.operators.knn import count_balls
+
+    small_cells(monkeypatch)
+    rng = np.random.default_rng(9)
+    points, centres, radii = rng.normal(0, 2, (300, 2)), rng.normal(0, 2, (80, 2)), rng.uniform(0, 2, 80)
+    balls = spark.createDataFrame([(c.tolist(), float(r)) for c, r in zip(centres, radii)], "vector array<double>, radius double")
+    got = {r["id"]: r["hits"] for r in count_balls(balls, frame(spark, points, "id"), "id").collect()}
+    inside = np.sqrt(((points[:, None] - centres[None]) ** 2).sum(-1)) < radii
+    assert got == {i: int(n) for i, n in enumerate(inside.sum(axis=1)) if n}
+
+
+def test_comparisons_grow_with_the_rows_and_not_with_their_square(spark, monkeypatch):
+    from kinweave.operators import knn
+
+    small_cells(monkeypatch)
+
+    def compared(n):
+        rng = np.random.default_rng(10)
+        x = rng.integers(0, 12, (n, 1)) * 10 + rng.normal(0, 1, (n, 2))
+        points = frame(spark, x, "id").select(F.col("id").alias("__bid"), F.col("vector").alias("__p"))
+        asked = points.select(F.col("__p").alias("__q"), F.lit(3).cast("bigint").alias("__k"))
+        layout = knn.lay_out_points(points, "l2")
+        return knn.deep_visits(asked, "__k", layout).agg(F.sum("__n")).first()[0], int((layout.cells.counts**2).sum())
+
+    (few, flat), (many, flat_many) = compared(800), compared(2_400)
+    assert many < 4.5 * few and flat_many > 7 * flat  # a single level would compare nine times as many
+    assert many < flat_many / 10
