@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -167,6 +168,44 @@ def draw_packed(uniform: Column) -> Column:
     return F.element_at("values", F.least(at + 1, F.size("values")))
 
 
+GUIDE_SIZES = 64  # values of a distribution that a draw may scan; longer ones are drawn through a guide table
+
+
+def guide_table(dist: DataFrame, by: list[str], value: str, prob: str = "prob") -> DataFrame:
+    """``by, __cells, __cell, steps``: [0, 1) in as many cells as a distribution has values, each with the steps that meet it.
+
+    A draw looks at the steps of one cell, which are two on average whatever the number of values.
+    """
+    inside, run = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(value)
+    steps = dist.select(
+        *by,
+        F.col(value).alias("value"),
+        F.sum(prob).over(run.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
+        F.lead(value).over(run).isNull().alias("__last"),
+        F.count(F.lit(1)).over(inside).alias("__cells"),
+    )
+    low = F.coalesce(F.lag("upto").over(Window.partitionBy(*by).orderBy("value")), F.lit(0.0))
+    top = F.col("__cells") - 1
+    first = F.least(F.floor(low * F.col("__cells")), top)
+    last = F.when(F.col("__last"), top).otherwise(F.least(F.floor(F.col("upto") * F.col("__cells")), top))
+    met = steps.withColumns({"__first": first, "__to": last}).withColumn("__cell", F.explode(F.sequence("__first", "__to")))
+    step = F.struct(F.when(F.col("__last"), F.lit(2.0)).otherwise(F.col("upto")).alias("upto"), "value")
+    return met.groupBy(*by, "__cells", "__cell").agg(F.sort_array(F.collect_list(step)).alias("steps"))
+
+
+def draw_guided(rows: DataFrame, uniform: Column, guide: DataFrame, by: list[str], out: str) -> DataFrame:
+    """W3 through a guide table: the value that :func:`draw_packed` draws, null where ``by`` has no distribution.
+
+    ``guide`` is read twice, so it should be stored.
+    """
+    kept = rows.columns
+    asked = rows.withColumn("__u", uniform).join(guide.select(*by, "__cells").distinct(), by, "left")
+    asked = asked.withColumn("__cell", F.least(F.floor(F.col("__u") * F.col("__cells")), F.col("__cells") - 1))
+    met = asked.join(guide.drop("__cells"), [*by, "__cell"], "left")
+    held = F.filter("steps", lambda s: s["upto"] >= F.col("__u"))
+    return met.select(*[F.col(c) for c in kept], F.get(held, 0)["value"].alias(out))
+
+
 EXPLODE_ROWS = 100_000  # copies one task makes of one row
 
 
@@ -190,39 +229,47 @@ def expand_children(
 ) -> DataFrame:
     """(pk, label, slot): every parent draws a group size from its label; unknown labels get none."""
     dist = cut(dist)  # labels x distinct sizes
-    largest = dist.agg(F.max("group_size")).first()[0] or 0
-    packed = pack_distribution(dist, label, "group_size")
-    sized = parents.select(pk, label).join(packed, label, "left")
-    drawn = sized.select(
-        pk, label, F.coalesce(draw_packed(hash_uniform(pk, salt=salt, seed=seed)), F.lit(0)).alias("size")
-    )
+    most = dist.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.max("group_size").alias("m")).agg(F.max("n"), F.max("m")).first()
+    largest, u = most[1] or 0, hash_uniform(pk, salt=salt, seed=seed)
+    if (most[0] or 0) > GUIDE_SIZES:
+        drawn = draw_guided(parents.select(pk, label), u, cut(guide_table(dist, [label], "group_size")), [label], "size").fillna(0, "size")
+    else:
+        sized = parents.select(pk, label).join(pack_distribution(dist, label, "group_size"), label, "left")
+        drawn = sized.select(pk, label, F.coalesce(draw_packed(u), F.lit(0)).alias("size"))
     return repeat_rows(drawn, "size", "slot", largest).select(pk, label, "slot")
 
 
 def synthetic_keys(dist: DataFrame, n: int, spark, salt: str, seed: int = 0) -> DataFrame:
     """(row_id 0..n-1, parent_key): keys 0, 1, 2, ... repeated a drawn size, shuffled and cut to n."""
-    rows = dist.orderBy("group_size").collect()  # at most sqrt(2 * rows) sizes
-    values = [int(r["group_size"]) for r in rows]
-    upto, total = [], 0.0
-    for r in rows:
-        total += r["prob"]
-        upto.append(total)
-    mean = sum(r["group_size"] * r["prob"] for r in rows)
+    dist = cut(dist)
+    known = dist.agg(F.count(F.lit(1)), F.sum(F.col("group_size") * F.col("prob")), F.max("group_size")).first()
+    mean, largest = known[1] or 0.0, int(known[2] or 0)
     if n <= 0 or mean <= 0:
         raise ValueError("synthetic keys need rows and non-empty groups")
-
-    def sized(candidates: int) -> DataFrame:
+    if known[0] > GUIDE_SIZES:
+        guide = cut(guide_table(dist.select(F.lit(0).alias("__all"), "group_size", "prob"), ["__all"], "group_size"))
         u = hash_uniform("id", salt=f"{salt}-size", seed=seed)
-        at = bound(u, lambda v: F.size(F.filter(array_of(upto), lambda s: s < v)))
-        pick = F.element_at(array_of(values), F.least(at + 1, F.lit(len(values))))
-        return spark.range(candidates).select("id", pick.cast("bigint").alias("size"))
+
+        def sized(candidates: int) -> DataFrame:
+            asked = spark.range(candidates).withColumn("__all", F.lit(0))
+            return draw_guided(asked, u, guide, ["__all"], "size").select("id", F.col("size").cast("bigint").alias("size"))
+
+    else:
+        rows = dist.orderBy("group_size").collect()  # at most GUIDE_SIZES
+        values, upto = [int(r["group_size"]) for r in rows], list(accumulate(r["prob"] for r in rows))
+
+        def sized(candidates: int) -> DataFrame:
+            u = hash_uniform("id", salt=f"{salt}-size", seed=seed)
+            at = bound(u, lambda v: F.size(F.filter(array_of(upto), lambda s: s < v)))
+            pick = F.element_at(array_of(values), F.least(at + 1, F.lit(len(values))))
+            return spark.range(candidates).select("id", pick.cast("bigint").alias("size"))
 
     candidates = int(1.2 * n / mean) + 64
     while (sized(candidates).agg(F.sum("size")).first()[0] or 0) < n:
         candidates *= 2
     placed = with_position(sized(candidates), ["id"], sums=["size"])
     kept = placed.where(F.col("run_size") - F.col("size") < n).where("size > 0")
-    copies = repeat_rows(kept.select(F.col("id").alias("parent_key"), "size"), "size", "copy", max(values)).drop("size")
+    copies = repeat_rows(kept.select(F.col("id").alias("parent_key"), "size"), "size", "copy", largest).drop("size")
     keyed = copies.withColumn("__u", hash_uniform("parent_key", "copy", salt=f"{salt}-shuffle", seed=seed))
     shuffled = with_position(keyed, ["__u", "parent_key", "copy"], position="row_id")
     return shuffled.where(F.col("row_id") < n).select("row_id", "parent_key")

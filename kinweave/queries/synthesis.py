@@ -103,6 +103,43 @@ def l3_em_step(spark, d) -> DataFrame:
     return out.select("component", *[F.round(c, p).alias(c) for c, p in (("weight", 6), ("mean", 6), ("variance", 5))])
 
 
+def _digamma_sql(x: str) -> str:
+    """The asymptotic series, for arguments of some dozen and more."""
+    return f"(ln({x}) - 1 / (2 * ({x})) - 1 / (12 * power({x}, 2)) + 1 / (120 * power({x}, 4)) - 1 / (252 * power({x}, 6)))"
+
+
+@query(
+    "l4_variational_step",
+    f"""with c as (select c_custkey, c_mktsegment, c_acctbal::DOUBLE / 1000 as x from customer),
+    p as (select avg(x) as m0, var_pop(x) + 1e-6 as b0 from c),
+    s as (select row_number() over (order by c_mktsegment) - 1 as k, count(*)::DOUBLE as n, avg(x) as mu, var_pop(x) as v, count(*) over () as parts
+          from c group by c_mktsegment),
+    q as (select k, 1.0::DOUBLE / parts + n as alpha, 1 + n as beta, (m0 + n * mu) / (1 + n) as m, 1 + n / 2 as a,
+          b0 + 0.5 * (n * v + n / (1 + n) * (mu - m0) * (mu - m0)) as b from s, p),
+    e as (select k, m, a / b as l, {_digamma_sql('alpha')} + 0.5 * ({_digamma_sql('a')} - ln(b) - ln(2 * pi()) - 1 / beta) as w from q),
+    f as (select c_custkey, k, x, exp(w - 0.5 * l * (x - m) * (x - m)) as f from c, e),
+    r as (select k, x, f / sum(f) over (partition by c_custkey) as r from f),
+    t as (select k, sum(r) as n, sum(r * x) / sum(r) as mu, sum(r * x * x) as xx from r group by k)
+    select k::INTEGER as component, round(1.0::DOUBLE / (select max(parts) from s) + n, 4) as alpha, round((m0 + n * mu) / (1 + n), 6) as mean,
+    round((b0 + 0.5 * (xx - n * mu * mu + n / (1 + n) * (mu - m0) * (mu - m0))) / (1 + n / 2), 5) as variance from t, p""",
+)
+def l4_variational_step(spark, d) -> DataFrame:
+    """The posterior after one pass from that of the market segments."""
+    import numpy as np
+
+    x = F.col("c_acctbal").cast("double") / 1000
+    people = table(spark, d, "customer").select("c_mktsegment", F.array(x).alias("features"))
+    x = F.col("features")[0]
+    known = few_segments(people.groupBy("c_mktsegment").agg(F.count(x).alias("n"), F.sum(x).alias("x"), F.sum(x * x).alias("xx")))
+    whole = people.agg(F.avg(x).alias("m"), (F.var_pop(x) + 1e-6).alias("v")).first()
+    prior = L.Prior(1 / len(known), 1.0, np.array([whole["m"]]), 1.0, np.array([whole["v"]]))
+    start = prior.after(np.array([float(r["n"]) for r in known]), np.array([[r["x"]] for r in known]), np.array([[r["xx"]] for r in known]))
+    after, _ = L.variational_step(people, start)
+    rows = [(i, float(after.alpha[i]), float(after.means[i, 0]), float(after.b[i, 0] / after.a[i])) for i in range(len(known))]
+    out = spark.createDataFrame(rows, "component int, alpha double, mean double, variance double")
+    return out.select("component", *[F.round(c, n).alias(c) for c, n in (("alpha", 4), ("mean", 6), ("variance", 5))])
+
+
 def small_graph(spark, d, *edges) -> RelationalDataset:
     """Part of the star with the relations named."""
     data = star(spark, d)

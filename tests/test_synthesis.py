@@ -10,6 +10,7 @@ from kinweave.operators import synth as Y
 from kinweave.plans.synthesis import run
 from kinweave.queries.star import SPECS, table
 from kinweave.queries.synthesis import small_graph
+from kinweave.session import cut
 from kinweave.sources import tables as T
 from kinweave.sources.stages import RunConfig, StageStore
 from kinweave.specs import Domain, RelationalDataset, RelationGraph, TableSpec
@@ -155,3 +156,73 @@ def test_too_many_segments_are_refused(spark, monkeypatch):
     for name in ("l2_assign", "l3_em_step"):
         with pytest.raises(ValueError, match="more than 2 segments"):
             QUERIES[name](spark, "/root/testdata/sf0.001")
+
+
+def test_variational_steps_raise_the_bound_and_empty_components_shrink(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(-0.6, 0.05, (150, 2)), rng.normal(0.5, 0.1, (90, 2))])
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "features array<double>").repartition(3)
+    centres = x[rng.choice(len(x), 6, replace=False)]
+    start = L.Mixture(np.full(6, 1 / 6), centres, np.tile(x.var(axis=0), (6, 1)))
+    prior = L.Prior(0.01, 1.0, x.mean(axis=0), 1.0, x.var(axis=0))
+    r, _ = start.responsibilities(x)
+    now, bounds = prior.after(r.sum(axis=0), r.T @ x, r.T @ x**2), []
+    for _ in range(12):
+        r, like = now.responsibilities(x)
+        plain = prior.after(r.sum(axis=0), r.T @ x, r.T @ x**2)
+        bound = like.sum() - now.divergence()
+        if not bounds:
+            got, sent = L.variational_step(df, now)
+            assert np.isclose(sent, bound) and np.allclose(got.alpha, plain.alpha) and np.allclose(got.means, plain.means) and np.allclose(got.b, plain.b)
+        bounds.append(bound)
+        now = plain
+    assert all(b >= a - 1e-7 for a, b in zip(bounds, bounds[1:]))
+    fitted = L.fit_variational(df, 6, concentration=0.01)
+    assert sorted(np.round(fitted.weights, 2))[-1] <= 0.65 and (fitted.weights > 0.05).sum() < 6 and np.isclose(fitted.weights.sum(), 1)
+
+
+def test_digamma_is_the_slope_of_log_gamma():
+    import math
+
+    for x in (0.01, 0.3, 1.0, 2.5, 7.9, 8.0, 40.0, 1e6):
+        h = 1e-5 * x
+        assert np.isclose(L.digamma(np.array(x)), (math.lgamma(x + h) - math.lgamma(x - h)) / (2 * h), rtol=1e-5, atol=1e-5)
+    assert np.isclose(L.digamma(np.array(1.0)), -0.5772156649015329, atol=1e-12)
+
+
+def test_guided_draws_equal_scanned_ones(spark, monkeypatch):
+    from kinweave.operators import relational as R
+
+    rng = np.random.default_rng(6)
+    dist = []
+    for label in range(4):
+        sizes = np.sort(rng.choice(50, 1 + 9 * label, replace=False))
+        p = rng.random(len(sizes)) ** 4 * (rng.random(len(sizes)) > 0.2) + (np.arange(len(sizes)) == 0)
+        dist += [(label, int(s), float(q)) for s, q in zip(sizes, p / p.sum())]
+    dist = spark.createDataFrame(dist, "label int, group_size bigint, prob double")
+    parents = spark.range(3_000).select(F.col("id").alias("pk"), F.when(F.col("id") % 6 < 5, (F.col("id") % 6).cast("int")).alias("label"))
+    one = dist.where("label = 3").select("group_size", "prob")
+
+    def drawn():
+        children = R.expand_children(parents, "pk", "label", dist, "t").groupBy("pk", "label").count().collect()
+        keys = R.synthetic_keys(one, 900, spark, "k").collect()
+        return sorted(map(tuple, children), key=str), sorted(map(tuple, keys))
+
+    scanned = drawn()
+    monkeypatch.setattr(R, "GUIDE_SIZES", 1)
+    assert drawn() == scanned and len(scanned[0]) > 500
+
+
+def test_a_hundred_thousand_sizes_do_not_grow_the_plan(spark):
+    from kinweave.functions.hashing import hash_uniform
+    from kinweave.operators import relational as R
+
+    n = 100_000
+    dist = spark.range(n).select(F.lit(0).alias("all"), (F.col("id") + 1).alias("size"), F.lit(1.0 / n).alias("prob"))
+    guide = cut(R.guide_table(dist, ["all"], "size"))
+    assert guide.agg(F.max(F.size("steps"))).first()[0] <= 4
+    rows = spark.range(5_000).withColumn("all", F.lit(0))
+    out = R.draw_guided(rows, hash_uniform("id", salt="g"), guide, ["all"], "drawn")
+    assert len(out._jdf.queryExecution().toString()) < 40_000
+    far = out.withColumn("u", hash_uniform("id", salt="g")).where(F.abs(F.col("drawn") - F.col("u") * n) > 1.001)
+    assert out.where("drawn is null").count() == 0 and far.count() == 0
