@@ -10,7 +10,7 @@ load, every order gives the same links.
 
 1. Equal sets become one node.  2. Each block links its members with the member that stands for most copies (verified).
 3. Blocks that still hold several components search them with the R-tree for members with a possible partner in another
-component.  4. These are verified inside the block on the shingle sets of the whole texts; only links leave it, and
+component, by coarse vectors first and by fine ones among those that are left.  4. These are verified inside the block on the shingle sets of the whole texts; only links leave it, and
 components are closed over all links.
 """
 
@@ -61,7 +61,7 @@ def counted(s: np.ndarray, per_group: int) -> np.ndarray:
 
 def folded(vector: np.ndarray, groups: int) -> np.ndarray:
     """The same set counted in fewer groups (the group is the low bits of the hash)."""
-    return vector.reshape(-1, groups).sum(axis=0)
+    return vector.reshape(-1, groups).sum(axis=0, dtype=np.int64)
 
 
 def reachable(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -192,7 +192,8 @@ def _stored(vector: np.ndarray) -> bytes:
 
 
 def _vector(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+    """The counts as wide as they are stored; sums of them need a wider type."""
+    return np.frombuffer(data, f"<u{data[0]}", offset=1)
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame, vector: str, percent: int) -> DataFrame:
@@ -211,10 +212,13 @@ def _bounded(pairs: DataFrame, sets: DataFrame, vector: str, percent: int) -> Da
 
 def _tree_links(shared: DataFrame, sets: DataFrame, of: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Links between components that meet under a key: members that the R-tree cannot rule out are verified in their block."""
-    met = open_blocks(shared, of, BLOCK_ROWS)
-    # members without a possible partner leave before the texts are attached
-    held = keep(per_block(met.join(sets.select("node", F.col("point").alias("vector")), "node"), partial(_partnered, percent), MEMBER), "jaccard-members")
-    known = keep(texts.join(held.select("node").distinct(), "node", "left_semi"), "jaccard-texts")
+    held = open_blocks(shared, of, BLOCK_ROWS)
+    # members without a possible partner leave before the texts are attached; few need their long vector for that
+    for vector in ("point", "fine"):
+        met = held.join(sets.select("node", F.col(vector).alias("vector")), "node")
+        held = keep(per_block(met, partial(_partnered, percent), MEMBER), "jaccard-members")
+    wanted = keep(held.select("node").distinct(), "jaccard-wanted")  # a stored list of known size: a short one need not move the texts
+    known = keep(texts.join(wanted, "node", "left_semi"), "jaccard-texts")
     return block_links(held, known, n, percent)
 
 

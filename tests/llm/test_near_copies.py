@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from test_text_ops import corpus, shingle_set
 
+from kinweave.llm import op8_jaccard
 from kinweave.llm.near_copies import links_between, overlaps
 from kinweave.llm.op12_collocations import collocations
 from kinweave.llm.op13_minhash import band_keys, donor_order, minhash_components, signatures
@@ -124,6 +125,34 @@ def test_a_crowd_below_the_threshold_emits_no_rows():
     assert len(links_between(sets, np.arange(len(sets)), None, 80)) <= min(links, len(sets) - 1)
 
 
+def test_jaccard_texts_travel_only_with_possible_partners(stored, monkeypatch):
+    """Long unrelated texts that share a passage look alike in coarse vectors; their blocks must not hold their texts."""
+    rng, carried = random.Random(12), []
+    passages = [" ".join(f"p{g}-{k}" for k in range(150)) for g in range(6)]  # each in too few texts to count as frequent
+    rows = [(k, passages[k % 6] + "".join(f" w{rng.randrange(10**9)}" for _ in range(550 + k))) for k in range(42)]
+    rows += [(100 + k, t) for k, t in enumerate(crowd(rng, 30, 3))]
+    work = op8_jaccard.block_links
+
+    def seen(members, texts, n, percent):
+        carried.extend(r.node for r in members.select("node").distinct().collect())
+        assert texts.count() == len(carried)
+        return work(members, texts, n, percent)
+
+    monkeypatch.setattr(op8_jaccard, "block_links", seen)
+    docs = stored(rows)
+    got = op8_jaccard.jaccard_components(docs, 5, 80).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_components(rows, 5, 80)
+    long = {r.row for r in got if r.n_shingles > 500}
+    assert len(long) == 42 and not long & set(carried)
+
+
+def test_vectors_are_counted_beyond_the_width_they_are_stored_in():
+    s = np.arange(0, 16 * 1_000, 16, dtype=np.uint64)  # all in one group of 16
+    narrow, wide = (op8_jaccard._vector(op8_jaccard._stored(op8_jaccard.counted(x, op8_jaccard.COARSE))) for x in (s[:250], s))
+    assert narrow.dtype == np.uint8 and op8_jaccard.folded(np.concatenate([narrow] * 4), 16).sum() == 1_000
+    assert op8_jaccard.reachable(wide, wide, 90) and not op8_jaccard.reachable(narrow, wide, 90)
+
+
 def plain_collocations(rows, top, least_count, share):
     f, total = defaultdict(Counter), Counter()
     for lang, text in rows:
