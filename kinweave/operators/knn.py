@@ -6,6 +6,9 @@
 * What cannot be split is cut into blocks of bounded size, and queries into chunks, so no task sees an unbounded group.
 * Copies of one vector are reduced first: only the k smallest ids of a vector can ever be among k nearest,
   and equal queries are answered once.
+* Beyond one block of points a query is answered at home first: its true k-th distance there bounds the rest of the search,
+  so on structured rows few queries visit a second place.  Small cells that lie together are packed into units of one block,
+  which a query meets once; inside a unit small cells are searched by the same rule (``nearest_within``).
 * Each task returns its best k per query; pairs never leave the task.
 
 Ties go to the smaller id, so results do not depend on pivots, blocks or partitions.
@@ -30,6 +33,7 @@ from kinweave.session import cut
 BLOCK_ROWS = 20_000  # points or queries per task group
 MAX_PIVOTS = 512
 _CHUNK_CELLS = 4_000_000  # distances held at once inside a task
+_MAX_SMALL = 256  # small cells inside a block
 
 
 def nearest_in_block(
@@ -54,6 +58,83 @@ def nearest_in_block(
             yield start + i, ids[near], row[near]
 
 
+def _small_cells(points: np.ndarray, metric: str, wanted: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Row numbers, pivots and radii of at most ``wanted`` cells inside one block."""
+    drawn = np.random.default_rng(0).choice(len(points), min(wanted, len(points)), replace=False)
+    pivots = np.unique(points[np.sort(drawn)], axis=0)
+    at, gap = np.zeros(len(points), dtype=int), np.zeros(len(points))
+    step = max(1, _CHUNK_CELLS // len(pivots))
+    for start in range(0, len(points), step):
+        d = distances(points[start : start + step], pivots, metric)
+        near = d.argmin(axis=1)
+        at[start : start + step] = near
+        gap[start : start + step] = true_metric(d[np.arange(len(near)), near], metric)
+    order = np.argsort(at, kind="stable")
+    held = np.split(order, np.searchsorted(at[order], np.arange(1, len(pivots))))
+    full = [i for i, rows in enumerate(held) if len(rows)]
+    return [held[i] for i in full], pivots[full], np.array([gap[held[i]].max() for i in full])
+
+
+def nearest_within(
+    queries: np.ndarray, k: np.ndarray, limit: np.ndarray, points: np.ndarray, ids: np.ndarray, metric: str
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, id, distance) of the k[i] nearest points by (distance, id), sorted in that order.
+
+    ``limit`` bounds the true distance of what is wanted.  Each query meets its nearest small cell first, whose k-th
+    distance bounds the cells it meets then; a block of rows never yields more than k and its ties per query.
+    """
+    wanted = int(min(_MAX_SMALL, math.sqrt(len(points)), 1 + len(queries) / 8))
+    held, pivots, radii = _small_cells(points, metric, max(1, wanted))
+    counts = np.array([len(rows) for rows in held])
+    gaps = true_metric(distances(queries, pivots, metric), metric)
+    home, limit = gaps.argmin(axis=1), limit.copy()
+    few = np.flatnonzero(counts[home] < k)  # the others get a bound in their home
+    limit[few] = np.minimum(limit[few], limits(gaps[few], k[few], counts, radii))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    most, waiting = 0, 0
+
+    def settle() -> None:
+        """Keep the best k of what is found so far."""
+        at, name, d = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((name, d, at))
+        at, name, d = at[order], name[order], d[order]
+        start = np.searchsorted(at, np.arange(len(queries)))
+        kept = np.arange(len(at)) - start[at] < k[at]
+        found[:] = [(at[kept], name[kept], d[kept])]
+
+    def meet(asked: np.ndarray, cell: int) -> None:
+        nonlocal waiting, most
+        rows = held[cell]
+        step = max(1, _CHUNK_CELLS // len(rows))
+        for start in range(0, len(asked), step):
+            some = asked[start : start + step]
+            d = distances(queries[some], points[rows], metric)
+            top = int(k[some].max())
+            if top < len(rows):
+                best = np.sort(np.partition(d, top - 1, axis=1)[:, :top], axis=1)
+                kth = best[np.arange(len(some)), np.minimum(k[some], top) - 1]
+                limit[some] = np.minimum(limit[some], true_metric(kth, metric))
+            edge = limit[some] * (1 + 1e-9) + 1e-12
+            at, column = np.nonzero(d <= (edge if metric.startswith("l1") else edge * edge)[:, None])
+            found.append((some[at], ids[rows[column]], d[at, column]))
+            waiting += len(at)
+            if waiting > max(_CHUNK_CELLS, 2 * most):
+                settle()
+                waiting = most = len(found[0][0])
+
+    for cell in range(len(held)):
+        if len(asked := np.flatnonzero(home == cell)):
+            meet(asked, cell)
+    for cell in range(len(held)):
+        # ``reachable`` cell by cell, with the limits as they have shrunk by now
+        low = np.maximum(gaps[:, cell] - radii[cell], (gaps[:, cell] - gaps[np.arange(len(gaps)), home]) / 2)
+        asked = np.flatnonzero((low <= limit + 1e-9 * (1 + np.abs(limit))) & (home != cell))
+        if len(asked):
+            meet(asked, cell)
+    settle()
+    return found[0]
+
+
 @dataclass(frozen=True)
 class _Cells:
     """Pivots with the size and radius of their cells; at most ``MAX_PIVOTS`` entries."""
@@ -135,6 +216,33 @@ class Layout:
         return int(last.agg(F.sum(F.ceil(F.col("__n") / BLOCK_ROWS))).first()[0] or 0)
 
 
+    def units(self) -> tuple[np.ndarray, np.ndarray]:
+        """For every top cell the number of its place in the tree's numbering and the points there.
+
+        A cell that is split keeps its number; the others are packed into units of at most ``BLOCK_ROWS`` points or one
+        cell, which have numbers below 0.
+        """
+        cells = self.cells
+        number, size = np.arange(len(cells.pivots)) + 1, cells.counts.copy()
+        split = self.tree.split if self.tree is not None else np.zeros(len(number), dtype=bool)
+        open_sets, unit = [np.flatnonzero(~split & (cells.counts > 0))], 0
+        while open_sets:
+            mine = open_sets.pop()
+            if len(mine) > 1 and cells.counts[mine].sum() > BLOCK_ROWS:
+                # two halves by the difference of the distances to two pivots far apart
+                far = lambda i: mine[np.nan_to_num(cells.gaps(cells.pivots[[i]])[0][mine]).argmax()]
+                one = far(mine[0])
+                between = np.nan_to_num(np.subtract(*cells.gaps(cells.pivots[[one, far(one)]])))[mine]
+                mine = mine[np.argsort(between, kind="stable")]
+                upto = np.cumsum(cells.counts[mine])
+                half = int(np.clip(np.searchsorted(upto, upto[-1] / 2) + 1, 1, len(mine) - 1))
+                open_sets += [mine[:half], mine[half:]]
+            elif len(mine):
+                unit -= 1
+                number[mine], size[mine] = unit, cells.counts[mine].sum()
+        return number, size
+
+
 def lay_out_points(points: DataFrame, metric: str) -> Layout | None:
     """Cells of ``points`` (__bid, __p); None for an empty table."""
     pivots = _choose_pivots(points)
@@ -248,12 +356,17 @@ def deep_visits(asked: DataFrame, extra: str, layout: Layout) -> DataFrame:
 
 def _meet_deep(visits: DataFrame, tree: CellTree, kernel: Callable, schema: str) -> DataFrame:
     """Visits of last cells meet their points, in blocks and chunks where a cell has many."""
-    visits = cut(visits.drop("__limit", "__open"))
+    return _meet_cells(visits.drop("__limit", "__open"), tree.points, kernel, schema)
+
+
+def _meet_cells(visits: DataFrame, points: DataFrame, kernel: Callable, schema: str) -> DataFrame:
+    """``visits`` (__q, __cell, __n, ...) meet ``points`` (__bid, __p, __cell, __n)."""
+    visits = cut(visits)
     heavy = chunks(visits, BLOCK_ROWS)
     blocks = F.ceil(F.col("__n") / BLOCK_ROWS).cast("int")
     left = visits.join(heavy, "__cell", "left").withColumn("__chunk", F.pmod(F.xxhash64("__q"), parts()).cast("int"))
     left = left.withColumn("__block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("__parts", "__n")
-    right = tree.points.join(heavy, "__cell", "left").select(
+    right = points.join(heavy, "__cell", "left").select(
         "__bid",
         "__p",
         "__cell",
@@ -264,6 +377,105 @@ def _meet_deep(visits: DataFrame, tree: CellTree, kernel: Callable, schema: str)
     return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(kernel, schema)
 
 
+_LIST_SCHEMA = "__q array<double>, __k bigint, __limit double, __home bigint, __block int, __ids array<bigint>, __gaps array<double>"
+
+
+def nearest_lists(queries: DataFrame, layout: Layout) -> DataFrame:
+    """(__q, near): the k nearest points of every query, ``near`` an array of (distance, __bid) in order.
+
+    ``queries`` has distinct vectors ``__q`` and ``__k``.  A query is answered in its home unit or cell first; what it
+    finds there bounds the units and cells it visits then.
+    """
+    cells, width, metric = layout.cells, layout.cells.pivots.shape[1], layout.cells.metric
+    number, size = layout.units()
+    split = layout.tree.split if layout.tree is not None else np.zeros(len(number), dtype=bool)
+    usable, step = (cells.counts > 0) & ~np.isnan(cells.radii), max(1, _CHUNK_CELLS // len(cells.pivots))
+    # the number of a query travels as one more number of its vector
+    numbered = cut(queries.withColumn("__at", F.monotonically_increasing_id()))
+    asked = numbered.select(F.concat("__q", F.array(F.col("__at").cast("double"))).alias("__q"), "__k")
+    schema = visit_schema("__k", "bigint")
+
+    def visit(part: pd.DataFrame, at: np.ndarray, cell: np.ndarray, limit: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame(
+            {
+                "__q": part["__q"].to_numpy()[at],
+                "__k": part["__k"].to_numpy()[at],
+                "__limit": limit[at],
+                "__cell": number[cell].astype("int64"),
+                "__n": size[cell].astype("int64"),
+                "__open": split[cell],
+            }
+        )
+
+    def to_home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for start in range(0, len(pdf), step):
+                part = pdf.iloc[start : start + step]
+                d = cells.gaps(as_matrix(part["__q"], width)[:, :width])
+                at = np.flatnonzero(~np.isnan(d).any(axis=1) & usable.any())  # a gap in a vector has no distance
+                cell, k = np.where(usable, d, np.inf).argmin(axis=1), part["__k"].to_numpy()
+                limit, few = np.full(len(part), np.inf), np.flatnonzero(size[cell] < k)
+                limit[few] = limits(d[few], k[few], cells.counts, cells.radii)  # the others get a bound in their home
+                yield visit(part, at, cell[at], limit)
+
+    def to_others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for start in range(0, len(pdf), step):
+                part = pdf.iloc[start : start + step]
+                d, limit = cells.gaps(as_matrix(part["__q"], width)[:, :width]), part["__limit"].to_numpy()
+                at, cell = np.nonzero(reachable(d, limit, cells.counts, cells.radii))
+                pairs = at * (2 * len(number) + 1) + number[cell] + len(number)
+                first = np.unique(pairs, return_index=True)[1]  # a unit is visited once
+                first = first[number[cell[first]] != part["__home"].to_numpy()[at[first]]]
+                yield visit(part, at[first], cell[first], limit)
+
+    def kernel(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        x, k = as_matrix(q["__q"], width + 1)[:, :width], q["__k"].to_numpy()
+        limit = q["__limit"].to_numpy(dtype=float).copy()
+        points, ids = as_matrix(p["__p"], width), p["__bid"].to_numpy()
+        whole = ~np.isnan(points).any(axis=1)
+        points, ids = points[whole], ids[whole]
+        if len(points) and len(x):
+            at, name, d = nearest_within(x, k, np.where(np.isnan(limit), np.inf, limit), points, ids, metric)
+        else:
+            at, name, d = np.array([], int), np.array([], "int64"), np.array([], float)
+        ends = np.searchsorted(at, np.arange(1, len(q)))
+        n = np.bincount(at, minlength=len(q))
+        full = np.flatnonzero(n >= k)
+        limit[full] = np.fmin(limit[full], true_metric(d[(np.cumsum(n) - n + k - 1)[full]], metric))
+        out = q[["__q", "__k"]].assign(__limit=limit, __home=q["__cell"], __block=q["__block"])
+        lists = lambda v: pd.Series([*np.split(v, ends), None][: len(q)], index=q.index, dtype=object)
+        return out.assign(__ids=lists(name), __gaps=lists(d))
+
+    if layout.tree is None:
+        place = F.element_at(array_of([int(u) for u in number]), F.col("__cell") + 1).cast("bigint")
+        held = F.element_at(array_of([int(n) for n in size]), F.col("__cell") + 1).cast("bigint")
+        points = layout.assigned.select("__bid", "__p", place.alias("__cell"), held.alias("__n"))
+        down = lambda visits, home: visits
+    else:
+        top = F.col("__cell").between(1, len(number)) & ~F.element_at(array_of([bool(x) for x in split]), F.least(F.greatest("__cell", F.lit(1)), F.lit(len(number))).cast("int"))
+        slot = F.least(F.greatest("__cell", F.lit(1)), F.lit(len(number))).cast("int")
+        place = F.when(top, F.element_at(array_of([int(u) for u in number]), slot)).otherwise(F.col("__cell")).cast("bigint")
+        held = F.when(top, F.element_at(array_of([int(n) for n in size]), slot)).otherwise(F.col("__n")).cast("bigint")
+        points = layout.tree.points.select("__bid", "__p", place.alias("__cell"), held.alias("__n"))
+        down = lambda visits, home: walk(visits, layout.tree, metric, width, "__k", home)
+
+    homes = down(asked.mapInPandas(to_home, schema), True).drop("__open")
+    first = cut(_meet_cells(homes, points, kernel, _LIST_SCHEMA))
+    # so does its home, which it need not visit again; every block of a home gives a bound, one is enough
+    bounded = first.where("__block = 0").select(
+        F.concat("__q", F.array(F.col("__home").cast("double"))).alias("__q"), "__k", "__limit", "__home"
+    )
+    others = down(bounded.mapInPandas(to_others, schema), False).drop("__open").where(F.element_at("__q", -1) != F.col("__cell"))
+    second = _meet_cells(others, points, kernel, _LIST_SCHEMA).where(F.size("__ids") > 0)
+    both = first.unionByName(second).select(
+        F.element_at("__q", width + 1).cast("bigint").alias("__at"),
+        F.arrays_zip(F.col("__gaps").alias("distance"), F.col("__ids").alias("__bid")).alias("found"),
+    )
+    merged = both.groupBy("__at").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+    return numbered.join(merged, "__at").select("__q", F.slice("found", F.lit(1), F.col("__k").cast("int")).alias("near"))
+
+
 _NEAR_SCHEMA = "__q array<double>, __bid bigint, distance double"
 
 
@@ -284,6 +496,9 @@ def nearest_rows(
     if layout is None:
         return points.sparkSession.createDataFrame([], _NEAR_SCHEMA)
     asked = queries if k is None else queries.withColumn("__k", F.lit(k).cast("bigint"))
+    if layout.cells.counts.sum() > BLOCK_ROWS:
+        lists = nearest_lists(asked.select("__q", "__k"), layout)
+        return lists.select("__q", F.inline("near")).select("__q", "__bid", "distance")
     width = layout.cells.pivots.shape[1]
 
     def kernel(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
@@ -378,10 +593,15 @@ def knn_join(
     asked = left.select(
         F.col(left_id).cast("bigint").alias("__aid"), F.col(left_vector).cast("array<double>").alias("__q")
     )
-    rows = nearest_rows(asked.select("__q").distinct(), points, need, metric, most=left.count())
-    best = rows.groupBy("__q").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("distance", "__bid"))), 1, need).alias("near")
-    )
+    layout = lay_out_points(cut(points), metric)
+    queries = asked.select("__q").distinct()
+    if layout is not None and layout.cells.counts.sum() > BLOCK_ROWS:
+        best = nearest_lists(queries.withColumn("__k", F.lit(need).cast("bigint")), layout)
+    else:
+        rows = nearest_rows(queries, points, need, metric, most=left.count(), layout=layout)
+        best = rows.groupBy("__q").agg(
+            F.slice(F.array_sort(F.collect_list(F.struct("distance", "__bid"))), 1, need).alias("near")
+        )
     joined = asked.join(best, "__q")
     near = F.col("near")
     if exclude_same_id:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 
+_CACHED = 65_536  # distances summed at once, so that they stay in a core's cache
+
 
 def distances(queries: np.ndarray, points: np.ndarray, metric: str) -> np.ndarray:
     """Dense (queries x points) distances, summed dimension by dimension.
@@ -12,16 +14,22 @@ def distances(queries: np.ndarray, points: np.ndarray, metric: str) -> np.ndarra
     ``l1+3`` or ``l2+3`` says that the last three coordinates are category codes.  Different codes cost 2, as their
     one-hot vectors would, and a code against a missing one (negative) costs 1.
     """
+    out = np.zeros((len(queries), len(points)))
+    columns, step = np.ascontiguousarray(points.T), max(1, _CACHED // max(1, len(points)))
+    for start in range(0, len(queries), step):
+        _add_distances(out[start : start + step], queries[start : start + step], columns, metric)
+    return out
+
+
+def _add_distances(out: np.ndarray, queries: np.ndarray, columns: np.ndarray, metric: str) -> None:
     kind, _, codes = metric.partition("+")
     numbers = queries.shape[1] - int(codes or 0)
-    out = np.zeros((len(queries), len(points)))
     for j in range(numbers):
-        gap = queries[:, j, None] - points[None, :, j]
+        gap = queries[:, j, None] - columns[None, j]
         out += np.abs(gap) if kind == "l1" else gap * gap
     for j in range(numbers, queries.shape[1]):
-        q, p = queries[:, j, None], points[None, :, j]
+        q, p = queries[:, j, None], columns[None, j]
         out += (q != p) * (2.0 - (q < 0) - (p < 0))
-    return out
 
 
 def true_metric(values: np.ndarray, metric: str) -> np.ndarray:

@@ -396,7 +396,7 @@ def smote(
         moved = [*numeric, target]
     else:
         work, moved = df.withColumn("__class", F.col(target).cast("string")), numeric
-    work = work.select(F.col(key).cast("bigint").alias("__id"), *dict.fromkeys([*moved, *categorical, target]), "__class")
+    work = spread(work.select(F.col(key).cast("bigint").alias("__id"), *dict.fromkeys([*moved, *categorical, target]), "__class"))
     codes = dictionary(work, "__class")
     work = encode(work, "__class", codes, out="__code")
     limits = bounds(work, moved)
@@ -408,11 +408,11 @@ def smote(
         values, wide = split_widths([work], categorical)
         # a differing category costs as much as the median deviation of the class's numerics
         if xs:
-            spread = unit.groupBy("__code").agg(
+            deviation = unit.groupBy("__code").agg(
                 F.sort_array(F.array(*[F.coalesce(F.stddev_pop(x), F.lit(0.0)) for x in xs])).alias("s")
             )
             lower, upper = F.col("s")[(len(xs) - 1) // 2], F.col("s")[len(xs) // 2]
-            unit = unit.join(spread.select("__code", ((lower + upper) / 4).alias("__penalty")), "__code")
+            unit = unit.join(deviation.select("__code", ((lower + upper) / 4).alias("__penalty")), "__code")
         else:
             unit = unit.withColumn("__penalty", F.lit(1.0))
         hots = [one_hot(F.col(c), values[c]) for c in categorical if c in values]

@@ -143,3 +143,44 @@ def test_comparisons_grow_with_the_rows_and_not_with_their_square(spark, monkeyp
     (few, flat), (many, flat_many) = compared(800), compared(2_400)
     assert many < 4.5 * few and flat_many > 7 * flat  # a single level would compare nine times as many
     assert many < flat_many / 10
+
+
+@pytest.mark.parametrize("deep", [False, True])
+def test_queries_are_bounded_by_what_they_find_at_home(spark, monkeypatch, deep):
+    """Rows brought back are those asked for, not k of every cell visited; copies of an id stay, gaps have no neighbours."""
+    from kinweave.operators import knn
+
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 40)
+    if deep:
+        small_cells(monkeypatch)
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 8, (400, 1)) * 10.0 + rng.normal(0, 1, (400, 2))
+    points = frame(spark, x, "id").select((F.col("id") % 390).alias("__bid"), F.col("vector").alias("__p"))
+    asked = points.select(F.col("__p").alias("__q")).unionByName(spark.createDataFrame([([None, 1.0],)], "__q array<double>"))
+    got = {}
+    for r in knn.nearest_rows(asked, points, 3).collect():
+        got.setdefault(tuple(r["__q"]), []).append((r["distance"], r["__bid"]))
+    d = (x[:, None, 0] - x[None, :, 0]) ** 2 + (x[:, None, 1] - x[None, :, 1]) ** 2
+    assert len(got) == 400
+    for i, v in enumerate(x):
+        assert sorted(got[tuple(v)]) == sorted((d[i, j], j % 390) for j in range(400))[:3]
+
+
+def test_a_block_is_searched_by_small_cells(monkeypatch):
+    from kinweave.operators import knn
+
+    pairs, plain = [], knn.distances
+
+    def counted(queries, points, metric):
+        pairs.append(len(queries) * len(points))
+        return plain(queries, points, metric)
+
+    monkeypatch.setattr(knn, "distances", counted)
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 10, (4_000, 1)) * 10.0 + rng.normal(0, 1, (4_000, 2))
+    at, ids, d = knn.nearest_within(x, np.full(4_000, 4), np.full(4_000, np.inf), x, np.arange(4_000), "l2")
+    assert sum(pairs) < 4_000**2 / 8 and (np.bincount(at) == 4).all()
+    for i in range(0, 4_000, 97):
+        gaps = plain(x[i : i + 1], x, "l2")[0]
+        order = np.lexsort((np.arange(4_000), gaps))[:4]
+        assert ids[at == i].tolist() == order.tolist() and d[at == i].tolist() == gaps[order].tolist()
