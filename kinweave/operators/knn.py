@@ -27,13 +27,14 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.literals import array_of
 from kinweave.operators.cell_tree import CellTree, chunks, grow, parts, visit_schema, walk
-from kinweave.operators.metric import as_matrix, distances, limits, reachable, true_metric
+from kinweave.operators.metric import as_matrix, distances, limits, near_products, pair_distances, reachable, true_metric
 from kinweave.session import cut
 
 BLOCK_ROWS = 20_000  # points or queries per task group
 MAX_PIVOTS = 512
 _CHUNK_CELLS = 4_000_000  # distances held at once inside a task
 _MAX_SMALL = 256  # small cells inside a block
+_WIDE = 8  # from so many coordinates on, squared distances are first estimated by a matrix product
 
 
 def nearest_in_block(
@@ -91,7 +92,7 @@ def nearest_within(
     few = np.flatnonzero(counts[home] < k)  # the others get a bound in their home
     limit[few] = np.minimum(limit[few], limits(gaps[few], k[few], counts, radii))
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    most, waiting = 0, 0
+    most, waiting, products = 0, 0, metric == "l2" and points.shape[1] >= _WIDE
 
     def settle() -> None:
         """Keep the best k of what is found so far."""
@@ -101,36 +102,39 @@ def nearest_within(
         start = np.searchsorted(at, np.arange(len(queries)))
         kept = np.arange(len(at)) - start[at] < k[at]
         found[:] = [(at[kept], name[kept], d[kept])]
+        full = np.flatnonzero(np.bincount(at, minlength=len(queries)) >= k)
+        limit[full] = np.minimum(limit[full], true_metric(d[start[full] + k[full] - 1], metric))
 
-    def meet(asked: np.ndarray, cell: int) -> None:
+    def meet(asked: np.ndarray, cell: int, first: bool) -> None:
         nonlocal waiting, most
         rows = held[cell]
         step = max(1, _CHUNK_CELLS // len(rows))
         for start in range(0, len(asked), step):
             some = asked[start : start + step]
-            d = distances(queries[some], points[rows], metric)
+            d, error = near_products(queries[some], points[rows]) if products else (distances(queries[some], points[rows], metric), 0.0)
             top = int(k[some].max())
-            if top < len(rows):
+            if first and top < len(rows):
                 best = np.sort(np.partition(d, top - 1, axis=1)[:, :top], axis=1)
-                kth = best[np.arange(len(some)), np.minimum(k[some], top) - 1]
+                kth = np.maximum(best[np.arange(len(some)), k[some] - 1] + error, 0.0)
                 limit[some] = np.minimum(limit[some], true_metric(kth, metric))
             edge = limit[some] * (1 + 1e-9) + 1e-12
-            at, column = np.nonzero(d <= (edge if metric.startswith("l1") else edge * edge)[:, None])
-            found.append((some[at], ids[rows[column]], d[at, column]))
+            at, column = np.nonzero(d <= ((edge if metric.startswith("l1") else edge * edge) + error)[:, None])
+            exact = pair_distances(queries, points, some[at], rows[column]) if products else d[at, column]
+            found.append((some[at], ids[rows[column]], exact))
             waiting += len(at)
-            if waiting > max(_CHUNK_CELLS, 2 * most):
+            if waiting > 2 * most + 32 * len(queries):
                 settle()
                 waiting = most = len(found[0][0])
 
     for cell in range(len(held)):
         if len(asked := np.flatnonzero(home == cell)):
-            meet(asked, cell)
+            meet(asked, cell, True)
     for cell in range(len(held)):
         # ``reachable`` cell by cell, with the limits as they have shrunk by now
         low = np.maximum(gaps[:, cell] - radii[cell], (gaps[:, cell] - gaps[np.arange(len(gaps)), home]) / 2)
         asked = np.flatnonzero((low <= limit + 1e-9 * (1 + np.abs(limit))) & (home != cell))
         if len(asked):
-            meet(asked, cell)
+            meet(asked, cell, False)
     settle()
     return found[0]
 

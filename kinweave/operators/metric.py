@@ -32,6 +32,23 @@ def _add_distances(out: np.ndarray, queries: np.ndarray, columns: np.ndarray, me
         out += (q != p) * (2.0 - (q < 0) - (p < 0))
 
 
+def near_products(queries: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances by one matrix product, and by how much those of each query may be off."""
+    a, b = queries - points[0], points - points[0]
+    aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    error = 8 * (queries.shape[1] + 4) * np.finfo(float).eps * (aa + bb.max())
+    return aa[:, None] + bb[None, :] - 2 * (a @ b.T), error
+
+
+def pair_distances(queries: np.ndarray, points: np.ndarray, q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Squared distances of the pairs (q[i], p[i]), summed as :func:`distances` sums them."""
+    out = np.zeros(len(q))
+    for j in range(queries.shape[1]):
+        gap = queries[q, j] - points[p, j]
+        out += gap * gap
+    return out
+
+
 def true_metric(values: np.ndarray, metric: str) -> np.ndarray:
     return values if metric.startswith("l1") else np.sqrt(values)
 
